@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
 from .quality import op10_quality_rules
+from .sharding import op2_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_sharding": op2_sharding,
         "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
