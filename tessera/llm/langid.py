@@ -35,7 +35,7 @@ PAD = b" " * 4
 LETTER = regex.compile(r"\p{L}")
 
 #: The fit's bounds: labelled rows, and bytes of the longest text among them.
-MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 4000, 64 << 10
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 2000, 64 << 10
 
 
 def _hashes(a: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
@@ -52,13 +52,21 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def counts(text: bytes) -> np.ndarray:
-    """Share of each bucket among a text's n-grams."""
+def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, and the share of each."""
     a, out = np.frombuffer(text + PAD, np.uint8).astype(np.uint32), np.zeros(BUCKETS)
     for s in range(0, len(text), SLICE):
         for h in _hashes(a, s, min(len(text), s + SLICE)):
             out += np.bincount(h, minlength=BUCKETS)
-    return out / max(1.0, out.sum())
+    found = np.flatnonzero(out)
+    return found.astype(np.uint16), (out[found] / max(1.0, out.sum())).astype(np.float32)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (found, share) in enumerate(rows):
+        x[i, found] = share
+    return x
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -131,7 +139,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             pieces.append(b[s : s + n])
         (kept if out else rows).extend(pieces)
         (kept_y if out else y).extend([k] * len(pieces))
-    x = np.stack([counts(p) for p in rows]).astype(np.float32)
+    x = [shares(p) for p in rows]
     y = np.array(y)
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32)
@@ -141,7 +149,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
         order = rng.permutation(len(x))
         for s in range(0, len(x), BATCH):
             part = order[s : s + BATCH]
-            xb, hidden = x[part], x[part] @ e
+            xb = _dense([x[i] for i in part])
+            hidden = xb @ e
             p = _softmax(hidden @ w + bias)
             p[np.arange(len(part)), y[part]] -= 1
             p /= len(part)
