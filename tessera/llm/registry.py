@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_byte_bpe
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
 from .quality import op10_quality_rules
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_sharding": op2_sharding,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
