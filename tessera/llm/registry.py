@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_byte_bpe
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
+from .neardup import op3_minhash_neardup
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_sharding": op2_sharding,
+        "op3_minhash_neardup": op3_minhash_neardup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
