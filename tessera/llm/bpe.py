@@ -25,8 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import threading
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE = 64, 800_000, 40_000
+LONG, REMEMBERED, AT_ONCE = 64, 800_000, 100_000
 
 #: ``g`` is a row's place among all; ``s`` is a pair's rank above, its left row's place below, so that the
 #: least ``s`` of a piece is its leftmost pair of minimum rank.
@@ -51,7 +49,7 @@ WITH RECURSIVE state(g, w, tok, live) AS (
       FROM state WHERE live WINDOW place AS (ORDER BY g)),
     ranked AS (
       SELECT g, w, tok, pg, (m.t::BIGINT << 32) | g AS s
-      FROM pairs LEFT JOIN merges m ON m.k = pairs.tok::BIGINT * 4294967296 + pairs.ntok),
+      FROM pairs LEFT JOIN merges m ON m.k = (pairs.tok::BIGINT << 32) | pairs.ntok),
     best AS (SELECT w, min(s) AS s FROM ranked GROUP BY w)
     SELECT r.g, r.w, CASE WHEN r.s = b.s THEN (b.s >> 32)::INTEGER ELSE r.tok END AS tok, b.s IS NOT NULL AS live
     FROM ranked r JOIN best b ON r.w = b.w
@@ -70,7 +68,7 @@ WITH RECURSIVE state(g, w, tok, live) AS (
       FROM state WHERE live WINDOW place AS (ORDER BY g)),
     ranked AS (
       SELECT g, w, tok, i, m.t
-      FROM pairs LEFT JOIN merges m ON m.k = pairs.tok::BIGINT * 4294967296 + pairs.ntok),
+      FROM pairs LEFT JOIN merges m ON m.k = (pairs.tok::BIGINT << 32) | pairs.ntok),
     best AS (SELECT w, min(t) AS t, arg_min(i, (t, i)) FILTER (t IS NOT NULL) AS bi FROM ranked GROUP BY w),
     places AS (
       SELECT r.w, r.i, r.i - row_number() OVER (PARTITION BY r.w ORDER BY r.i) AS run
@@ -124,9 +122,12 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
+        #: ids of each piece, and the bytes that they decode to
         self.pieces: dict[bytes, bytes] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.first: dict[str, tuple[bytes, bytes]] = {}
+        self.decoded: dict[bytes, bytes] = {}
+        #: the same of chunks, which follow a space, and of what begins a text
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.first: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _run(self, sql: str, sizes: np.ndarray, tok: np.ndarray) -> pa.Table:
         """``sql`` over token-position rows: ``sizes[w]`` rows of each piece w, in order."""
@@ -148,23 +149,19 @@ class Codec:
             out += [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return out
 
-    def _learn_pieces(self, pieces: Iterable[bytes]) -> None:
-        short, long = [], []
-        for x in pieces:
-            if x in self.pieces:
-                continue
-            if x in self.ranks:
-                self.pieces[x] = self.ranks[x].to_bytes(4, "little")
-            else:
-                (short if len(x) <= LONG else long).append(x)
-                self.pieces[x] = b""
-        self.pieces.update(zip(short, self.contract(short), strict=True))
-        if long:
+    def _learn_pieces(self, pieces: set[bytes]) -> None:
+        fresh = [x for x in pieces if x not in self.pieces]
+        known = {x: self.ranks[x].to_bytes(4, "little") for x in fresh if x in self.ranks}
+        short = [x for x in fresh if x not in known and len(x) <= LONG]
+        known.update(zip(short, self.contract(short), strict=True))
+        if long := [x for x in fresh if x not in known]:
             cut = [self._segments(x) for x in long]
             own = {s for segments in cut for s in segments}
             small, large = [s for s in own if len(s) <= LONG], [s for s in own if len(s) > LONG]
-            known = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self.contract(large, ENCODE_LONG), strict=True))
-            self.pieces.update({x: b"".join(known[s] for s in segments) for x, segments in zip(long, cut, strict=True)})
+            parts = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self.contract(large, ENCODE_LONG), strict=True))
+            known.update({x: b"".join(map(parts.__getitem__, segments)) for x, segments in zip(long, cut, strict=True)})
+        self.pieces.update(known)
+        self.decoded.update(zip(known, self.decode(list(known.values())), strict=True))
 
     def _segments(self, piece: bytes) -> list[bytes]:
         b = np.frombuffer(piece, np.uint8)
@@ -177,40 +174,43 @@ class Codec:
         for s in range(0, len(ids), AT_ONCE):
             part = ids[s : s + AT_ONCE]
             got = self._run(DECODE, np.array([len(x) // 4 for x in part], np.int64), np.frombuffer(b"".join(part), "<u4"))
-            found = dict(zip(got["w"].to_pylist(), got["bytes"].to_pylist(), strict=True))
-            out += [found.get(i, b"") for i in range(len(part))]
+            found = got["bytes"].to_pylist()
+            if len(found) < len(part):  # the empty sequences
+                found = [by.get(i, b"") for by in [dict(zip(got["w"].to_pylist(), found, strict=True))] for i in range(len(part))]
+            out += found
         return out
 
-    def _learn(self, chunks: list[str], lead: str, memory: dict[str, tuple[bytes, bytes]]) -> None:
-        split = [[x.encode() for x in self.split.findall(lead + c)] for c in chunks]
-        self._learn_pieces({x for pieces in split for x in pieces})
-        ids = [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
-        memory.update(zip(chunks, zip(ids, self.decode(ids), strict=True), strict=True))
+    def _learn(self, chunks: list[str], lead: str, memory: tuple[dict[str, bytes], dict[str, bytes]]) -> None:
+        """``chunks``, each after ``lead``: letters alone are one piece, what else there is goes through the pattern."""
+        plain = {c: (lead + c).encode() for c in chunks if c.isalpha()}
+        split = {c: [x.encode() for x in self.split.findall(lead + c)] for c in chunks if c not in plain}
+        self._learn_pieces({x for pieces in split.values() for x in pieces}.union(plain.values()))
+        for to, known in zip(memory, (self.pieces, self.decoded), strict=True):
+            to.update(zip(plain, map(known.__getitem__, plain.values()), strict=True))
+            to.update({c: b"".join(map(known.__getitem__, pieces)) for c, pieces in split.items()})
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text, the ids (little-endian, 32 bits each) and the bytes that they decode to."""
-        if len(self.chunks) + len(self.first) + len(self.pieces) > REMEMBERED:
+        if len(self.chunks[0]) + len(self.first[0]) + len(self.pieces) > REMEMBERED:
             self.forget()
         parts = [t.split(" ") for t in texts]
-        fresh: set[str] = set()
+        begins = [x[0] for x in parts]
         for x in parts:
-            fresh.update(x[1:])
-        fresh.difference_update(self.chunks)
+            del x[0]
+        fresh = set().union(*parts)
+        fresh.difference_update(self.chunks[0])
         # a space before white space or the end isn't a boundary; texts that have one are split as a whole
         inner = {c for c in fresh if not c or c[0].isspace()}
-        whole = [bool(inner) and not inner.isdisjoint(x[1:]) for x in parts]
-        self._learn(list(fresh - inner), " ", self.chunks)
-        self._learn(list({t if all_ else x[0] for t, x, all_ in zip(texts, parts, whole, strict=True)} - self.first.keys()), "", self.first)
-        out = []
-        for t, x, all_ in zip(texts, parts, whole, strict=True):
-            if all_:
-                out.append(self.first[t])
-                continue
-            got = [self.first[x[0]], *map(self.chunks.__getitem__, x[1:])]
-            out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
-        for t, all_ in zip(texts, whole, strict=True):
-            if all_:
-                self.first.pop(t, None)
+        if inner:
+            for i, x in enumerate(parts):
+                if not inner.isdisjoint(x):
+                    begins[i], parts[i] = texts[i], []
+            fresh = set().union(*parts) - self.chunks[0].keys()
+        self._learn(list(fresh), " ", self.chunks)
+        self._learn(list(set(begins) - self.first[0].keys()), "", self.first)
+        (ids, decoded), (first_ids, first_decoded) = self.chunks, self.first
+        out = [(first_ids[b] + b"".join(map(ids.__getitem__, x)), first_decoded[b] + b"".join(map(decoded.__getitem__, x))) for b, x in zip(begins, parts, strict=True)]
+        self.first = ({}, {})
         return out
 
 
@@ -226,7 +226,7 @@ def codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
 
 
 RESULT = T.StructType([T.StructField(c, T.BinaryType() if c in ("ids", "decoded") else T.LongType() if c == "n_tokens" else T.StringType()) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")])
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 8 << 20
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests_only: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from .langid import op8_language_id
 from .neardup import op3_minhash_neardup
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
+from .urlfilter import op9_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_neardup": op3_minhash_neardup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_language_id": op8_language_id,
+        "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
     }
 
