@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_byte_bpe
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
+from .mixing import op7_mixing
 from .neardup import op3_minhash_neardup
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
