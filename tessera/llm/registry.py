@@ -11,6 +11,7 @@ from .html_extract import op1_html_extraction
 from .langid import op8_language_id
 from .mixing import op7_mixing
 from .neardup import op3_minhash_neardup
+from .pii import op4_pii_surrogates
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
 from .urlfilter import op9_url_filter
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op1_html_extraction": op1_html_extraction,
         "op2_sharding": op2_sharding,
         "op3_minhash_neardup": op3_minhash_neardup,
+        "op4_pii_surrogates": op4_pii_surrogates,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
