@@ -63,9 +63,9 @@ _WORD = r"\p{Lu}[\p{L}’'-]+"
 _TITLE = "|".join(sorted(map(regex.escape, TITLES), key=len, reverse=True))
 PATTERN = regex.compile(
     rf"""
-    (?P<email>[\p{{L}}\p{{N}}_.+%-]+(?<!\.)@(?:[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?\.)+\p{{L}}{{2,}})
+    (?P<email>(?<![\p{{L}}\p{{N}}_.+%-])[\p{{L}}\p{{N}}_.+%-]++(?<!\.)@(?:[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?\.)+\p{{L}}{{2,}})
   | (?P<credential>(?:(?<![\p{{L}}\p{{N}}])AKIA[A-Z0-9]{{16}}(?![\p{{L}}\p{{N}}])
-      | (?i:(?<![\p{{L}}\p{{N}}])(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*["']?)\K[\p{{L}}\p{{N}}_/+.~-]{{8,}}))
+      | (?i:(?<![\p{{L}}\p{{N}}])(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]*[=:][ \t]*["']?)\K[\p{{L}}\p{{N}}_/+.~-]{{8,}}))
   | (?P<ip>(?<![\p{{N}}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?\p{{N}})
       | (?<![\p{{L}}\p{{N}}:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\p{{L}}\p{{N}}:]))
   | (?P<iban>(?<![\p{{L}}\p{{N}}])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
@@ -233,6 +233,22 @@ def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY, gender: str = "n",
 
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, text, gender) of each entity, from the left."""
+    out = []
+    for at, line in _lines(text):
+        out += _find(line, at)
+    return out
+
+
+def _lines(text: str):
+    """(start, line) of the lines that can hold an entity; none reaches over a line's end."""
+    at = 0
+    for line in text.split("\n"):
+        if _may_hold(line):
+            yield at, line
+        at += len(line) + 1
+
+
+def _find(text: str, at: int) -> list[tuple[int, int, str, str, str]]:
     out = []
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
@@ -241,7 +257,7 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
         if kind == "name":
             before = text[: m.start()].rstrip(" .").rsplit(None, 1)
             gender = TITLES.get(before[-1].strip("(\"'«“") if before else "", "n")
-        out.append((m.start(), m.end(), kind, m.group(0), gender))
+        out.append((at + m.start(), at + m.end(), kind, m.group(0), gender))
     return out
 
 
