@@ -15,6 +15,7 @@ from .pii import op4_pii_surrogates
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
 from .urlfilter import op9_url_filter
+from .vectors import op5_embedding_neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op4_pii_surrogates": op4_pii_surrogates,
+        "op5_embedding_neardup": op5_embedding_neardup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
