@@ -8,7 +8,8 @@ joins ids to ``tokens`` and concatenates by ordered aggregation.
 
 Pieces recur, so a worker remembers what it has encoded (``REMEMBERED`` entries; then it starts over):
 the recursive query runs over pieces that are new to the worker.  A text splits at every space that has
-no white space after it, which the pre-tokenizer's pattern never crosses, so whole chunks are looked up.
+no white space after it, which the pre-tokenizer's pattern never crosses, so each batch goes through the
+pattern once for each different chunk.
 
 Pieces of over ``LONG`` bytes are first cut between bytes that no token holds side by side, where no
 merge can reach across; in what stays long, all places of a minimum-rank pair are contracted at once
@@ -28,6 +29,7 @@ import threading
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE = 64, 800_000, 100_000
+LONG, REMEMBERED, AT_ONCE = 64, 1_200_000, 100_000
 
 #: ``g`` is a row's place among all; ``s`` is a pair's rank above, its left row's place below, so that the
 #: least ``s`` of a piece is its leftmost pair of minimum rank.
@@ -122,12 +124,9 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        #: ids of each piece, and the bytes that they decode to
+        #: ids of each piece; and what its ids decode to, where that isn't the piece itself
         self.pieces: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        #: the same of chunks, which follow a space, and of what begins a text
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.first: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.odd: dict[bytes, bytes] = {}
 
     def _run(self, sql: str, sizes: np.ndarray, tok: np.ndarray) -> pa.Table:
         """``sql`` over token-position rows: ``sizes[w]`` rows of each piece w, in order."""
@@ -150,7 +149,7 @@ class Codec:
         return out
 
     def _learn_pieces(self, pieces: set[bytes]) -> None:
-        fresh = [x for x in pieces if x not in self.pieces]
+        fresh = list(pieces - self.pieces.keys())
         known = {x: self.ranks[x].to_bytes(4, "little") for x in fresh if x in self.ranks}
         short = [x for x in fresh if x not in known and len(x) <= LONG]
         known.update(zip(short, self.contract(short), strict=True))
@@ -161,7 +160,7 @@ class Codec:
             parts = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self.contract(large, ENCODE_LONG), strict=True))
             known.update({x: b"".join(map(parts.__getitem__, segments)) for x, segments in zip(long, cut, strict=True)})
         self.pieces.update(known)
-        self.decoded.update(zip(known, self.decode(list(known.values())), strict=True))
+        self.odd.update((x, d) for x, d in zip(known, self.decode(list(known.values())), strict=True) if x != d)
 
     def _segments(self, piece: bytes) -> list[bytes]:
         b = np.frombuffer(piece, np.uint8)
@@ -180,38 +179,60 @@ class Codec:
             out += found
         return out
 
-    def _learn(self, chunks: list[str], lead: str, memory: tuple[dict[str, bytes], dict[str, bytes]]) -> None:
-        """``chunks``, each after ``lead``: letters alone are one piece, what else there is goes through the pattern."""
-        plain = {c: (lead + c).encode() for c in chunks if c.isalpha()}
-        split = {c: [x.encode() for x in self.split.findall(lead + c)] for c in chunks if c not in plain}
-        self._learn_pieces({x for pieces in split.values() for x in pieces}.union(plain.values()))
-        for to, known in zip(memory, (self.pieces, self.decoded), strict=True):
-            to.update(zip(plain, map(known.__getitem__, plain.values()), strict=True))
-            to.update({c: b"".join(map(known.__getitem__, pieces)) for c, pieces in split.items()})
+    def _chunks(self, chunks: list[str], lead: str) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of each chunk after ``lead``: letters alone are one piece, what else there is goes through the pattern."""
+        split = [(lead + c).encode() if c.isalpha() else [x.encode() for x in self.split.findall(lead + c)] for c in chunks]
+        self._learn_pieces({x for x in split if type(x) is bytes}.union(*[x for x in split if type(x) is list]))
+        ids, odd = self.pieces, self.odd
+        return (
+            [ids[x] if type(x) is bytes else b"".join([ids[p] for p in x]) for x in split],
+            [odd.get(x, x) if type(x) is bytes else b"".join([odd.get(p, p) for p in x]) for x in split],
+        )
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text, the ids (little-endian, 32 bits each) and the bytes that they decode to."""
-        if len(self.chunks[0]) + len(self.first[0]) + len(self.pieces) > REMEMBERED:
+        if not texts:
+            return []
+        if len(self.pieces) > REMEMBERED:
             self.forget()
-        parts = [t.split(" ") for t in texts]
-        begins = [x[0] for x in parts]
-        for x in parts:
-            del x[0]
-        fresh = set().union(*parts)
-        fresh.difference_update(self.chunks[0])
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = lists.offsets.to_numpy()
+        begin = np.zeros(int(at[-1]), bool)
+        begin[at[:-1]] = True
+        rest = lists.flatten().filter(pa.array(~begin)).dictionary_encode()
+        rest = rest.combine_chunks() if isinstance(rest, pa.ChunkedArray) else rest
+        chunks, codes = rest.dictionary.to_pylist(), rest.indices.to_numpy()
+        begins = [t.split(" ", 1)[0] for t in texts]
         # a space before white space or the end isn't a boundary; texts that have one are split as a whole
-        inner = {c for c in fresh if not c or c[0].isspace()}
-        if inner:
-            for i, x in enumerate(parts):
-                if not inner.isdisjoint(x):
-                    begins[i], parts[i] = texts[i], []
-            fresh = set().union(*parts) - self.chunks[0].keys()
-        self._learn(list(fresh), " ", self.chunks)
-        self._learn(list(set(begins) - self.first[0].keys()), "", self.first)
-        (ids, decoded), (first_ids, first_decoded) = self.chunks, self.first
-        out = [(first_ids[b] + b"".join(map(ids.__getitem__, x)), first_decoded[b] + b"".join(map(decoded.__getitem__, x))) for b, x in zip(begins, parts, strict=True)]
-        self.first = ({}, {})
-        return out
+        use = np.ones(len(begin), bool)
+        if inner := [i for i, c in enumerate(chunks) if not c or c[0].isspace()]:
+            of = np.repeat(np.arange(len(texts)), np.diff(at))[~begin]
+            whole = np.unique(of[np.isin(codes, inner)])
+            for i in whole.tolist():
+                begins[i] = texts[i]
+                use[at[i] + 1 : at[i + 1]] = False
+            kept = np.bincount(codes[use[~begin]], minlength=len(chunks)) > 0
+            chunks = [c if k else "" for c, k in zip(chunks, kept.tolist(), strict=True)]
+        after_space = self._chunks(chunks, " ")
+        leads = {b: len(chunks) + i for i, b in enumerate(dict.fromkeys(begins))}
+        leading = self._chunks(list(leads), "")
+        code = np.empty(len(begin), np.int64)
+        code[~begin] = codes
+        code[begin] = [leads[b] for b in begins]
+        code = code[use]
+        ends = np.concatenate(([0], np.cumsum(use)))[at]  # where each text's chunks are, of those in use
+        out = []
+        for inside, begun, unit in zip(after_space, leading, ("<u4", np.uint8), strict=True):
+            known = inside + begun
+            data = np.frombuffer(b"".join(known), unit)
+            sizes = np.array(list(map(len, known)), np.int64) // data.itemsize
+            starts = np.cumsum(sizes) - sizes
+            n = sizes[code]
+            to = np.concatenate(([0], np.cumsum(n)))
+            got = data[np.repeat((starts[code] - to[:-1]).astype(np.int32), n) + np.arange(to[-1], dtype=np.int32)]
+            edges = to[ends].tolist()
+            out.append([got[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        return list(zip(*out, strict=True))
 
 
 _local = threading.local()
