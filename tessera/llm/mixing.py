@@ -35,6 +35,8 @@ from .common import let, stored, words
 DOMAINS = ("good", "poor", "toxic")
 #: Production weights of the domains' tokens.
 WEIGHTS = (0.88, 0.08, 0.04)
+#: The pipeline's, after quality rules have taken the poor documents.
+PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
 BUCKETS, HEAT = 1 << 11, 20.0
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000

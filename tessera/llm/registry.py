@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .bpe import op6_byte_bpe
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
@@ -22,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_html_extraction": op1_html_extraction,
         "op2_sharding": op2_sharding,
         "op3_minhash_neardup": op3_minhash_neardup,
