@@ -1 +1,101 @@
-from .query import query
+"""Resolution queries: customers and suppliers as people, parts as a catalogue, orders and line items as plans and facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import resolution as R
+
+from .query import Tables, query
+
+
+@query(
+    "name_unique_match",
+    r"""
+WITH v AS (SELECT c_custkey, unnest(list_distinct([right(c_name, 3), right(c_name, 2), right(c_name, 1)])) AS n FROM customer),
+s AS (SELECT s_suppkey, right(s_name, 3) AS n FROM supplier),
+h AS (SELECT c_custkey, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS t FROM v JOIN s USING (n) GROUP BY c_custkey)
+SELECT c.c_custkey, coalesce(CASE WHEN h.n = 1 THEN t END, -1) AS s_suppkey, CASE WHEN h.n IS NULL THEN 'none' WHEN h.n = 1 THEN 'one' ELSE 'many' END AS outcome FROM customer c LEFT JOIN h USING (c_custkey)
+""",
+)
+def name_unique_match(t: Tables) -> DataFrame:
+    """People by name variants: one match is taken, none and several are reported."""
+    variants = F.array(*[F.right("c_name", F.lit(n)) for n in (3, 2, 1)])
+    got = R.unique_match(t.customer, variants, t.supplier.withColumn("n", F.right("s_name", F.lit(3))), "c_custkey", "n", "s_suppkey")
+    return got.withColumn("s_suppkey", F.coalesce("s_suppkey", F.lit(-1)))
+
+
+@query(
+    "exact_duplicate_docs",
+    r"""
+WITH d AS (SELECT doc_id, md5(replace(replace(lower(trim(regexp_replace(replace(text, chr(0), ' '), '\s+', ' ', 'g'))), 'ё', 'е'), 'ß', 'ss')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS copies FROM d QUALIFY copies > 1
+""",
+)
+def exact_duplicate_docs(t: Tables) -> DataFrame:
+    """Equal texts after normalising."""
+    return R.exact_duplicates(t.documents)
+
+
+@query(
+    "fuzzy_catalogue",
+    r"""
+WITH q(query) AS (VALUES ('small steel bolt'), ('large brass'), ('ab'), ('blue')), p AS (SELECT p_partkey, lower(p_name) AS name FROM part),
+s AS (SELECT query, p_partkey, CASE WHEN name = query THEN 1.0::DOUBLE ELSE greatest(CASE WHEN contains(name, query) THEN 0.92 ELSE 0.0 END,
+  0.55 + 0.35 * len(list_intersect(string_split(query, ' '), string_split(name, ' '))) / greatest(1, len(list_distinct(string_split(query, ' ')))),
+  0.9 * (1 - levenshtein(name, query) / greatest(length(name), length(query), 1)),
+  CASE WHEN list_aggregate(list_transform(string_split(name, ' '), lambda w: left(w, 1)), 'string_agg', '') = query THEN 0.88 ELSE 0.0 END)::DOUBLE END AS score FROM q, p)
+SELECT query, p_partkey, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, p_partkey) AS place FROM s WHERE score >= 0.48) WHERE place <= 20
+""",
+)
+def fuzzy_catalogue(t: Tables) -> DataFrame:
+    """The twenty best names for each of a few queries; the queries are broadcast, the catalogue streams by."""
+    from tessera.operators.retrieval import top
+
+    queries = F.broadcast(t.spark.sql("SELECT * FROM VALUES ('small steel bolt'), ('large brass'), ('ab'), ('blue') AS q(query)"))  # four rows
+    scored = t.part.select("p_partkey", F.lower("p_name").alias("name")).crossJoin(queries).select("query", "p_partkey", F.round(R.catalogue_score(F.col("name"), F.col("query")), 6).alias("score"))
+    return top(scored.where("score >= 0.48"), ["query"], [F.desc("score"), F.asc("p_partkey")], 20)
+
+
+@query(
+    "rule_precedence",
+    """
+WITH r AS (SELECT p_type AS path, p_brand AS value, 'type' AS source, 10 AS priority FROM part UNION ALL SELECT p_type, p_brand, 'journal', 20 FROM part WHERE p_size > 25 UNION ALL SELECT p_type, p_brand, 'template', 30 FROM part WHERE p_size > 45),
+u AS (SELECT path, source, priority, min(value) AS value FROM r GROUP BY ALL)
+SELECT path, arg_max(value, priority) AS value, arg_max(source, priority) AS source, count(DISTINCT value) > 1 AS conflict FROM u GROUP BY path
+""",
+)
+def rule_precedence(t: Tables) -> DataFrame:
+    """The value of highest precedence for each path, and whether it overruled another."""
+    level = lambda df, source, priority: df.groupBy(F.col("p_type").alias("path")).agg(F.min("p_brand").alias("value")).select("path", "value", F.lit(source).alias("source"), F.lit(priority).alias("priority"))
+    rules = level(t.part, "type", 10).unionByName(level(t.part.where("p_size > 25"), "journal", 20)).unionByName(level(t.part.where("p_size > 45"), "template", 30))
+    return R.rule_precedence(rules)
+
+
+@query("greedy_allocation")
+def greedy_allocation(t: Tables) -> DataFrame:
+    """Facts to plans of one owner and kind by score, under the plans' capacities; order decides, so no statement."""
+    plans = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("plan"), F.col("o_orderpriority").alias("kind"), (1 + F.col("o_orderkey") % 3).cast("int").alias("capacity"))
+    facts = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("kind"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact"), "l_partkey")
+    score = (F.pmod(F.xxhash64("l_partkey", "plan"), F.lit(1000)) / 1000.0).alias("score")
+    return R.allocate(plans.join(facts, ["owner", "kind"]).select("owner", "plan", "fact", "capacity", score).where("score >= 0.52"))
+
+
+@query(
+    "fingerprint_diff",
+    "WITH a AS (SELECT p_partkey, p_brand AS d FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_brand END AS d FROM part WHERE p_partkey % 7 <> 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (p_partkey) WHERE a.d IS DISTINCT FROM b.d",
+)
+def fingerprint_diff(t: Tables) -> DataFrame:
+    """Members added, removed or changed between two listings."""
+    k = F.col("p_partkey")
+    old = t.part.where(k % 5 != 0).select(k, F.col("p_brand").alias("d"))
+    new = t.part.where(k % 7 != 0).select(k, F.when(k % 4 == 0, "x").otherwise(F.col("p_brand")).alias("d"))
+    return R.fingerprint_diff(old, new, "p_partkey", "d")
+
+
+@query("key_normaliser", r"SELECT p_partkey, regexp_replace(translate(lower(p_name), 'bcё', 'все'), '[^0-9\p{L}]', '', 'g') AS key FROM part")
+def key_normaliser(t: Tables) -> DataFrame:
+    """Catalogue keys."""
+    return t.part.select("p_partkey", X.key_of(F.col("p_name")).alias("key"))
