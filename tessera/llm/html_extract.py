@@ -99,6 +99,8 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up.parent is not None:
                 node = up.parent
+            elif tag == "p":  # an end without a start stands for an empty paragraph
+                node.kids.append(Node("p", node))
             continue
         if tag in SAME_LEVEL or tag in CLOSES_P:
             ends = SAME_LEVEL.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
@@ -203,7 +205,7 @@ def main_text(html: str | None) -> str:
         return "\n".join(_blocks([next((n for n in order if n.tag in ("article", "main")), next((n for n in order if n.tag == "body"), order[0]))]))
     roots = [best]
     if best.parent is not None:
-        least = max(10.0, 0.2 * best.points)
+        least = 0.2 * best.points
         roots = []
         for k in best.parent.kids:
             if k is best or not isinstance(k, str) and (k.points >= least or k.tag == "p" and k.size > 80 and k.links < 0.25 * k.size):

@@ -2,7 +2,7 @@
 
 Records hash into ``SLOTS`` slots, once and for all.  Bytes are summed per slot, and a small versioned
 table maps slots to shards: version 1 gives the heaviest slots out first, each to the lightest shard;
-``rebalance`` writes the next version, moving as few slots as it can.  A record's shard is then one
+``rebalance`` makes the next version, moving as few bytes as it can.  A record's shard is then one
 lookup in a table of ``SLOTS`` rows, whatever the number of records, and only the records of moved slots
 ever change their shard.
 
@@ -51,7 +51,7 @@ def plan(weights: dict[int, int], shards: int) -> dict[int, int]:
     return out
 
 
-def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, slack: float = 0.01) -> dict[int, int]:
+def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, slack: float = 0.001) -> dict[int, int]:
     """The next version of ``old`` for new weights or a new number of shards: slots leave a shard only
     while it is more than ``slack`` above the mean (or is no longer there), and go to the lightest one."""
     new, load = {}, dict.fromkeys(range(shards), 0)

@@ -35,7 +35,7 @@ from .common import cut, stored
 from .graph import components
 
 THRESHOLD = 0.98
-SHARD, OVERLAP, DEGREE, ALPHA, BEAM, SLACK = 1500, 3, 24, 1.2, 48, 0.08
+SHARD, OVERLAP, DEGREE, FAR, ALPHA, BEAM, SLACK = 1500, 3, 24, 6, 1.2, 48, 0.08
 AUDIT, AUDIT_EVERY, AUDIT_QUERIES, TRIES = 0.99, 20, 1000, 3
 #: The bound of the sample that centroids are fitted on, per label.
 CENTROID_SAMPLE = 4000
@@ -64,8 +64,11 @@ def robust_prune(point: int, found: np.ndarray, x: np.ndarray, degree: int = DEG
 
 
 def build(x: np.ndarray) -> list[list[int]]:
-    """A shard's graph: each vector's nearest ones, robustly pruned, with edges both ways."""
+    """A shard's graph: each vector's nearest ones and a random few, each robustly pruned, with edges both ways.
+
+    The random ones keep tight clusters, whose nearest are all their own, in one graph."""
     n, near = len(x), min(len(x) - 1, 2 * DEGREE)
+    rng = np.random.default_rng(n)
     lists: list[list[int]] = [[] for _ in range(n)]
     for s in range(0, n, 512):
         sim = x[s : s + 512] @ x.T
@@ -75,7 +78,9 @@ def build(x: np.ndarray) -> list[list[int]]:
         best = np.argpartition(-sim, near - 1, axis=1)[:, :near]
         order = np.take_along_axis(best, np.argsort(-np.take_along_axis(sim, best, axis=1), axis=1, kind="stable"), axis=1)
         for i, found in enumerate(order):
-            lists[s + i] = robust_prune(s + i, found, x)
+            far = rng.integers(0, n, 2 * FAR)
+            far = far[np.argsort(-(x[far] @ x[s + i]), kind="stable")]
+            lists[s + i] = robust_prune(s + i, found, x) + robust_prune(s + i, far[far != s + i], x, FAR)
     back: list[list[int]] = [list(v) for v in lists]
     for i, v in enumerate(lists):
         for j in v:
@@ -83,12 +88,22 @@ def build(x: np.ndarray) -> list[list[int]]:
     return [sorted(set(v)) for v in back]
 
 
-def search(query: np.ndarray, start: int, x: np.ndarray, graph: list[np.ndarray], beam: int, least: float) -> list[int]:
+def medoids(x: np.ndarray, most: int = 8) -> np.ndarray:
+    """Where searches begin: the vector nearest to the mean, then each time the one farthest from those before."""
+    out = [int(np.argmax(x @ x.mean(axis=0)))]
+    near = x @ x[out[0]]
+    while len(out) < min(most, len(x)):
+        out.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[out[-1]])
+    return np.unique(out)
+
+
+def search(query: np.ndarray, start: np.ndarray, x: np.ndarray, graph: list[np.ndarray], beam: int, least: float) -> list[int]:
     """Greedy search from ``start`` with a beam, then expansion over everything within ``SLACK`` of the range."""
     seen = np.zeros(len(x), bool)
     seen[start] = True
-    front, close = np.array([start]), np.array([float(x[start] @ query)])
-    done = np.zeros(1, bool)
+    front, close = start, x[start] @ query
+    done = np.zeros(len(start), bool)
     while not done.all():
         at = int(np.argmax(np.where(done, -2, close)))
         done[at] = True
@@ -129,8 +144,7 @@ def _shard_search(beam: int, threshold: float):
         x, cls = unit(pdf["embedding"].tolist()), pdf["cls"].to_numpy()
         place = {c: i for i, c in enumerate(cls.tolist())}
         graph = [np.array(sorted({place[c] for c in near if c in place}), np.int64) for near in pdf["near"]]
-        middle = x.mean(axis=0)
-        start = int(np.argmax(x @ middle))  # the medoid
+        start = medoids(x)
         out = []
         for i in range(len(x)):
             for j in search(x[i], start, x, graph, beam, threshold - 1e-7):
