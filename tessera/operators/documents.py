@@ -31,7 +31,7 @@ def packed(sentences: Column, most: int = MAX_CHARS, least: int = LEAST_CHARS) -
 def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, chunk): paragraphs of 40 characters or more, cut into sentences and packed."""
     paragraphs = F.filter(F.transform(F.split(F.col(text), r"[\r\n]+"), X.squeeze), lambda p: F.length(p) >= LEAST_PARAGRAPH)
-    cut = F.filter(F.transform(F.flatten(F.transform(paragraphs, X.sentences)), F.trim), lambda s: s != "")
+    cut = F.filter(F.transform(F.flatten(F.transform(paragraphs, X.sentences)), lambda s: F.trim(s)), lambda s: s != "")
     all_ = F.when(F.size(cut) > 0, cut).otherwise(F.array(X.squeeze(F.col(text))))
     return docs.select(key, all_.alias("_s")).select(key, F.posexplode(packed(F.col("_s"))).alias("place", "chunk"))
 
