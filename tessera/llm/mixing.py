@@ -10,11 +10,12 @@ and all documents of a domain move alike, and by the inverse of the scaled probl
 
 Each iteration is one aggregation to as many numbers as there are domains; nothing else reaches the
 driver, and no step joins or shuffles documents.  The default target takes nothing away: the total is
-raised until no domain's target lies below what is there, so that rates stay at 1 or above up to the fit's
-tolerance.
+raised until no domain's target lies below what is there; a domain's target is held to ``MOST_GROWTH`` times
+what is there, since repeating documents oftener adds little.
 
-The classifier is multinomial naive Bayes on hashed words, its log-odds divided by ``heat`` words: words of a
-text depend on each other, and undivided odds would make every posterior 0 or 1.
+The classifier is multinomial naive Bayes on hashed words, each domain's word distribution drawn towards the
+pooled one by ``PRIOR_TOKENS`` words, so that a domain of few labels decides little; log-odds are divided by
+``HEAT``, as words of a text depend on each other and undivided odds would make every posterior 0 or 1.
 
 Defined results: a null or empty text has 0 tokens, the prior as posterior, and rate 1; with no labelled
 row the posterior is uniform; a target for a domain that nothing belongs to can't be met and is left
@@ -37,7 +38,7 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.88, 0.08, 0.04)
 #: The pipeline's, after quality rules have taken the poor documents.
 PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
-BUCKETS, HEAT = 1 << 11, 20.0
+BUCKETS, HEAT, PRIOR_TOKENS, MOST_GROWTH = 1 << 11, 20.0, 20_000, 2.0
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000
 ROUNDS, TOLERANCE = 24, 1e-4
@@ -66,14 +67,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .agg(F.count("*").alias("n"))
         .collect()
     )  # domains x (buckets + 1)
-    rows, seen = [[1.0] * BUCKETS for _ in DOMAINS], [1.0] * len(DOMAINS)
+    rows, seen = [[0.0] * BUCKETS for _ in DOMAINS], [1.0] * len(DOMAINS)
     for r in counts:
         if r["bucket"] < 0:
             seen[r["domain"]] += r["n"]
         else:
             rows[r["domain"]][r["bucket"]] += r["n"]
+    pooled = [1.0 + sum(col) for col in zip(*rows, strict=True)]
+    whole = sum(pooled)
     prior = [math.log(s / sum(seen)) for s in seen]
-    return prior, [[math.log(x / sum(row)) for x in row] for row in rows]
+    return prior, [[math.log((x + PRIOR_TOKENS * p / whole) / (sum(row) + PRIOR_TOKENS)) for x, p in zip(row, pooled, strict=True)] for row in rows]
 
 
 def posteriors(df: DataFrame, model: tuple[list[float], list[list[float]]], text: str = "text") -> DataFrame:
@@ -95,10 +98,11 @@ def posteriors(df: DataFrame, model: tuple[list[float], list[list[float]]], text
 
 
 def targets_keeping_all(totals: list[float], weights=WEIGHTS) -> list[float]:
-    """Domain targets in proportion to ``weights``, their sum the least that takes nothing from any domain."""
+    """Domain targets in proportion to ``weights``, their sum the least that takes nothing from any domain,
+    and none above MOST_GROWTH times what is there."""
     share = [w / sum(weights) for w in weights]
     whole = max((t / s for t, s in zip(totals, share, strict=True) if s > 0), default=0.0)
-    return [whole * s for s in share]
+    return [min(whole * s, MOST_GROWTH * t) for s, t in zip(share, totals, strict=True)]
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
