@@ -21,7 +21,8 @@ TERMINAL = ("completed", "failed", "cancelled")
 
 def heartbeat_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour", by: str = "user_id", time: str = "ts") -> DataFrame:
     """(by, start, end, beats): runs of heartbeats without a pause of ``gap``."""
-    timed = events.withWatermark(time, watermark) if events.isStreaming else events
+    # a watermark needs a time with a zone; the session's is taken for times without one
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark) if events.isStreaming else events
     s = timed.groupBy(by, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("beats"))
     return s.select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "beats")
 
