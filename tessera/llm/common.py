@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -42,8 +43,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder is the cluster's to clear
-        pass
+    except Exception:  # the session has ended: a local folder can still be cleared, another is the cluster's
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
