@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE = 64, 500_000, 100_000
+LONG, REMEMBERED, AT_ONCE = 64, 400_000, 40_000
 
 #: ``g`` is a row's place among all; ``s`` is a pair's rank above, its left row's place below, so that the
 #: least ``s`` of a piece is its leftmost pair of minimum rank.
@@ -112,7 +112,7 @@ class Codec:
             if len(token) > 1:
                 b = np.frombuffer(token, np.uint8)
                 self.beside[b[:-1], b[1:]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         for name, columns in (
             ("merges", {"k": (l.astype(np.int64) << 32) + r, "t": t}),
             ("plain", {"t": np.array(sorted(set(t.tolist()) - odd), np.int32)}),
@@ -247,7 +247,7 @@ def codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
 
 
 RESULT = T.StructType([T.StructField(c, T.BinaryType() if c in ("ids", "decoded") else T.LongType() if c == "n_tokens" else T.StringType()) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")])
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests_only: bool = False) -> DataFrame:
