@@ -41,7 +41,7 @@ PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
 BUCKETS, HEAT, PRIOR_TOKENS, MOST_GROWTH = 1 << 11, 20.0, 20_000, 2.0
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000
-ROUNDS, TOLERANCE = 24, 1e-4
+ROUNDS, TOLERANCE = 60, 1e-4
 #: Gradient steps between two writes of the rates.
 STEPS_A_PASS = 6
 
@@ -125,7 +125,7 @@ def fit_rates(df: DataFrame, targets: list[float] | None = None, weights=WEIGHTS
     """``df`` (with tokens and posterior) with ``rate``; the targets; the expected totals that the rates give.
 
     ``df`` should be a stored table: each round reads its two columns.  A round's step comes from the curvature
-    over documents whose rate isn't held at 0, and is halved when it doesn't bring the totals nearer.
+    over documents whose rate isn't held at 0; where such steps, halved, come no nearer, bare gradient steps go on.
     """
     width = len(DOMAINS)
     p = [F.coalesce(F.get("posterior", F.lit(d)), F.lit(0.0)) for d in range(width)]
@@ -143,18 +143,24 @@ def fit_rates(df: DataFrame, targets: list[float] | None = None, weights=WEIGHTS
     gap_of = lambda totals: [x - t for x, t in zip(totals, targets, strict=True)]
     worst = lambda gap: max(abs(g) for g in gap) / max(1.0, sum(targets))
     gap, scale = gap_of(reached), 1.0
+    square = lambda gap: sum(g * g for g in gap)
+    # a step along the bare gradient, no longer than the inverse of the largest eigenvalue, always descends
+    safe = 1.0 / max(1e-12, sum(curvature[d][d] for d in range(width)))
     for i in range(rounds):
-        if worst(gap) < tolerance or scale < 1e-3:
+        if worst(gap) < tolerance:
             break
-        step = [scale * x for x in _solve(curvature, gap)]
+        step = [scale * x for x in _solve(curvature, gap)] if scale >= 0.1 else [safe * g for g in gap]
         push = sum((F.lit(s) * x for s, x in zip(step, p, strict=True)), F.lit(0.0))
         moved = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - push))
         if (i + 1) % STEPS_A_PASS == 0:
             moved = stored(moved, "rates")
         reached_now, curvature_now = sums(moved)
-        if worst(gap_of(reached_now)) < worst(gap):
-            now, reached, curvature, gap, scale = moved, reached_now, curvature_now, gap_of(reached_now), min(1.0, 2 * scale)
-        else:
+        gained = square(gap) - square(gap_of(reached_now))
+        if gained > 0:
+            now, reached, curvature, gap = moved, reached_now, curvature_now, gap_of(reached_now)
+        if gained <= 1e-9 * square(gap):
+            if scale < 0.1:
+                break
             scale /= 2
     return now, targets, reached
 

@@ -203,8 +203,16 @@ def test_down_weighting_stays_nonnegative(spark):
     scored = mixing.posteriors(df, mixing.train(df, known)).cache()
     now = [sum(r.tokens * r.posterior[d] for r in scored.collect()) for d in range(3)]
     rated, targets, reached = mixing.fit_rates(scored, targets=[now[0], 0.2 * now[1], 0.3 * now[2]])
-    assert all(r.rate >= 0 for r in rated.collect())
-    assert sum(abs(a - b) for a, b in zip(targets, reached, strict=True)) < 0.5 * sum(abs(a - b) for a, b in zip(targets, now, strict=True))
+    rows = rated.collect()
+    assert all(r.rate >= 0 for r in rows)
+    # nine tenths of what an independent solver gains in many more steps
+    a = np.array([[r.tokens * r.posterior[d] for r in rows] for d in range(3)])
+    x = np.ones(len(rows))
+    step = 1 / np.linalg.eigvalsh(a @ a.T).max()
+    for _ in range(20_000):
+        x = np.maximum(0, x - step * a.T @ (a @ x - targets))
+    best, own, start = (np.square(np.array(v) - targets).sum() for v in (a @ x, reached, now))
+    assert own <= best + 0.1 * (start - best)
 
 
 def test_copies_average_the_rate(spark):
