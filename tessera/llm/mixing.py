@@ -9,9 +9,9 @@ and all documents of a domain move alike, and by the inverse of the scaled probl
 (domains x domains) matrix of token-weighted posterior products, so that a few rounds suffice.
 
 Each iteration is one aggregation to as many numbers as there are domains; nothing else reaches the
-driver, and no step joins or shuffles documents.  The default target takes nothing away: the total is
-raised until no domain's target lies below what is there; a domain's target is held to ``MOST_GROWTH`` times
-what is there, since repeating documents oftener adds little.
+driver, and no step joins or shuffles documents.  The targets of ``op7_mixing`` and the pipeline share out the present total of tokens
+in proportion to the weights: documents of a domain that is over its share get rates below 1, those of one
+that is under it rates above 1, however much it has to grow.
 
 The classifier is multinomial naive Bayes on hashed words, each domain's word distribution drawn towards the
 pooled one by ``PRIOR_TOKENS`` words, so that a domain of few labels decides little; log-odds are divided by
@@ -98,13 +98,18 @@ def posteriors(df: DataFrame, model: tuple[list[float], list[list[float]]], text
 
 
 def targets_keeping_all(totals: list[float], weights=WEIGHTS) -> list[float]:
-    """Domain targets in proportion to ``weights``, their sum the least that takes nothing from any domain,
-    and none above MOST_GROWTH times what is there."""
+    """Targets that take nothing from any domain, none above MOST_GROWTH times what is there: they fall short of
+    ``weights`` where a domain would have to grow further.  No registered query uses them."""
     share = [w / sum(weights) for w in weights]
     whole = max((t / s for t, s in zip(totals, share, strict=True) if s > 0), default=0.0)
     return [min(whole * s, MOST_GROWTH * t) for s, t in zip(share, totals, strict=True)]
 
 
+def targets_of_total(totals: list[float], weights=WEIGHTS) -> list[float]:
+    """Domain targets in proportion to ``weights``; their sum is that of ``totals``."""
+    return [sum(totals) * w / sum(weights) for w in weights]
+
+
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
     """x of m x = v for a small positive matrix, its diagonal raised a little so that empty domains don't matter."""
     n, lift = len(m), 1e-6 * max(1.0, max(m[i][i] for i in range(len(m))))
@@ -165,10 +170,15 @@ def fit_rates(df: DataFrame, targets: list[float] | None = None, weights=WEIGHTS
     return now, targets, reached
 
 
+def fit_weights(df: DataFrame, weights=WEIGHTS) -> tuple[DataFrame, list[float], list[float]]:
+    """``fit_rates`` to the whole ``weights`` at the present total of tokens."""
+    row = df.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(d))) for d in range(len(DOMAINS))]).first()
+    return fit_rates(df, targets_of_total([float(x or 0) for x in row], weights))
+
+
 def copies(rate: Column, key: Column, seed: int = 11) -> Column:
     """How often a document is taken: the rate's whole part, and once more with the rest as probability, by a keyed
-    hash.  A rate short of 1 by no more than the fit's tolerance counts as 1."""
-    rate = F.when(rate.between(1 - 0.01, 1), 1.0).otherwise(rate)
+    hash."""
     draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
@@ -177,7 +187,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, key: str = "doc_id"
     """``docs`` with ``tokens``, ``posterior`` and ``rate``."""
     model = train(docs, labels, key, text)
     scored = stored(posteriors(docs, model, text), "posteriors")
-    return fit_rates(scored, weights=weights)[0]
+    return fit_weights(scored, weights)[0]
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -186,5 +196,5 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
     scored = stored(posteriors(docs, model).drop("text"), "posteriors")
-    rated = fit_rates(scored)[0]
+    rated = fit_weights(scored)[0]
     return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

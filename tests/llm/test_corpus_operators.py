@@ -197,6 +197,19 @@ def test_rates_meet_targets(spark):
     assert np.abs(a @ np.array([r.rate for r in rows]) - targets).max() <= 1e-3 * sum(targets)
 
 
+def test_weights_are_met_whole(spark):
+    """A rare domain has to grow beyond twice its size: shares are those asked for, in rates and in copies' expectation."""
+    docs, labels = _mixed_corpus(random.Random(8))
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    asked = (0.3, 0.1, 0.6)
+    rows = mixing.mix(df, known, asked).collect()
+    now = [sum(r.tokens * r.posterior[d] for r in rows) for d in range(3)]
+    totals = [sum(r.rate * r.tokens * r.posterior[d] for r in rows) for d in range(3)]
+    assert asked[2] * sum(now) > 2 * now[2]
+    assert [t / sum(totals) for t in totals] == pytest.approx(asked, abs=1e-3)
+    assert sum(totals) == pytest.approx(sum(now), rel=1e-3)
+
+
 def test_down_weighting_stays_nonnegative(spark):
     docs, labels = _mixed_corpus(random.Random(7))
     df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
