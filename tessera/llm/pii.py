@@ -11,8 +11,9 @@ Surrogates of numbers, addresses and credentials come from a keyed permutation (
 entity's digits and letters, walked on until the result is admissible), so two entities of one format
 never share one.  A collision check over the corpus confirms distinctness: (type, surrogate) pairs with
 several originals, as can happen for names, are found by an aggregation over entities, and all but the
-first original get a numbered variant.  The variants are a small table, empty unless names collide; up to
-``MAX_BROADCAST_VARIANTS`` they are broadcast, beyond that they are joined.
+first original take their next variant; that is repeated, each round checkpointed, until no surrogate has two
+originals.  One name after titles of several genders is one original.  The variants are empty unless names
+collide; up to ``MAX_BROADCAST_VARIANTS`` they are broadcast, beyond that they are joined to the texts' names.
 
 Defined results: a null text stays null and an empty one empty; a text without entities is unchanged,
 character by character; overlapping candidates are resolved from the left, the longer first; repeated
@@ -178,7 +179,8 @@ def _family(name: str, script: str, gender: str, key: bytes, variant: int) -> st
     n = _random(key, "family", script, name.casefold(), variant)
     s = SYLLABLES[script]
     out = ""
-    for _ in range(4):
+    # longer at higher variants, so that there is room for any number of names
+    for _ in range(4 + variant // 4):
         n, i = divmod(n, len(s))
         out += s[i]
     return out.capitalize() + ENDINGS[(script, gender)]
@@ -296,27 +298,42 @@ def _replacer(key: bytes, shared=None):
     return of
 
 
+def _surrogates(key: bytes):
+    @F.pandas_udf(T.StringType())
+    def of(genders: pd.Series, forms: pd.Series, variants: pd.Series) -> pd.Series:
+        return pd.Series([surrogate("name", f, key, g, int(v)) for g, f, v in zip(genders, forms, variants, strict=True)], dtype=object)
+
+    return of
+
+
+def _names(key: bytes):
+    @F.pandas_udf(T.ArrayType(ENTITY))
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "gender", "original", "surrogate"), e, strict=True)) for e in replace(t, key)[1] if e[0] == "name"] if isinstance(t, str) and _titled(t) else [] for t in texts], dtype=object)
+
+    return of
+
+
 def collisions(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
     """(kind, gender, form, variant): the canonical forms that must take another surrogate than their first one.
 
     Only names can collide (the rest is permuted); the aggregation runs over distinct names, partial sums first.
+    Each round, of the originals that share a surrogate the one of least (variant, name) keeps it and the others take
+    their next variant, so surrogates given before stay with their owners unless an earlier one comes to claim them.
     """
     ship(df.sparkSession)
-
-    @F.pandas_udf(T.ArrayType(ENTITY))
-    def names(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "gender", "original", "surrogate"), e, strict=True)) for e in replace(t, key)[1] if e[0] == "name"] if isinstance(t, str) and _titled(t) else [] for t in texts], dtype=object)
-
-    found = df.select(F.explode(names(F.col(text))).alias("e")).select("e.kind", "e.gender", F.col("e.original").alias("form"), "e.surrogate").distinct()
-    rank = F.sequence(F.lit(0), F.size("forms") - 1)
-    return (
-        found.groupBy("kind", "surrogate")
-        .agg(F.sort_array(F.collect_set(F.struct("form", "gender"))).alias("forms"))
-        .where(F.size("forms") > 1)
-        .select("kind", F.explode(F.arrays_zip("forms", rank.alias("variant"))).alias("x"))
-        .select("kind", "x.forms.gender", "x.forms.form", F.col("x.variant").alias("variant"))
-        .where("variant > 0")
-    )
+    found = df.select(F.explode(_names(key)(F.col(text))).alias("e")).select("e.kind", "e.gender", F.col("e.original").alias("form"), "e.surrogate").distinct()
+    now = cut(found.select("kind", "gender", "form", F.col("form").alias("name"), F.lit(0).alias("variant"), "surrogate"))
+    while True:
+        # whose a surrogate is; a name's genders go together
+        shared = now.groupBy("kind", "surrogate").agg(F.min(F.struct("variant", "name")).alias("first"), F.max(F.struct("variant", "name")).alias("last")).where("first <> last")
+        moving = now.join(shared, ["kind", "surrogate"]).where(F.struct("variant", "name") != F.col("first")).select("kind", "name").distinct()
+        moving = cut(moving)
+        if moving.limit(1).count() == 0:
+            return now.where("variant > 0").select("kind", "gender", "form", "variant")
+        moved = now.join(moving, ["kind", "name"], "left_semi").withColumn("variant", F.col("variant") + 1)
+        moved = moved.withColumn("surrogate", _surrogates(key)(F.col("gender"), F.col("form"), F.col("variant")))
+        now = cut(now.join(moving, ["kind", "name"], "left_anti").unionByName(moved))
 
 
 def replace_pii(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, entities: str = "entities") -> DataFrame:

@@ -255,3 +255,25 @@ def test_colliding_names_get_variants(spark, monkeypatch):
     assert pii.surrogate("name", "Bob", gender="m", variant=1) == "Same1"
     new, _ = pii.replace("Mr Ann and Mr Bob", variants={("name", "m", "Bob"): 1})
     assert new == "Mr Same0 and Mr Same1"
+
+
+def _colliding():
+    """Names a, b, c: a and b share a surrogate, and b's next one is c's."""
+    names = [f"Zed{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(17_000)]
+    owner, pairs = {}, []
+    for x in names:
+        new = pii.surrogate("name", x)
+        pairs += [(owner[new], x)] if new in owner else []
+        owner.setdefault(new, x)
+    return next((a, b, c) for a, b in pairs if (c := owner.get(pii.surrogate("name", b, variant=1))) is not None and c not in (a, b))
+
+
+def test_collisions_end_in_distinct_surrogates(spark):
+    names = _colliding()
+    df = spark.createDataFrame([(i, f"Dr {x} came.") for i, x in enumerate(names)], "doc_id long, text string")
+    got = [e.surrogate for r in pii.replace_pii(df).collect() for e in r.entities]
+    assert len(got) == len(set(got)) == 3
+
+
+def test_one_name_of_several_genders_is_no_collision(spark):
+    assert pii.collisions(spark.createDataFrame([(i, f"{t} Zeda came.") for i, t in enumerate(("Mr", "Mrs", "Dr"))], "doc_id long, text string")).count() == 0
