@@ -336,16 +336,35 @@ def collisions(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> D
         now = cut(now.join(moving, ["kind", "name"], "left_anti").unionByName(moved))
 
 
+def _joined(df: DataFrame, taken: DataFrame, text: str, key: bytes) -> DataFrame:
+    """``df`` with ``_pii``; variants reach each different text by a join on its names."""
+
+    @F.pandas_udf(REPLACED)
+    def of(texts: pd.Series, variants: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, v in zip(texts, variants, strict=True):
+            known = {("name", e["gender"], e["form"]): e["variant"] for e in v} if v is not None else None
+            rows.append(replace(t, key, known) if isinstance(t, str) else (None, []))
+        return pd.DataFrame({"text": [r[0] for r in rows], "entities": [[dict(zip(("kind", "gender", "original", "surrogate"), e, strict=True)) for e in r[1]] for r in rows]})
+
+    # texts are told apart by a digest, so that neither keys nor repeated rows matter
+    marked = df.withColumn("_text", F.sha2(F.col(text), 256))
+    named = marked.select("_text", F.explode(_names(key)(F.col(text))).alias("e")).select("_text", "e.kind", "e.gender", F.col("e.original").alias("form")).distinct()
+    own = named.join(taken.hint("merge"), ["kind", "gender", "form"]).groupBy("_text").agg(F.collect_list(F.struct("gender", "form", "variant")).alias("_variants"))
+    return marked.join(own.hint("merge"), "_text", "left").withColumn("_pii", of(F.col(text), F.col("_variants"))).drop("_text", "_variants")
+
+
 def replace_pii(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, entities: str = "entities") -> DataFrame:
-    """``df`` with ``text`` replaced and ``entities`` (type, gender, original, surrogate) listed; nothing is shuffled but names."""
+    """``df`` with ``text`` replaced and ``entities`` (type, gender, original, surrogate) listed; nothing is shuffled but
+    names, and texts where there are more than MAX_BROADCAST_VARIANTS variants."""
     ship(df.sparkSession)
     taken = cut(collisions(df, text, key))
-    shared = None
-    if (n := taken.count()) > MAX_BROADCAST_VARIANTS:
-        raise ValueError(f"{n} names share surrogates; lengthen SYLLABLES' use in _family, or raise MAX_BROADCAST_VARIANTS")
-    if n:
-        shared = df.sparkSession.sparkContext.broadcast({(r["kind"], r["gender"], r["form"]): r["variant"] for r in taken.collect()})
-    got = df.withColumn("_pii", _replacer(key, shared)(F.col(text)))
+    n = taken.count()
+    if n > MAX_BROADCAST_VARIANTS:
+        got = _joined(df, taken, text, key)
+    else:
+        shared = df.sparkSession.sparkContext.broadcast({(r["kind"], r["gender"], r["form"]): r["variant"] for r in taken.collect()}) if n else None
+        got = df.withColumn("_pii", _replacer(key, shared)(F.col(text)))
     return got.withColumns({text: F.col("_pii.text"), entities: F.col("_pii.entities")}).drop("_pii")
 
 

@@ -277,3 +277,14 @@ def test_collisions_end_in_distinct_surrogates(spark):
 
 def test_one_name_of_several_genders_is_no_collision(spark):
     assert pii.collisions(spark.createDataFrame([(i, f"{t} Zeda came.") for i, t in enumerate(("Mr", "Mrs", "Dr"))], "doc_id long, text string")).count() == 0
+
+
+def test_many_variants_are_joined(spark, monkeypatch):
+    rows = [(1, "Mr Zeda met Dr Zedb. Zedb left."), (1, "Mr Zeda met Dr Zedb. Zedb left."), (2, "Mrs Zedb"), (3, None), (4, "none here"), (None, "a@b.example.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = spark.createDataFrame([("name", "n", "Zedb", 3), ("name", "f", "Zedb", 3)], "kind string, gender string, form string, variant int")
+    monkeypatch.setattr(pii, "collisions", lambda *a: taken)
+    small = sorted(map(repr, pii.replace_pii(df).collect()))
+    monkeypatch.setattr(pii, "MAX_BROADCAST_VARIANTS", 1)
+    assert sorted(map(repr, pii.replace_pii(df).collect())) == small and len(small) == len(rows)
+    assert any(pii.surrogate("name", "Zedb", variant=3) in r for r in small)
