@@ -10,7 +10,8 @@ double precision.
 
 Recall is audited: about ``AUDIT_QUERIES`` classes, of those with an id divisible by ``AUDIT_EVERY``, are
 compared with all classes of their labels in blocks, and while the share of their links that the graph
-found is below ``AUDIT`` everything is done again with more overlap and a wider beam.
+found is below ``AUDIT`` everything is done again with more overlap and a wider beam.  Where ``TRIES`` rounds
+don't reach it, all pairs of a label are compared in blocks of about ``BLOCK`` classes: that is exact.
 
 Tasks hold one shard each, of ``SHARD`` vectors on average: the number of centroids grows with the classes.
 Classes meet their label's centroids in blocks, whose number grows with the root of the classes' number.
@@ -36,7 +37,7 @@ from .graph import components
 
 THRESHOLD = 0.98
 SHARD, OVERLAP, DEGREE, FAR, ALPHA, BEAM, SLACK = 1500, 3, 24, 6, 1.2, 48, 0.08
-AUDIT, AUDIT_EVERY, AUDIT_QUERIES, TRIES = 0.99, 20, 1000, 3
+AUDIT, AUDIT_EVERY, AUDIT_QUERIES, TRIES, BLOCK = 0.99, 20, 1000, 3, 4000
 #: The bound of the sample that centroids are fitted on, per label.
 CENTROID_SAMPLE = 4000
 
@@ -176,7 +177,8 @@ def _audit(threshold: float):
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         q, x = unit(left["embedding"].tolist()), unit(right["embedding"].tolist())
-        i, j = np.nonzero(q @ x.T >= threshold - 1e-7)
+        near = [np.nonzero(q[s : s + 512] @ x.T >= threshold - 1e-7) for s in range(0, len(q), 512)]
+        i, j = np.concatenate([n[0] + 512 * k for k, n in enumerate(near)]), np.concatenate([n[1] for n in near])
         a, b = left["cls"].to_numpy()[i], right["cls"].to_numpy()[j]
         exact = np.array([float(q[s] @ x[t]) >= threshold for s, t in zip(i, j, strict=True)], bool)
         a, b = a[exact & (a != b)] if len(a) else a, b[exact & (a != b)] if len(b) else b
@@ -207,17 +209,28 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .distinct()
     )
     overlap, beam = OVERLAP, BEAM
-    for attempt in range(TRIES):
+    for _ in range(TRIES):
         placed = stored(_assign(blocked, centres.select("*", every_block), overlap), "placed")
         lists = placed.groupBy("label", "shard").applyInPandas(_shard_graph, "label int, cls long, near array<long>")
         united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most overlap lists
         found = cut(placed.join(united, "cls").groupBy("label", "shard").applyInPandas(_shard_search(beam, threshold), "a long, b long").distinct())
         wanted = truth.count()
         recall = truth.join(found, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
-        if recall >= AUDIT or attempt == TRIES - 1:
-            break
+        if recall >= AUDIT:
+            return found
         overlap, beam = 2 * overlap, 2 * beam
-    return found
+    return _all_pairs(classes, threshold)
+
+
+def _all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all classes of a label that are alike, each pair of blocks in a task of its own."""
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, math.ceil(most / BLOCK))
+    own = classes.select("cls", "embedding", "label", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(blocks)).cast("int").alias("own"))
+    left = own.select("cls", "embedding", "label", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
+    right = own.select("cls", "embedding", "label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    pairs = left.groupBy("label", "i", "j").cogroup(right.groupBy("label", "i", "j")).applyInPandas(_audit(threshold), "a long, b long")
+    return cut(pairs.distinct())
 
 
 def _assign(classes: DataFrame, centres: DataFrame, overlap: int) -> DataFrame:

@@ -161,6 +161,21 @@ def test_vectors_equal_brute_force(spark):
         assert (r.n_links, r.component_id, r.kept) == (counts[i], truth[i], truth[i] == i)
 
 
+def test_vectors_are_compared_in_blocks_where_the_graph_misses_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_shard_search", lambda beam, threshold: lambda pdf: pdf[["cls"]].head(0).assign(a=0, b=0)[["a", "b"]])
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "TRIES", 1)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in centres[i % 6] + 0.03 * rng.normal(size=8)], i % 2) for i in range(200)]
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    alike = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    assert got == {i: int(alike[i].sum()) - 1 for i in range(200)} and alike.sum() > 1000
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
