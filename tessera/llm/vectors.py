@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors are compared within their label only.  Equal vectors fall into one class first.  A label's classes are
+Vectors are compared within their label and length only; below, a label is one such pair.  Equal vectors fall into one class first.  A label's classes are
 dealt to cluster shards around centroids, each class to its ``OVERLAP`` nearest, so that shards overlap.
 In each shard a flat graph is built by robust pruning (a neighbour is kept unless one kept before is nearer to it
 by the factor ``ALPHA``), and the lists of a class from all its shards are united.  Every class is then
@@ -16,8 +16,7 @@ don't reach it, all pairs of a label are compared in blocks of about ``BLOCK`` c
 Tasks hold one shard each, of ``SHARD`` vectors on average: the number of centroids grows with the classes.
 Classes meet their label's centroids in blocks, whose number grows with the root of the classes' number.
 
-Defined results: vectors that are null, empty, zero, of another length than their label's commonest, or hold
-null or non-finite components, and vectors of null label, link with nothing and are their own component;
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of null label, link with nothing and are their own component;
 equal vectors link with each other; null ids link with nothing; repeated rows count as other vectors unless
 their ids are equal; an empty table gives an empty result.
 """
@@ -193,7 +192,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a sample of fixed size a label, those whose hashes are lowest: taken by a threshold on the hash, not by a sort of the label
     share = F.greatest(F.lit(1.0), F.col("n") / CENTROID_SAMPLE)
     sample = classes.join(counts, "label").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < F.lit(float(1 << 30)) / share)
-    centres = cut(sample.select("label", "cls", "embedding", "n").groupBy("label").applyInPandas(_centroids, "label int, shard int, centre array<double>"))
+    centres = cut(sample.select("label", "cls", "embedding", "n").groupBy("label").applyInPandas(_centroids, "label long, shard int, centre array<double>"))
     total = classes.count()
     blocks = max(4, math.ceil(math.sqrt(total) / 50))
     blocked = classes.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
@@ -211,7 +210,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     overlap, beam = OVERLAP, BEAM
     for _ in range(TRIES):
         placed = stored(_assign(blocked, centres.select("*", every_block), overlap), "placed")
-        lists = placed.groupBy("label", "shard").applyInPandas(_shard_graph, "label int, cls long, near array<long>")
+        lists = placed.groupBy("label", "shard").applyInPandas(_shard_graph, "label long, cls long, near array<long>")
         united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most overlap lists
         found = cut(placed.join(united, "cls").groupBy("label", "shard").applyInPandas(_shard_search(beam, threshold), "a long, b long").distinct())
         wanted = truth.count()
@@ -238,7 +237,7 @@ def _assign(classes: DataFrame, centres: DataFrame, overlap: int) -> DataFrame:
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"label": [], "cls": [], "embedding": [], "shard": []})
+            return pd.DataFrame({"label": [], "cls": [], "embedding": [], "shard": []}, dtype=object)
         x, centre = unit(left["embedding"].tolist()), np.array(right["centre"].tolist()).T
         k = min(overlap, centre.shape[1])
         best = np.concatenate([np.argpartition(-(x[s : s + 1024] @ centre), k - 1, axis=1)[:, :k] for s in range(0, len(x), 1024)])
@@ -246,7 +245,7 @@ def _assign(classes: DataFrame, centres: DataFrame, overlap: int) -> DataFrame:
         out["shard"] = right["shard"].to_numpy()[best].ravel()
         return out
 
-    return classes.groupBy("label", "block").cogroup(centres.groupBy("label", "block")).applyInPandas(nearest, "label int, cls long, embedding array<double>, shard int")
+    return classes.groupBy("label", "block").cogroup(centres.groupBy("label", "block")).applyInPandas(nearest, "label long, cls long, embedding array<double>, shard int")
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -257,9 +256,9 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str
     given = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("e"))
     fit = F.coalesce((F.size(e) > 0) & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     base = stored(given.withColumn("fit", fit), "vectors")
-    lengths = base.where("fit").groupBy("label", F.size("e").alias("length")).agg(F.count("*").alias("n"))
-    length = lengths.groupBy("label").agg(F.max(F.struct("n", "length")).alias("m")).select("label", F.col("m.length").alias("length"))
-    ok = base.where("fit").join(length, "label").where(F.size("e") == F.col("length")).select("id", "label", "e", F.xxhash64("label", "e").alias("cls"))
+    # label and length in one number
+    group = F.col("label").cast("long") * F.lit(1 << 31) + F.size("e")
+    ok = base.where("fit").select("id", group.alias("label"), "e").withColumn("cls", F.xxhash64("label", "e"))
     ok = stored(ok, "usable")
     classes = ok.groupBy("cls").agg(F.first("label").alias("label"), F.first("e").alias("embedding"), F.count("*").alias("n"), F.min("id").alias("rep"), F.max((F.col("id") % AUDIT_EVERY == 0)).alias("query"))
     classes = stored(classes, "vector-classes")
@@ -278,9 +277,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str
     least = of_class.groupBy("whole").agg(F.min("rep").alias("component_id"))
     of_class = cut(of_class.join(least, "whole").select("cls", "n_links", "component_id"))
     linked = ok.select("id", "cls").join(of_class, "cls").select("id", "n_links", "component_id")
-    # what takes no part: not fit, or of an odd length
-    odd = base.where("fit").join(length, "label").where(F.size("e") != F.col("length")).select("id")
-    rest = base.where("not fit").select("id").union(odd).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    rest = base.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(rest).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -176,6 +176,12 @@ def test_vectors_are_compared_in_blocks_where_the_graph_misses_links(spark, monk
     assert got == {i: int(alike[i].sum()) - 1 for i in range(200)} and alike.sum() > 1000
 
 
+def test_vectors_of_a_rarer_length_link_too(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, [1.0, 2.0, 3.0], 0), (3, [-1.0, 2.0, 3.0], 0), (4, [1.0, 2.0], 0), (5, [1.0, 2.0], 0), (6, [1.0, 2.001], 0), (7, [1.0, 2.0], 1), (8, [1.0, 2.0], -1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (0, 8)}
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
