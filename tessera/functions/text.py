@@ -93,10 +93,11 @@ def script_language(s: Column, ratio: float = 1.2, least: int = 12) -> Column:
     )
 
 
-def mixed_script_tokens(s: Column, most: int = 20) -> Column:
-    """The first tokens that mix Cyrillic and Latin letters; the limit is the report's."""
+def mixed_script_tokens(s: Column, most: int | None = 20) -> Column:
+    """The first tokens that mix Cyrillic and Latin letters; the limit is the report's, None gives all."""
     words = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"[A-Za-zА-Яа-яЁё]{2,}"), F.lit(0))
-    return F.slice(F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-яЁё]")), 1, most)
+    mixed = F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-яЁё]"))
+    return mixed if most is None else F.slice(mixed, 1, most)
 
 
 def upper_share(s: Column) -> Column:

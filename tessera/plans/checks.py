@@ -78,7 +78,7 @@ def identifier_issues(t: Tables) -> DataFrame:
 @query("mixed_script_tokens", r"SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]{2,}')) AS t FROM documents) WHERE regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[А-Яа-яЁё]')")
 def mixed_script_tokens(t: Tables) -> DataFrame:
     """Tokens that mix alphabets."""
-    return t.documents.select("doc_id", F.explode(X.mixed_script_tokens(F.col("text"))).alias("token"))
+    return t.documents.select("doc_id", F.explode(X.mixed_script_tokens(F.col("text"), None)).alias("token"))
 
 
 @query(

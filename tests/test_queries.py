@@ -47,3 +47,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_all_mixed_script_tokens(spark, tmp_path):
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, " ".join(f"{chr(97 + i)}ж{chr(97 + i)}" for i in range(25)), "ru", "src0", 99)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["mixed_script_tokens"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["mixed_script_tokens"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 25
