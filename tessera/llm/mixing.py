@@ -41,7 +41,7 @@ PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
 BUCKETS, HEAT, PRIOR_TOKENS, MOST_GROWTH = 1 << 11, 20.0, 20_000, 2.0
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000
-ROUNDS, TOLERANCE = 60, 1e-4
+ROUNDS, TOLERANCE, RIDGE = 60, 1e-4, 1e-5
 #: Gradient steps between two writes of the rates.
 STEPS_A_PASS = 6
 
@@ -170,10 +170,45 @@ def fit_rates(df: DataFrame, targets: list[float] | None = None, weights=WEIGHTS
     return now, targets, reached
 
 
-def fit_weights(df: DataFrame, weights=WEIGHTS) -> tuple[DataFrame, list[float], list[float]]:
-    """``fit_rates`` to the whole ``weights`` at the present total of tokens."""
-    row = df.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(d))) for d in range(len(DOMAINS))]).first()
-    return fit_rates(df, targets_of_total([float(x or 0) for x in row], weights))
+def fit_weights(df: DataFrame, weights=WEIGHTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
+    """``df`` with ``rate`` for the whole ``weights`` at the present total of tokens; the targets; the totals reached.
+
+    Of all rates that meet the targets, those nearest to 1 (in squares weighted by tokens) are max(0, 1 + a score of the
+    posterior), with one number a domain: Newton's method on the dual finds these, and no rates are stored between
+    rounds.  ``RIDGE`` holds the numbers finite where no rates meet the targets; the rest is then left over.
+    """
+    width = len(DOMAINS)
+    p = [F.coalesce(F.get("posterior", F.lit(d)), F.lit(0.0)) for d in range(width)]
+    tokens = F.coalesce(F.col("tokens"), F.lit(0)).cast("double")
+    rate = lambda at: F.greatest(F.lit(0.0), F.lit(1.0) + sum((F.lit(x) * y for x, y in zip(at, p, strict=True)), F.lit(0.0)))
+
+    def sums(at: list[float]) -> list[float]:
+        r = rate(at)
+        free = F.when(r > 0, tokens).otherwise(0.0)
+        row = df.agg(F.sum(tokens * r * r), *[F.sum(r * tokens * x) for x in p], *[F.sum(free * x * y) for x in p for y in p]).first()
+        return [float(x or 0) for x in row]
+
+    at, got = [0.0] * width, sums([0.0] * width)
+    targets = targets_of_total(got[1 : 1 + width], weights)
+    whole = max(1.0, sum(targets))
+    value = lambda v, at: v[0] / whole / 2 - sum(t * x for t, x in zip(targets, at, strict=True)) / whole + RIDGE / 2 * sum(x * x for x in at)
+    for _ in range(rounds):
+        reached = got[1 : 1 + width]
+        slope = [(r - t) / whole + RIDGE * x for r, t, x in zip(reached, targets, at, strict=True)]
+        if max(abs(r - t) for r, t in zip(reached, targets, strict=True)) < tolerance * whole or max(map(abs, slope)) < tolerance / 10:
+            break
+        curvature = [[got[1 + width * (d + 1) + e] / whole + (RIDGE if d == e else 0.0) for e in range(width)] for d in range(width)]
+        step, scale = _solve(curvature, slope), 1.0
+        while True:
+            new = [x - scale * s for x, s in zip(at, step, strict=True)]
+            now = sums(new)
+            if value(now, new) < value(got, at) or scale < 1e-3:
+                break
+            scale /= 2
+        if value(now, new) >= value(got, at):
+            break
+        at, got = new, now
+    return df.withColumn("rate", F.when(tokens > 0, rate(at)).otherwise(1.0)), targets, got[1 : 1 + width]
 
 
 def copies(rate: Column, key: Column, seed: int = 11) -> Column:
