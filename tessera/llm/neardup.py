@@ -1,25 +1,31 @@
 """Near-duplicate documents by an LSH forest over word shingles.
 
-Texts with equal shingle sets fall into one class first, so that thousands of copies are one node.  Each
-class has ``TREES`` labels of ``DEPTH`` minhash values; every tree is one sorted order of its labels.  In
-an order, a class's candidates are its neighbours that share a label prefix of ``LEAST`` values or more,
-nearest (longest common prefix) first: where few classes are alike, that reaches down to the least
-depth; in a dense region the nearest neighbours share more, so the depth adapts to the region.  A
-256-bit sketch of the set rules out neighbours that are far apart (over four standard errors under the
-threshold), so a neighbour found by accident uses up none of the ``EMIT`` candidates that a class passes
-on per tree; ``REACH`` neighbours are looked at.
+Texts with equal shingle sets (equal in size and in 128 bits of digest) fall into one class first, so that
+thousands of copies are one node, named by its least id.  Each class has ``TREES`` labels of ``DEPTH`` minhash
+values; every tree is one sorted order of its labels.  In an order, a class's candidates are the classes that
+share a label prefix of ``LEAST`` values or more, its bucket; a 256-bit sketch of the set rules out those that are
+far apart (over ``SKETCH_ERRORS`` standard errors under the threshold).
+
+The depth adapts to the region.  In a bucket of up to ``REACH`` + 1 classes all are compared.  In a denser one
+(and in one that lies on a partition's edge) each class first meets its nearest neighbours by longest common
+prefix, ``EMIT`` of the ``REACH`` that follow it, and the bucket's rows are set aside.  Once the links found so have
+been confirmed and their components are known, the rows set aside are gone through exactly: those outside their
+bucket's commonest component are compared, in blocks, with all of the bucket that isn't of their own component.
+So no candidate is lost to a limit; a region of many classes that are alike, but under the threshold, costs the
+square of their number in sketch comparisons, spread over blocks.
 
 Candidates are confirmed on full shingle sets: first the most voted partner of each class, then every
 pair that still joins two components.  Links within a component need no confirming, since they'd not
 change it.
 
 The orders are range-partitioned by (tree, label, class), so that equal labels by the thousand spread over
-partitions; neighbours across a partition's edge meet in a small pass over the edges' rows.
+partitions.
 
 Defined results: a text that is null or without words has the empty set, is linked with nothing and is
-its own component; a text of fewer than k words has one shingle, its whole sequence; repeated rows fall
-into one class; a null id gets component null and is kept; a very long text is one set like any other;
-an empty table gives an empty result.
+its own component; a text of fewer than k words has one shingle, its whole sequence; repeated rows
+fall into one class; different texts under one id are one node, linked by any of them; a null id gets component
+null and is kept; of ties in votes the least id is confirmed first, which changes no component; a very long text
+is one set like any other; other columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,19 +40,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import cut, stored
+from .common import stored
 from .graph import components
-from .shingles import minhashes, overlap, shingle_sets
+from .shingles import minhashes, overlap, set_digests, shingle_sets
 
 TREES, DEPTH, LEAST, REACH, EMIT = 20, 6, 4, 64, 6
-SKETCH_BITS, SKETCH_ERRORS = 256, 4
+SKETCH_BITS, SKETCH_ERRORS = 256, 5
 ROWS_A_PARTITION = 100_000
+#: Classes of a dense bucket in one task, on either side.
+BLOCK = 4096
 
-SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("labels", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+SIGNATURE = T.StructType(
+    [T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("cls2", T.LongType()), T.StructField("labels", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
+)
 
 
 def signatures(df: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """``df`` with ``sig``: set size, class (a 64-bit hash of the whole set), the trees' labels, and the sketch."""
+    """``df`` with ``sig``: set size, class (128 bits of the whole set), the trees' labels, and the sketch."""
     ship(df.sparkSession)
 
     @F.pandas_udf(SIGNATURE)
@@ -56,22 +66,21 @@ def signatures(df: DataFrame, k: int, text: str = "text") -> DataFrame:
         step = max(1, min(2000, (8 << 20) // max(1, sum(map(len, filter(None, given))) // max(1, len(given)))))
         for s in range(0, len(given), step):
             values, starts = shingle_sets(given[s : s + step], k)
-            sizes = np.diff(starts)
             hashed = minhashes(values, starts, TREES * DEPTH + SKETCH_BITS // 2)
             labels = hashed[:, : TREES * DEPTH].astype(">u2")
             # two bits from each further minhash
             rest = hashed[:, TREES * DEPTH :]
             sketch = np.packbits(np.concatenate([rest & 1, (rest >> 1) & 1], axis=1).astype(np.uint8), axis=1)
-            whole = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * (values | np.uint64(1)), dtype=np.uint64)))
-            cls = ((whole[starts[1:]] - whole[starts[:-1]]) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)
-            rows += [(n, c, x.tobytes(), y.tobytes()) for n, c, x, y in zip(sizes.tolist(), cls.tolist(), labels, sketch, strict=True)]
-        return pd.DataFrame(rows, columns=["n", "cls", "labels", "sketch"])
+            cls, cls2 = set_digests(values, starts)
+            rows += [(n, c, d, x.tobytes(), y.tobytes()) for n, c, d, x, y in zip(np.diff(starts).tolist(), cls.tolist(), cls2.tolist(), labels, sketch, strict=True)]
+        return pd.DataFrame(rows, columns=SIGNATURE.fieldNames())
 
     return df.withColumn("sig", of(F.col(text)))
 
 
-ROW = "tree int, label binary, cls long, n long, sketch binary"
-FOUND = "kind int, a long, b long, " + ROW + ", edge long"
+#: kind 0: a candidate pair (a, b); kind 1: a row ``a`` of a dense bucket.
+FOUND = "kind int, a long, b long, tree int, prefix binary, n long, sketch binary"
+_FOUND = [f.split()[0] for f in FOUND.split(", ")]
 
 
 def _far(threshold: int) -> int:
@@ -81,108 +90,167 @@ def _far(threshold: int) -> int:
     return math.ceil(SKETCH_BITS * p + SKETCH_ERRORS * SKETCH_BITS * math.sqrt(p * (1 - p) / (SKETCH_BITS / 2)))
 
 
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches as rows of 64-bit words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def neighbours(tree: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (by place) of rows sorted by (tree, label, class)."""
-    far, left = _far(threshold), np.full(len(cls), EMIT)
-    prefix = np.zeros(len(cls), np.int64)
-    if len(cls) > 1:
-        differs = (tree[1:] != tree[:-1]) | (label[1:, : 2 * LEAST] != label[:-1, : 2 * LEAST]).any(axis=1)
-        prefix[1:] = np.cumsum(differs)
-    sketch = sketch.view(np.uint16)
-    out, active = [], np.arange(len(cls))
+def _close(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+
+
+class Rows:
+    """Rows of an order as arrays; ``seen`` of them, at the front, have met one another before."""
+
+    def __init__(self, tree: np.ndarray, label: np.ndarray, rep: np.ndarray, n: np.ndarray, sketch: np.ndarray, seen: int = 0) -> None:
+        self.tree, self.label, self.rep, self.n, self.sketch, self.seen = tree, label, rep, n, sketch, seen
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Rows:
+        label = np.frombuffer(b"".join(pdf["label"]), np.uint8).reshape(len(pdf), 2 * DEPTH)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), SKETCH_BITS // 64)
+        return cls(pdf["tree"].to_numpy(), label, pdf["rep"].to_numpy(), pdf["n"].to_numpy(), sketch)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.tree, self.label, self.rep, self.n, self.sketch
+
+    def part(self, a: int, b: int | None = None, seen: int = 0) -> Rows:
+        return Rows(*[c[a:b] for c in self.columns()], seen=seen)
+
+    def after(self, before: Rows | None) -> Rows:
+        return self if before is None else Rows(*map(np.concatenate, zip(before.columns(), self.columns(), strict=True)), seen=before.seen)
+
+    def __len__(self) -> int:
+        return len(self.rep)
+
+    def buckets(self) -> np.ndarray:
+        """The place of each row's bucket."""
+        out = np.zeros(len(self), np.int64)
+        if len(self) > 1:
+            out[1:] = np.cumsum((self.tree[1:] != self.tree[:-1]) | (self.label[1:, : 2 * LEAST] != self.label[:-1, : 2 * LEAST]).any(axis=1))
+        return out
+
+
+def neighbours(rows: Rows, of: np.ndarray, dense: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (by place) of sorted rows: all of a bucket, but in dense ones EMIT of the REACH rows that follow."""
+    far, out = _far(threshold), [(np.zeros(0, np.int64),) * 2]
+    left = np.where(dense[of], EMIT, REACH)
+    active = np.arange(len(rows))
     for off in range(1, REACH + 1):
-        active = active[active + off < len(cls)]
-        active = active[(prefix[active] == prefix[active + off]) & (left[active] > 0)]
+        active = active[active + off < len(rows)]
+        active = active[(of[active] == of[active + off]) & (left[active] > 0)]
         if not len(active):
             break
         i, j = active, active + off
-        ok = (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & (cls[i] != cls[j])
+        ok = _close(rows.n[i], rows.n[j], threshold) & (rows.rep[i] != rows.rep[j]) & (j >= rows.seen)
         i, j = i[ok], j[ok]
-        near = _BITS[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int64) <= far
+        near = _differing(rows.sketch[i], rows.sketch[j]) <= far
         i, j = i[near], j[near]
         left[i] -= 1
         out.append((i, j))
-    return out
-
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    label = np.frombuffer(b"".join(pdf["label"]), np.uint8).reshape(len(pdf), 2 * DEPTH)
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SKETCH_BITS // 8)
-    return pdf["tree"].to_numpy(), label, pdf["cls"].to_numpy(), pdf["n"].to_numpy(), sketch
 
-
-def _pairs(pdf: pd.DataFrame, threshold: int, crossing: int | None = None) -> Iterator[pd.DataFrame]:
-    arrays = _arrays(pdf)
-    cls = arrays[2]
-    for i, j in neighbours(*arrays, threshold):
-        if crossing is not None:  # pairs on one side have been found already
-            over = (i < crossing) & (j >= crossing)
-            i, j = i[over], j[over]
-        yield pd.DataFrame({"kind": np.zeros(len(i), np.int32), "a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
-
-
-_EMPTY = {"tree": None, "label": None, "cls": None, "n": None, "sketch": None, "edge": None}
-
-
-def _scan(threshold: int):
+def _scan(threshold: int, alone: bool):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs within a sorted partition, and the rows near its edges."""
-        from pyspark import TaskContext
-
-        part, first, tail = TaskContext.get().partitionId(), True, None
+        """Candidate pairs of a sorted partition, and the rows of its dense buckets and of those at its edges."""
+
+        def worked(rows: Rows, more: bool, edges: tuple[bool, bool]) -> Iterator[pd.DataFrame]:
+            """``more``: the last bucket is dense and goes on; ``edges``: the first, the last bucket is at the partition's edge."""
+            of = rows.buckets()
+            size = np.bincount(of)
+            dense = size > REACH + 1
+            dense[-1] |= more
+            dense[0] |= rows.seen > 0
+            i, j = neighbours(rows, of, dense, threshold)
+            a, b = rows.rep[i], rows.rep[j]
+            yield pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "tree": None, "prefix": None, "n": None, "sketch": None})[_FOUND]
+            aside = dense.copy()
+            if not alone:
+                aside[0] |= edges[0]
+                aside[-1] |= edges[1]
+            at = np.flatnonzero(aside[of])
+            at = at[at >= rows.seen]
+            for s in range(0, len(at), 10_000):
+                p = at[s : s + 10_000]
+                yield pd.DataFrame(
+                    {"kind": np.ones(len(p), np.int32), "a": rows.rep[p], "b": None, "tree": rows.tree[p], "prefix": [x.tobytes() for x in rows.label[p, : 2 * LEAST]], "n": rows.n[p], "sketch": [x.tobytes() for x in rows.sketch[p]]}
+                )[_FOUND]
+
+        kept, first = None, True
         for pdf in batches:
             if not len(pdf):
                 continue
-            if first:
-                yield pdf.head(REACH).assign(kind=1, a=None, b=None, edge=part - 1)[[f.split()[0] for f in FOUND.split(", ")]]
-                first = False
-            if tail is None:
-                joined, crossing = pdf, None
-                for found in _pairs(joined, threshold):
-                    yield found.assign(**_EMPTY)[[f.split()[0] for f in FOUND.split(", ")]]
-            else:
-                joined = pd.concat([tail, pdf], ignore_index=True)
-                crossing = len(tail)
-                for found in _pairs(pdf, threshold):
-                    yield found.assign(**_EMPTY)[[f.split()[0] for f in FOUND.split(", ")]]
-                for found in _pairs(pd.concat([tail, pdf.head(REACH)], ignore_index=True), threshold, crossing):
-                    yield found.assign(**_EMPTY)[[f.split()[0] for f in FOUND.split(", ")]]
-            tail = (pdf if len(pdf) >= REACH or tail is None else joined).tail(REACH)
-        if tail is not None:
-            yield tail.assign(kind=2, a=None, b=None, edge=part)[[f.split()[0] for f in FOUND.split(", ")]]
+            rows = Rows.of(pdf).after(kept)
+            of = rows.buckets()
+            last = int(np.searchsorted(of, of[-1]))  # where the last bucket begins
+            if last:
+                yield from worked(rows.part(0, last, rows.seen), False, (first, False))
+                first, rows = False, rows.part(last)
+            if len(rows) > 4 * REACH:  # dense: no need to wait for its end
+                yield from worked(rows, True, (first, False))
+                rows = rows.part(len(rows) - REACH, seen=REACH)
+            kept = rows
+        if kept is not None:
+            yield from worked(kept, False, (first, True))
 
     return scan
 
 
-def _across(threshold: int):
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs over one edge between partitions: at most 2 * REACH rows."""
-        pdf = pdf.sort_values(["kind"], ascending=False, kind="stable")
-        before, after = pdf[pdf.kind == 2], pdf[pdf.kind == 1]
-        order = ["tree", "label", "cls"]
-        both = pd.concat([before.sort_values(order), after.sort_values(order)], ignore_index=True)
-        found = list(_pairs(both, threshold, len(before)))
-        return pd.concat(found)[["a", "b"]] if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return across
-
-
-def candidates(classes: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, votes): pairs of classes that are neighbours in some order, and in how many."""
+def forest(classes: DataFrame, threshold: int) -> DataFrame:
+    """FOUND rows: candidate pairs of classes (rep, n, labels, sketch), and the rows of dense buckets."""
     width = 2 * DEPTH
-    rows = classes.select(
-        "cls", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels"
-    ).select("tree", F.expr(f"substring(labels, 1 + tree * {width}, {width})").alias("label"), "cls", "n", "sketch")
+    rows = classes.select("rep", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels")
+    rows = rows.select("tree", F.expr(f"substring(labels, 1 + tree * {width}, {width})").alias("label"), "rep", "n", "sketch")
     parts = max(1, math.ceil(classes.count() * TREES / ROWS_A_PARTITION))
-    order = ["tree", "label", "cls"]
+    order = ["tree", "label", "rep"]
     ranged = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
-    found = stored(ranged.sortWithinPartitions(*order).mapInPandas(_scan(threshold), FOUND), "forest")
-    inside = found.where("kind = 0").select("a", "b")
-    across = found.where("kind > 0").groupBy("edge").applyInPandas(_across(threshold), "a long, b long")
-    return inside.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    return stored(ranged.sortWithinPartitions(*order).mapInPandas(_scan(threshold, parts == 1), FOUND), "forest")
+
+
+def _blocks(threshold: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a bucket's two blocks that are of different components and may be alike."""
+        out = [pd.DataFrame({"a": [], "b": [], "la": [], "lb": []}, dtype="int64")]
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint64).reshape(len(p), -1) for p in (left, right))
+            (rep, n, lab), (rep2, n2, lab2) = ([p[c].to_numpy() for c in ("a", "n", "label")] for p in (left, right))
+            far = _far(threshold)
+            for s in range(0, len(left), 256):
+                e = s + 256
+                ok = _close(n[s:e, None], n2[None, :], threshold) & (lab[s:e, None] != lab2[None, :])
+                i, j = np.nonzero(ok)
+                near = _differing(x[s:e][i], y[j]) <= far
+                i, j = i[near] + s, j[near]
+                swap = rep[i] > rep2[j]
+                out.append(pd.DataFrame({"a": np.where(swap, rep2[j], rep[i]), "b": np.where(swap, rep[i], rep2[j]), "la": np.where(swap, lab2[j], lab[i]), "lb": np.where(swap, lab[i], lab2[j])}))
+        return pd.concat(out)
+
+    return run
+
+
+def across_components(dense: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, la, lb): every pair of a dense bucket's rows that are of different components and may be alike, with those.
+
+    Rows of a bucket's commonest component meet only the bucket's other rows.
+    """
+    bucket = ["tree", "prefix"]
+    rows = dense.select(*bucket, "a", "n", "sketch").join(labels, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a")).drop("node")
+    rows = stored(rows, "dense")
+    counts = rows.groupBy(*bucket, "label").agg(F.count("*").alias("c"))
+    split = counts.groupBy(*bucket).agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("most")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    split = split.select(*bucket, F.col("most.label").alias("major"), blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most.c")).alias("lefts"))
+    mixed = rows.join(split, bucket)
+    block = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = mixed.where("label <> major").withColumn("i", block(F.col("lefts"))).withColumn("j", every(F.col("rights")))
+    right = mixed.withColumn("j", block(F.col("rights"))).withColumn("i", every(F.col("lefts")))
+    key = [*bucket, "i", "j"]
+    columns = [*key, "a", "n", "sketch", "label"]
+    found = left.select(*columns).groupBy(*key).cogroup(right.select(*[F.col(c).alias(c) for c in columns]).groupBy(*key)).applyInPandas(_blocks(threshold), "a long, b long, la long, lb long")
+    return found.distinct()
 
 
 def _confirmer(k: int, threshold: int):
@@ -202,45 +270,48 @@ def _confirmer(k: int, threshold: int):
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs whose full shingle sets are alike enough."""
-    one, other = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(other, "b").where(_confirmer(k, threshold)(F.col("text_a"), F.col("text_b"))).select("a", "b")
+    """The pairs whose full shingle sets are alike enough; an id's texts are each compared."""
+    one, other = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(other, "b").where(_confirmer(k, threshold)(F.col("text_a"), F.col("text_b"))).select(*pairs.columns)
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row: components of the texts whose k-word shingle sets have a
     Jaccard similarity of ``threshold`` percent or more."""
-    given = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    given = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    whole = ["n", "cls", "cls2"]
     base = stored(signatures(given, k).select("id", "sig.*"), "signatures")
-    alike = base.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    classes = stored(base.where("n > 0").join(alike.select(F.col("cls").alias("_c"), "rep"), (F.col("cls") == F.col("_c")) & (F.col("id") == F.col("rep"))).dropDuplicates(["cls"]).select("cls", "rep", "n", "labels", "sketch"), "classes")
-    pairs = cut(candidates(classes, threshold))
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.join(classes.select("cls", F.col("rep").alias("id")), "cls"), "wanted")
-    # a merge join at every size: what would be broadcast here grows with the documents.
-    # An id with several texts has several classes: each takes the text of its own class
-    got = given.join(wanted.hint("merge"), "id").select("id", "cls", "text")
-    repeated = wanted.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        got = signatures(got.withColumnRenamed("cls", "_c"), k).where("sig.cls = _c").select("id", F.col("_c").alias("cls"), "text")
-    texts = stored(got.dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    some = F.expr("n > 0 and id is not null")
+    classes = stored(base.where(some).groupBy(*whole).agg(F.min("id").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
+    found = forest(classes, threshold)
+    dense = found.where("kind = 1")
+    pairs = stored(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("votes")), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("a")).distinct()
+    # a merge join at every size: what would be broadcast here grows with the documents
+    texts = given.join(wanted.hint("merge"), "id")
+
+    # rows by their class's least id; ids that have several rows
+    rows = stored(base.where(some).select("id", *whole).join(classes.select(*whole, "rep"), whole).select("id", "n", "rep"), "members")
+    several = stored(rows.groupBy("id").agg(F.count("*").alias("c"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("c > 1"), "several")
+    repeated = several.limit(1).count() > 0
+    texts = stored(texts.dropDuplicates(["id", "text"]) if repeated else texts, "texts")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("least"))).alias("best")).select((-F.col("best.least")).alias("a"), "b")
-    first = components(_confirm(best, texts, k, threshold))
+    links = _confirm(best, texts, k, threshold)
+    if repeated:
+        links = links.union(rows.join(several.where("least <> most").select("id", "least"), "id").select("least", "rep"))
+    first = components(links)
     label = lambda c: first.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb")).where("la <> lb")
     rest = rest.join(best, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    links = _confirm(rest.select("a", "b"), texts, k, threshold).join(rest, ["a", "b"]).select("la", "lb")
-    second = components(links, "la", "lb")
-
-    of_class = classes.select("cls", "rep").join(first, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("label", "cls").alias("l1"))
-    of_class = of_class.join(second.withColumnRenamed("label", "l2"), F.col("l1") == F.col("node"), "left").select("cls", "rep", F.coalesce("l2", "l1").alias("whole"))
-    of_class = cut(of_class)
-    least = of_class.groupBy("whole").agg(F.min("rep").alias("least"))
-    of_class = of_class.join(least, "whole").select(F.col("cls").alias("_cls"), "least")
-    member = base.where("n > 0 and id is not null").select("id", "n", "cls").join(of_class, F.col("cls") == F.col("_cls"), "left").select("id", "n", F.col("least").alias("component"))
-    alone = base.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    rest = rest.unionByName(across_components(dense, first, threshold)).distinct()
+    second = components(_confirm(rest, texts, k, threshold), "la", "lb")
+
+    # least ids of the first components, then of the second
+    moved = first.join(second.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    moved = moved.union(second.join(first.select("node"), "node", "left_anti")).where("node <> label")
+    member = rows.join(moved, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
+    alone = base.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
     return member.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 

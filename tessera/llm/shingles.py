@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -9,6 +11,8 @@ _INV = pow(_P, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 GROUP = 1 << 20
+#: Words of more bytes are digested one by one: a polynomial over them could give different ones equal values.
+LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,6 +76,8 @@ def _group(group: list[bytes], k: int, sets: list[np.ndarray], sizes: list[int])
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=prefix[1:])
     words = _mix((prefix[last] - prefix[first]) * up[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
     ends = np.cumsum([len(b) + 1 for b in group])
     of = np.searchsorted(first, ends)  # words before each text's end
     at = 0
@@ -124,6 +130,16 @@ def minhashes(values: np.ndarray, starts: np.ndarray, count: int, seed: int = 1)
     return out
 
 
+def set_digests(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each set, as signed numbers."""
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        mixed = _mix(_mix(values ^ np.uint64(seed)) + np.uint64(seed))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+        out.append(_mix((sums[starts[1:]] - sums[starts[:-1]]) ^ np.diff(starts).astype(np.uint64)).astype(np.int64))
+    return out[0], out[1]
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """The size of two sorted sets' intersection."""
     if len(a) > len(b):

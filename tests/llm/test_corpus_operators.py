@@ -88,6 +88,47 @@ def test_partition_edges_lose_no_neighbour(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == set(_brute_neardup(rows, 2, 80).values())
 
 
+def test_dense_regions_lose_no_link(spark, monkeypatch):
+    """More classes in a bucket than meet in the first pass: many of one component, some of others, some alone."""
+    monkeypatch.setattr(neardup, "ROWS_A_PARTITION", 3000)
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for g in range(4):
+        own = list(base)
+        for j in range(0, 80, 80 // (3 * g + 1)):
+            own[j] = f"g{g}"
+        for i in range(120):
+            w = list(own)
+            for _ in range(rng.choice([1, 2, 4, 7, 9])):
+                w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    truth = _brute_neardup(rows, 2, 80)
+    assert len(set(truth.values())) > 20
+    assert {r.doc_id: r.component_id for r in got} == truth
+
+
+def test_texts_of_one_id_and_names_that_clash(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a + " z"), (5, b), (9, b + " z"), (9, b + " z"), (7, c), (None, c)]
+    df = spark.createDataFrame([(*r, 0, 0, "x") for r in rows], "doc_id long, text string, id int, rep int, label string")
+    got = neardup.near_duplicates(df, k=2)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted((r.doc_id, r.component_id) for r in got.where("doc_id is not null").collect()) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1), (9, 1)]
+    assert got.where("doc_id is null").collect()[0].kept
+
+
+def test_long_words_keep_their_difference():
+    """Thue-Morse words and their complements: a polynomial modulo 2^64 can't tell them apart."""
+    t = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+    values, starts = shingle_sets([one, other], 2)
+    assert values[starts[0]] != values[starts[1]]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
