@@ -1,29 +1,38 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors are compared within their label and length only; below, a label is one such pair.  Equal vectors fall into one class first.  A label's classes are
-dealt to cluster shards around centroids, each class to its ``OVERLAP`` nearest, so that shards overlap.
-In each shard a flat graph is built by robust pruning (a neighbour is kept unless one kept before is nearer to it
-by the factor ``ALPHA``), and the lists of a class from all its shards are united.  Every class is then
-searched for in each of its shards: greedily from the shard's medoid to the nearest vectors, and from those on
-by range expansion, over all neighbours that are within ``SLACK`` of the range.  What is found is verified in
-double precision.
-
-Recall is audited: about ``AUDIT_QUERIES`` classes, of those with an id divisible by ``AUDIT_EVERY``, are
-compared with all classes of their labels in blocks, and while the share of their links that the graph
-found is below ``AUDIT`` everything is done again with more overlap and a wider beam.  Where ``TRIES`` rounds
-don't reach it, all pairs of a label are compared in blocks of about ``BLOCK`` classes: that is exact.
-
-Tasks hold one shard each, of ``SHARD`` vectors on average: the number of centroids grows with the classes.
-Classes meet their label's centroids in blocks, whose number grows with the root of the classes' number.
-
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of null label, link with nothing and are their own component;
-equal vectors link with each other; null ids link with nothing; repeated rows count as other vectors unless
-their ids are equal; an empty table gives an empty result.
+Vectors are compared within their label and length only; below, a label is one such pair.  Equal vectors fall into
+one class first, grouped by their values.  A label's classes are dealt to cluster shards around centroids, each class
+to its ``OVERLAP`` nearest, so that shards overlap; a shard of more than ``MOST`` classes is split, and so is a
+shard's list of queries, so that no task grows with a cluster.  In each shard a flat graph is built by robust pruning
+(a neighbour is kept unless one kept before is nearer to it by the factor ``ALPHA``), and the lists of a class from
+all its shards are united.
+
+Every class is searched for in the united graph: in its own shards greedily from the medoids to the nearest vectors,
+and from those on by range expansion over all neighbours within ``SLACK`` of the range.  Where the expansion meets a
+vector that lies in other shards too, it goes on there in the next round, with the ``SEEDS`` nearest such vectors as
+starting points, until no search reaches a new shard.  What is found is verified in double precision.  A vector is
+counted in its home shard alone, so a task returns one number a query and the links that join its vectors (a star a
+component), never all pairs.
+
+Recall is audited: all classes with an id divisible by ``AUDIT_EVERY`` are compared with all classes of their labels
+in blocks, and while the share of their links that the graph found is below ``AUDIT`` everything is done again with
+more overlap and a wider beam.  Where ``TRIES`` rounds don't reach it, all pairs of a label are compared in blocks of
+about ``BLOCK`` classes: that is exact.  ``linked_classes`` returns the measured recall; it is logged, too.
+
+The number of centroids grows with the classes, up to the size of the sample on which they are fitted.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of null
+label or null id, link with nothing and are their own component; equal vectors link with each other; every row
+counts as a vector of its own, repeated ones too; different vectors under one id count their own links and share a
+component; labels of any type are compared as text; ties in similarity don't matter, as all links in range count;
+other columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,17 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import cut, stored
+from .common import stored
 from .graph import components
 
 THRESHOLD = 0.98
-SHARD, OVERLAP, DEGREE, FAR, ALPHA, BEAM, SLACK = 1500, 3, 24, 6, 1.2, 48, 0.08
-AUDIT, AUDIT_EVERY, AUDIT_QUERIES, TRIES, BLOCK = 0.99, 20, 1000, 3, 4000
+SHARD, OVERLAP, DEGREE, FAR, ALPHA, BEAM, SLACK, SEEDS = 1500, 3, 24, 6, 1.2, 48, 0.08, 4
+#: Classes of a shard, and queries to it, in one task.
+MOST, QUERIES, AT_ONCE = 3000, 3000, 128
+AUDIT, AUDIT_EVERY, TRIES, BLOCK = 0.99, 20, 3, 3000
 #: The bound of the sample that centroids are fitted on, per label.
 CENTROID_SAMPLE = 4000
 
 
-def unit(values: list) -> np.ndarray:
+def unit(values) -> np.ndarray:
     m = np.array([np.asarray(v, np.float64) for v in values], np.float64)
     # scaled first, so that very large or small components don't overflow or vanish
     m /= np.abs(m).max(axis=1, keepdims=True)
@@ -98,59 +109,155 @@ def medoids(x: np.ndarray, most: int = 8) -> np.ndarray:
     return np.unique(out)
 
 
-def search(query: np.ndarray, start: np.ndarray, x: np.ndarray, graph: list[np.ndarray], beam: int, least: float) -> list[int]:
-    """Greedy search from ``start`` with a beam, then expansion over everything within ``SLACK`` of the range."""
-    seen = np.zeros(len(x), bool)
-    seen[start] = True
-    front, close = start, x[start] @ query
-    done = np.zeros(len(start), bool)
-    while not done.all():
-        at = int(np.argmax(np.where(done, -2, close)))
-        done[at] = True
-        new = graph[front[at]]
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            front, close, done = np.concatenate([front, new]), np.concatenate([close, x[new] @ query]), np.concatenate([done, np.zeros(len(new), bool)])
-            if len(front) > beam:
-                keep = np.argpartition(-close, beam - 1)[:beam]
-                front, close, done = front[keep], close[keep], done[keep]
-    hits = {int(i) for i, c in zip(front, close, strict=True) if c >= least}
-    stack = [int(i) for i, c in zip(front, close, strict=True) if c >= least - SLACK]
-    walked = set(stack)
-    while stack:
-        new = np.array([j for j in graph[stack.pop()] if j not in walked], np.int64)
-        if not len(new):
+@dataclass
+class Graph:
+    """Unit vectors and the places of each one's neighbours, one list after the other."""
+
+    x: np.ndarray
+    ends: np.ndarray
+    near: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, lists: list[np.ndarray]) -> Graph:
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in lists])))
+        return cls(x, ends, np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64))
+
+    def beyond(self, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, neighbour) for every neighbour of each (query, node)."""
+        sizes = self.ends[node + 1] - self.ends[node]
+        at = np.repeat(self.ends[node] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return np.repeat(query, sizes), self.near[at]
+
+    def alike(self, q: np.ndarray, query: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The cosine of each pair; a pair has one value whichever of the two is the query."""
+        out = np.empty(len(node))
+        for s in range(0, len(node), 1 << 16):
+            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", q[query[s : s + (1 << 16)]], self.x[node[s : s + (1 << 16)]])
+        return out
+
+
+def search(g: Graph, q: np.ndarray, seeds: list[np.ndarray], beam: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) of what is within SLACK of the range: greedy searches with a beam from each query's seeds,
+    all queries a step at a time, then expansion over everything that is near enough."""
+    n, start = len(q), max(map(len, seeds), default=0)
+    seen = np.zeros((n, len(g.x)), bool)
+    ids, sims, done = np.zeros((n, start), np.int64), np.full((n, start), -2.0), np.ones((n, start), bool)
+    for i, s in enumerate(seeds):
+        ids[i, : len(s)], sims[i, : len(s)], done[i, : len(s)] = s, g.x[s] @ q[i], False
+        seen[i, s] = True
+    while True:
+        at = np.where(done, -3.0, sims).argmax(axis=1)
+        live = np.flatnonzero(~done[np.arange(n), at])
+        if not len(live):
+            break
+        done[live, at[live]] = True
+        query, node = g.beyond(live, ids[live, at[live]])
+        new = ~seen[query, node]
+        query, node = query[new], node[new]
+        if not len(node):
             continue
-        sims = x[new] @ query
-        for j, c in zip(new.tolist(), sims.tolist(), strict=True):
-            if c >= least - SLACK:
-                walked.add(j)
-                stack.append(j)
-                if c >= least:
-                    hits.add(j)
-    return sorted(hits)
+        seen[query, node] = True
+        size = np.bincount(query, minlength=n)
+        place = np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size)
+        width = int(size.max())
+        more, close, dull = np.zeros((n, width), np.int64), np.full((n, width), -2.0), np.ones((n, width), bool)
+        more[query, place], close[query, place], dull[query, place] = node, g.alike(q, query, node), False
+        ids, sims, done = np.concatenate([ids, more], axis=1), np.concatenate([sims, close], axis=1), np.concatenate([done, dull], axis=1)
+        if ids.shape[1] > beam:
+            keep = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            ids, sims, done = (np.take_along_axis(v, keep, axis=1) for v in (ids, sims, done))
+    query, k = np.nonzero(sims >= least - SLACK)
+    node = ids[query, k]
+    walked = np.zeros_like(seen)
+    walked[query, node] = True
+    out = [(query, node, g.alike(q, query, node))]
+    while len(query):
+        query, node = g.beyond(query, node)
+        new = ~walked[query, node]
+        query, node = query[new], node[new]
+        if len(query):
+            code = np.unique(query * len(g.x) + node)
+            query, node = code // len(g.x), code % len(g.x)
+            walked[query, node] = True
+            close = g.alike(q, query, node)
+            near = close >= least - SLACK
+            query, node = query[near], node[near]
+            out.append((query, node, close[near]))
+    query, node, close = (np.concatenate(v) for v in zip(*out, strict=True))
+    return query, node, close
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as stars: each linked value with the least one of its component, itself left out."""
+    if not len(a):
+        return a, b
+    values, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = places[: len(a)], places[len(a) :]
+    label = np.arange(len(values))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    return values[label != np.arange(len(values))], values[label[label != np.arange(len(values))]]
+
+
+#: kind 0: ``b`` linked vectors of the class ``a``; kind 1: a star's link (a, b) of ids; kind 2: the search for the class
+#: ``a`` goes on in the shard ``b``.
+FOUND = "kind int, a long, b long, label string, seeds array<long>"
+_FOUND = [f.split()[0] for f in FOUND.split(", ")]
+
+
+def _numbers(kind: int, a, b) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "label": None, "seeds": None})[_FOUND]
 
 
 def _shard_graph(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cls", kind="stable")
-    x, cls = unit(pdf["embedding"].tolist()), pdf["cls"].to_numpy()
-    return pd.DataFrame({"label": pdf["label"].to_numpy(), "cls": cls, "near": [cls[v].tolist() for v in build(x)]})
+    x, cls = unit(pdf["e"].tolist()), pdf["cls"].to_numpy()
+    return pd.DataFrame({"cls": cls, "place": pdf["place"].to_numpy(), "near": [cls[v].tolist() for v in build(x)]})
 
 
 def _shard_search(beam: int, threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cls", kind="stable").drop_duplicates("cls")
-        x, cls = unit(pdf["embedding"].tolist()), pdf["cls"].to_numpy()
-        place = {c: i for i, c in enumerate(cls.tolist())}
-        graph = [np.array(sorted({place[c] for c in near if c in place}), np.int64) for near in pdf["near"]]
-        start = medoids(x)
-        out = []
-        for i in range(len(x)):
-            for j in search(x[i], start, x, graph, beam, threshold - 1e-7):
-                if i != j and float(x[i] @ x[j]) >= threshold:
-                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The queries ``left`` in the shard ``right``."""
+        out = [_numbers(0, [], [])]
+        if not len(left) or not len(right):
+            return out[0]
+        right = right.sort_values("cls", kind="stable")
+        cls, rep, weight, home = (right[c].to_numpy() for c in ("cls", "rep", "n", "home"))
+        here = int(right["place"].iloc[0])
+        find = lambda ids: (p := np.minimum(np.searchsorted(cls, ids), len(cls) - 1))[cls[p] == ids]
+        lists = [find(np.asarray(v, np.int64)) for v in right["near"]]
+        g = Graph.of(unit(right["e"].tolist()), lists)
+        # the other shards of each vector, one list after the other
+        others = [np.array([p for p in v if p != here], np.int64) for v in right["places"]]
+        sizes = np.array([len(v) for v in others])
+        starts, places = np.cumsum(sizes) - sizes, np.concatenate([*others, np.zeros(0, np.int64)])
+        first = medoids(g.x)
+        for s in range(0, len(left), AT_ONCE):
+            part = left.iloc[s : s + AT_ONCE]
+            own, own_rep = part["cls"].to_numpy(), part["rep"].to_numpy()
+            begin = [np.unique(np.concatenate([first, find(np.asarray(v, np.int64))])) if v is not None and len(v) else first for v in part["seeds"]]
+            query, node, close = search(g, unit(part["e"].tolist()), begin, beam, threshold)
+            hit = (close >= threshold) & (own[query] != cls[node])
+            here_too = hit & home[node]
+            out.append(_numbers(0, own, np.bincount(query[here_too], weight[node[here_too]], minlength=len(part)).astype(np.int64)))
+            out.append(_numbers(1, *stars(own_rep[query[hit]], rep[node[hit]])))
+            # where else the vectors met are to be found
+            n = sizes[node]
+            to = places[np.repeat(starts[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            if len(to):
+                went = pd.DataFrame({"q": np.repeat(query, n), "to": to, "node": np.repeat(node, n), "close": np.repeat(close, n)}).sort_values(["q", "to", "close", "node"], ascending=[True, True, False, True], kind="stable")
+                went = went.groupby(["q", "to"], sort=False).head(SEEDS)
+                seeds = went.groupby(["q", "to"], sort=False)["node"].agg(list).reset_index()
+                out.append(
+                    pd.DataFrame({"kind": np.full(len(seeds), 2, np.int32), "a": own[seeds["q"]], "b": seeds["to"].to_numpy(), "label": right["label"].iloc[0], "seeds": [cls[v].tolist() for v in seeds["node"]]})[_FOUND]
+                )
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -158,7 +265,7 @@ def _shard_search(beam: int, threshold: float):
 def _centroids(pdf: pd.DataFrame) -> pd.DataFrame:
     """A label's centroids, by a few rounds of spherical k-means on its sample."""
     pdf = pdf.sort_values("cls", kind="stable")
-    x, k = unit(pdf["embedding"].tolist()), max(1, math.ceil(int(pdf["n"].iloc[0]) * OVERLAP / SHARD))
+    x, k = unit(pdf["e"].tolist()), max(1, math.ceil(int(pdf["total"].iloc[0]) * OVERLAP / SHARD))
     k = min(k, len(x))
     c = x[np.random.default_rng(5).choice(len(x), k, replace=False)]
     for _ in range(8 if k > 1 else 0):
@@ -170,82 +277,151 @@ def _centroids(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": pdf["label"].iloc[0], "shard": np.arange(k), "centre": c.tolist()})
 
 
-def _audit(threshold: float):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries against one block of their label."""
+def _assign(classes: DataFrame, centres: DataFrame, overlap: int) -> DataFrame:
+    """Each class in the shards of its ``overlap`` nearest centroids, the nearest its home; both sides by label and block."""
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["label", "cls", "rep", "n", "e"]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        q, x = unit(left["embedding"].tolist()), unit(right["embedding"].tolist())
-        near = [np.nonzero(q[s : s + 512] @ x.T >= threshold - 1e-7) for s in range(0, len(q), 512)]
-        i, j = np.concatenate([n[0] + 512 * k for k, n in enumerate(near)]), np.concatenate([n[1] for n in near])
-        a, b = left["cls"].to_numpy()[i], right["cls"].to_numpy()[j]
-        exact = np.array([float(q[s] @ x[t]) >= threshold for s, t in zip(i, j, strict=True)], bool)
-        a, b = a[exact & (a != b)] if len(a) else a, b[exact & (a != b)] if len(b) else b
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            return pd.DataFrame({c: [] for c in [*columns, "shard", "home"]}, dtype=object)
+        x, centre = unit(left["e"].tolist()), np.array(right["centre"].tolist()).T
+        k = min(overlap, centre.shape[1])
+        best = []
+        for s in range(0, len(x), 1024):
+            sim = x[s : s + 1024] @ centre
+            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            best.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, axis=1), axis=1, kind="stable"), axis=1))
+        out = left.iloc[np.repeat(np.arange(len(left)), k)][columns].reset_index(drop=True)
+        out["shard"] = right["shard"].to_numpy()[np.concatenate(best)].ravel()
+        out["home"] = np.tile(np.arange(k) == 0, len(left))
+        return out
 
-    return run
+    return classes.groupBy("label", "block").cogroup(centres.groupBy("label", "block")).applyInPandas(nearest, "label string, cls long, rep long, n long, e array<double>, shard int, home boolean")
 
 
-def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of the classes (label, cls, embedding, query) that are alike; ``query`` marks those that audit the recall."""
-    counts = classes.groupBy("label").agg(F.count("*").alias("n"))
-    # a sample of fixed size a label, those whose hashes are lowest: taken by a threshold on the hash, not by a sort of the label
-    share = F.greatest(F.lit(1.0), F.col("n") / CENTROID_SAMPLE)
-    sample = classes.join(counts, "label").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < F.lit(float(1 << 30)) / share)
-    centres = cut(sample.select("label", "cls", "embedding", "n").groupBy("label").applyInPandas(_centroids, "label long, shard int, centre array<double>"))
-    total = classes.count()
-    blocks = max(4, math.ceil(math.sqrt(total) / 50))
-    blocked = classes.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    candidates = classes.where("query")
-    part = min(1.0, AUDIT_QUERIES / max(1, candidates.count()))
-    queries = candidates.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) <= part * (1 << 30))
-    truth = cut(
-        queries.select("cls", "embedding", "label", every_block)
-        .groupBy("label", "block")
-        .cogroup(blocked.select("cls", "embedding", "label", "block").groupBy("label", "block"))
-        .applyInPandas(_audit(threshold), "a long, b long")
-        .distinct()
-    )
-    overlap, beam = OVERLAP, BEAM
-    for _ in range(TRIES):
-        placed = stored(_assign(blocked, centres.select("*", every_block), overlap), "placed")
-        lists = placed.groupBy("label", "shard").applyInPandas(_shard_graph, "label long, cls long, near array<long>")
-        united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most overlap lists
-        found = cut(placed.join(united, "cls").groupBy("label", "shard").applyInPandas(_shard_search(beam, threshold), "a long, b long").distinct())
-        wanted = truth.count()
-        recall = truth.join(found, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
-        if recall >= AUDIT:
-            return found
-        overlap, beam = 2 * overlap, 2 * beam
-    return _all_pairs(classes, threshold)
+def _spread(n, at: str = "cls", seed: int = 1):
+    """The part of ``n`` that a row falls into."""
+    return F.pmod(F.xxhash64(at, F.lit(seed)), n).cast("long")
 
 
-def _all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all classes of a label that are alike, each pair of blocks in a task of its own."""
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(most / BLOCK))
-    own = classes.select("cls", "embedding", "label", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(blocks)).cast("int").alias("own"))
-    left = own.select("cls", "embedding", "label", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
-    right = own.select("cls", "embedding", "label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-    pairs = left.groupBy("label", "i", "j").cogroup(right.groupBy("label", "i", "j")).applyInPandas(_audit(threshold), "a long, b long")
-    return cut(pairs.distinct())
+def _every(n):
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
 
 
-def _assign(classes: DataFrame, centres: DataFrame, overlap: int) -> DataFrame:
-    """Each class in the shards of its ``overlap`` nearest centroids; both sides by label and block."""
+def _blocks(of, size: int):
+    return F.ceil(of / size).cast("long")
 
-    def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"label": [], "cls": [], "embedding": [], "shard": []}, dtype=object)
-        x, centre = unit(left["embedding"].tolist()), np.array(right["centre"].tolist()).T
-        k = min(overlap, centre.shape[1])
-        best = np.concatenate([np.argpartition(-(x[s : s + 1024] @ centre), k - 1, axis=1)[:, :k] for s in range(0, len(x), 1024)])
-        out = left.iloc[np.repeat(np.arange(len(left)), k)][["label", "cls", "embedding"]].reset_index(drop=True)
-        out["shard"] = right["shard"].to_numpy()[best].ravel()
-        return out
 
-    return classes.groupBy("label", "block").cogroup(centres.groupBy("label", "block")).applyInPandas(nearest, "label long, cls long, embedding array<double>, shard int")
+def _block_links(threshold: float, both_ways: bool):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """One block's classes against another's (or their own): how many vectors each is linked with, and stars."""
+        out = [_numbers(0, [], [])]
+        if len(left) and len(right):
+            q, x = unit(left["e"].tolist()), unit(right["e"].tolist())
+            (own, rep, n), (own2, rep2, n2) = ([p[c].to_numpy() for c in ("cls", "rep", "n")] for p in (left, right))
+            for s in range(0, len(q), 512):
+                i, j = np.nonzero(q[s : s + 512] @ x.T >= threshold - 1e-9)
+                i += s
+                hit = (np.einsum("ij,ij->i", q[i], x[j]) >= threshold) & (own[i] != own2[j])
+                i, j = i[hit], j[hit]
+                out.append(_numbers(0, *_sums(own[i], n2[j])))
+                if both_ways and key[1] != key[2]:
+                    out.append(_numbers(0, *_sums(own2[j], n[i])))
+                out.append(_numbers(1, *stars(rep[i], rep2[j])))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(key, return_inverse=True)
+    return own, np.bincount(at, value, minlength=len(own)).astype(np.int64) if len(own) else own
+
+
+def true_counts(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each query class, and how many vectors it is linked with, by comparing with all of its label in blocks."""
+    sized = classes.groupBy("label").agg(_blocks(F.count("*"), BLOCK).alias("rights"), F.greatest(_blocks(F.sum(F.col("query").cast("long")), BLOCK), F.lit(1)).alias("lefts"))
+    rows = classes.select("label", "cls", "rep", "n", "e", "query").join(sized, "label")
+    left = rows.where("query").withColumn("i", _spread(F.col("lefts"))).withColumn("j", _every(F.col("rights")))
+    right = rows.withColumn("j", _spread(F.col("rights"))).withColumn("i", _every(F.col("lefts")))
+    columns = ["label", "i", "j", "cls", "rep", "n", "e"]
+    right = right.select(*[F.col(c).alias(c) for c in columns])
+    # a query meets each class of its label once, itself too
+    key = ["label", "i", "j"]
+    found = left.select(*columns).groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_links(threshold, False), FOUND)
+    return found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("b"))
+
+
+def all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """FOUND rows of all classes of a label, each pair of blocks in a task of its own."""
+    sized = classes.groupBy("label").agg(_blocks(F.count("*"), BLOCK).alias("blocks"))
+    own = classes.select("label", "cls", "rep", "n", "e").join(sized, "label").withColumn("own", _spread(F.col("blocks"), seed=7))
+    columns = ["label", "i", "j", "cls", "rep", "n", "e"]
+    left = own.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    right = own.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
+    right = right.select(*[F.col(c).alias(c) for c in columns])
+    return left.select(*columns).groupBy("label", "i", "j").cogroup(right.groupBy("label", "i", "j")).applyInPandas(_block_links(threshold, True), FOUND)
+
+
+def united_graph(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The graph (label, place, cls, rep, n, e, home, near, places), a row for each class in each of its shards, and
+    the first visits (label, place, cls, rep, e, seeds): every class in all parts of its shards."""
+    sized = classes.groupBy("label").agg(F.count("*").alias("total"))
+    rows = classes.join(sized, "label")
+    # a sample of fixed size a label, those whose hashes are lowest: taken by a threshold on the hash, not by a sort of the label
+    share = F.greatest(F.lit(1.0), F.col("total") / CENTROID_SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < F.lit(float(1 << 30)) / share)
+    centres = stored(sample.select("label", "cls", "e", "total").groupBy("label").applyInPandas(_centroids, "label string, shard int, centre array<double>"), "centres")
+    blocks = _blocks(F.col("total"), 8 * BLOCK)
+    every_block = centres.join(sized, "label").select("label", "shard", "centre", _every(blocks).alias("block"))
+    assigned = stored(_assign(rows.withColumn("block", _spread(blocks)), every_block, overlap), "assigned")
+    parts = assigned.groupBy("label", "shard").agg(_blocks(F.count("*"), MOST).alias("parts"))
+    assigned = assigned.join(parts, ["label", "shard"])
+    place = lambda part: F.col("shard") * F.lit(1 << 32) + part
+    placed = stored(assigned.withColumn("place", place(_spread(F.col("parts"), seed=3))).drop("shard", "parts"), "placed")
+    lists = placed.select("label", "place", "cls", "e").groupBy("label", "place").applyInPandas(_shard_graph, "cls long, place long, near array<long>")
+    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("place").alias("places"))  # at most overlap lists
+    graph = stored(placed.join(united, "cls"), "graph")
+    visits = assigned.select("label", "shard", "cls", "rep", "e", _every(F.col("parts")).alias("part"))
+    return graph, visits.select("label", place(F.col("part")).alias("place"), "cls", "rep", "e", F.lit(None).cast("array<long>").alias("seeds"))
+
+
+def search_all(classes: DataFrame, overlap: int, beam: int, threshold: float) -> DataFrame:
+    """FOUND rows of kinds 0 and 1, by searching the united graph for every class."""
+    graph, visits = united_graph(classes, overlap)
+    visits = stored(visits, "visits")
+    been, found = visits.select("cls", "place"), None
+    while True:
+        blocks = stored(visits.groupBy("label", "place").agg(_blocks(F.count("*"), QUERIES).alias("blocks")), "blocks")
+        left = visits.join(blocks, ["label", "place"]).withColumn("block", _spread(F.col("blocks"), seed=5))
+        right = graph.join(blocks, ["label", "place"]).withColumn("block", _every(F.col("blocks")))
+        key = ["label", "place", "block"]
+        got = left.select(*key, "cls", "rep", "e", "seeds").groupBy(*key).cogroup(right.select(*key, "cls", "rep", "n", "e", "home", "near", "places").groupBy(*key)).applyInPandas(_shard_search(beam, threshold), FOUND)
+        got = stored(got, "found")
+        found = got.where("kind < 2") if found is None else found.union(got.where("kind < 2"))
+        on = got.where("kind = 2").groupBy(F.col("a").alias("cls"), F.col("b").alias("place"), "label").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"))
+        on = stored(on.join(been, ["cls", "place"], "left_anti"), "onward")
+        if on.limit(1).count() == 0:
+            return found
+        visits = stored(on.join(classes.select("cls", "rep", "e"), "cls").select("label", "place", "cls", "rep", "e", "seeds"), "visits")
+        been = been.union(visits.select("cls", "place"))
+
+
+def linked_classes(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float, bool]:
+    """FOUND rows of kinds 0 and 1 for classes (label, cls, rep, n, e, query); the audited recall, and whether the graph
+    reached it (else all pairs were compared)."""
+    truth = stored(true_counts(classes, threshold), "truth")
+    wanted = truth.agg(F.sum("b")).first()[0] or 0
+    overlap, beam, recall = OVERLAP, BEAM, 1.0
+    for _ in range(TRIES):
+        found = search_all(classes, overlap, beam, threshold)
+        got = found.where("kind = 0").join(truth.select("a"), "a", "left_semi").agg(F.sum("b")).first()[0] or 0
+        recall = got / wanted if wanted else 1.0
+        logging.getLogger(__name__).info("recall %.4f of %d links, overlap %d, beam %d", recall, wanted, overlap, beam)
+        if recall >= AUDIT:
+            return found, recall, True
+        overlap, beam = 2 * overlap, 2 * beam
+    return stored(all_pairs(classes, threshold), "found"), recall, False
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -253,30 +429,18 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str
     ship(df.sparkSession)
     e = F.col("e")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    given = df.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("e"))
+    given = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("e"))
     fit = F.coalesce((F.size(e) > 0) & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     base = stored(given.withColumn("fit", fit), "vectors")
-    # label and length in one number
-    group = F.col("label").cast("long") * F.lit(1 << 31) + F.size("e")
-    ok = base.where("fit").select("id", group.alias("label"), "e").withColumn("cls", F.xxhash64("label", "e"))
-    ok = stored(ok, "usable")
-    classes = ok.groupBy("cls").agg(F.first("label").alias("label"), F.first("e").alias("embedding"), F.count("*").alias("n"), F.min("id").alias("rep"), F.max((F.col("id") % AUDIT_EVERY == 0)).alias("query"))
-    classes = stored(classes, "vector-classes")
-    links = cut(class_links(classes.select("label", "cls", "embedding", "query"), threshold))
-    sizes = classes.select("cls", "n")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    label_of = components(links)
-    of_class = (
-        classes.select("cls", "n", "rep")
-        .join(others.withColumnRenamed("a", "cls"), "cls", "left")
-        .join(label_of.select(F.col("node").alias("cls"), F.col("label").alias("whole")), "cls", "left")
-        .select("cls", "rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("whole", "cls").alias("whole"))
-    )
-    of_class = cut(of_class)
-    least = of_class.groupBy("whole").agg(F.min("rep").alias("component_id"))
-    of_class = cut(of_class.join(least, "whole").select("cls", "n_links", "component_id"))
-    linked = ok.select("id", "cls").join(of_class, "cls").select("id", "n_links", "component_id")
+    ok = base.where("fit").select("id", F.concat_ws(":", F.size("e").cast("string"), "label").alias("label"), "e")
+    classes = ok.groupBy("label", "e").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.max(F.col("id") % AUDIT_EVERY == 0).alias("query"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    found, _, _ = linked_classes(classes, threshold)
+    others = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
+    label_of = components(found.where("kind = 1"))
+    of_class = classes.select("label", "e", "cls", "n", "rep").join(others, "cls", "left").join(label_of.select("node", F.col("label").alias("least")), F.col("rep") == F.col("node"), "left")
+    of_class = of_class.select("label", "e", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    linked = ok.join(of_class, ["label", "e"]).select("id", "n_links", "component_id")
     rest = base.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(rest).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -184,10 +184,10 @@ def test_vectors_equal_brute_force(spark):
         v = centres[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.08, 0.5])
         rows.append((i, [float(x) for x in v.astype(np.float32)], int(i % 3)))
     rows += [(1000 + i, rows[3][1], rows[3][2]) for i in range(40)]  # equal vectors
-    rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [1.0] * 15 + [None], 1), (2004, rows[4][1], None), (2005, [float("inf")] * 16, 1), (2006, [], 1), (2007, [1.0, 2.0], 0), (2008, [2 * x for x in rows[3][1]], rows[3][2])]
+    rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [1.0] * 15 + [None], 1), (2004, rows[4][1], None), (2005, [float("inf")] * 16, 1), (2006, [], 1), (2007, [1.0, 2.0], 0), (2008, [2 * x for x in rows[3][1]], rows[3][2]), (None, rows[3][1], rows[3][2])]
     got = {r.vec_id: r for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     assert len(got) == len(rows)
-    usable = [(i, np.array(v, float) / np.linalg.norm(v), lab) for i, v, lab in rows if i < 2000 or i == 2008]
+    usable = [(i, np.array(v, float) / np.linalg.norm(v), lab) for i, v, lab in rows if i is not None and (i < 2000 or i == 2008)]
     links = []
     counts = defaultdict(int)
     for a in range(len(usable)):
@@ -203,7 +203,7 @@ def test_vectors_equal_brute_force(spark):
 
 
 def test_vectors_are_compared_in_blocks_where_the_graph_misses_links(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "_shard_search", lambda beam, threshold: lambda pdf: pdf[["cls"]].head(0).assign(a=0, b=0)[["a", "b"]])
+    monkeypatch.setattr(vectors, "search_all", lambda classes, *_: classes.sparkSession.createDataFrame([], vectors.FOUND))
     monkeypatch.setattr(vectors, "BLOCK", 40)
     monkeypatch.setattr(vectors, "TRIES", 1)
     rng = np.random.default_rng(12)
@@ -223,6 +223,39 @@ def test_vectors_of_a_rarer_length_link_too(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (0, 8)}
 
 
+def test_a_dense_cluster_over_several_shards(spark, monkeypatch):
+    """One group of similar vectors that is larger than a shard's parts; every link is counted once."""
+    monkeypatch.setattr(vectors, "SHARD", 300)
+    monkeypatch.setattr(vectors, "MOST", 150)
+    monkeypatch.setattr(vectors, "QUERIES", 100)
+    rng = np.random.default_rng(13)
+    centre = rng.normal(size=24)
+    x = np.concatenate([centre + 0.1 * rng.normal(size=(1200, 24)), rng.normal(size=(300, 24))])
+    rows = [(i, [float(y) for y in v], "x") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    alike = x @ x.T >= 0.98
+    np.fill_diagonal(alike, False)
+    counts = alike.sum(axis=1)
+    truth = _components(range(len(rows)), zip(*np.nonzero(alike), strict=True))
+    assert counts.max() > 400
+    assert sum(n for n, _ in got.values()) >= vectors.AUDIT * counts.sum() and all(got[i][0] <= counts[i] for i in got)
+    assert {i: c for i, (_, c) in got.items()} == truth
+
+
+def test_recall_is_audited_and_reported(spark):
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(60, 12)), 10, axis=0) + 0.02 * rng.normal(size=(600, 12))
+    classes = spark.createDataFrame([("12:1", i, i, 1, [float(y) for y in v], i % 20 == 0) for i, v in enumerate(x)], "label string, cls long, rep long, n long, e array<double>, query boolean")
+    found, recall, by_graph = vectors.linked_classes(classes)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.98).sum(axis=1) - 1
+    got = {r.a: r.b for r in found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("b")).collect()}
+    queries = range(0, 600, 20)
+    assert recall == sum(got[i] for i in queries) / sum(truth[i] for i in queries) and recall >= vectors.AUDIT and by_graph
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
