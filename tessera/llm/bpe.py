@@ -3,13 +3,14 @@
 Each executor's Python worker keeps one in-process DuckDB with two tables made from the vocabulary's
 ranks: ``merges`` (two token ids and the id of their concatenation) and ``tokens`` (id, bytes).  A batch's
 new pieces become token-position rows (piece, position, token); a recursive query joins neighbouring
-rows to ``merges`` and contracts each piece's leftmost minimum-rank pair, until none is left.  Decoding
-joins ids to ``tokens`` and concatenates by ordered aggregation.
+rows to ``merges`` and contracts each piece's leftmost minimum-rank pair, until none is left.  A piece that is a
+token itself needs no contracting, and is looked up.  Decoding works on whole documents: their ids in order are
+joined to ``tokens`` and concatenated by ordered aggregation, at most ``ROWS_A_QUERY`` ids in a query.
 
 Pieces recur, so a worker remembers what it has encoded (``REMEMBERED`` entries; then it starts over):
-the recursive query runs over pieces that are new to the worker.  A text splits at every space that has
-no white space after it, which the pre-tokenizer's pattern never crosses, so each batch goes through the
-pattern once for each different chunk.
+the recursive query runs over pieces that are new to the worker.  With the pattern ``SPACED``, a text splits at
+every space that has no white space after it, which that pattern never crosses, so each batch goes through the
+pattern once for each different chunk; with another pattern, whole texts go through it.
 
 Pieces of over ``LONG`` bytes are first cut between bytes that no token holds side by side, where no
 merge can reach across; in what stays long, all places of a minimum-rank pair are contracted at once
@@ -37,7 +38,10 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE = 64, 400_000, 40_000
+LONG, REMEMBERED, AT_ONCE, ROWS_A_QUERY = 64, 400_000, 40_000, 1 << 20
+
+#: Fixed value: the public pattern whose pieces never cross a space before a word.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: ``g`` is a row's place among all; ``s`` is a pair's rank above, its left row's place below, so that the
 #: least ``s`` of a piece is its leftmost pair of minimum rank.
@@ -102,7 +106,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import duckdb
 
-        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.ranks, self.split, self.spaced = ranks, regex.compile(pattern), pattern == SPACED
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, t = (np.array(x, np.int32) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 3
@@ -124,9 +128,8 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        #: ids of each piece; and what its ids decode to, where that isn't the piece itself
+        #: ids of each piece
         self.pieces: dict[bytes, bytes] = {}
-        self.odd: dict[bytes, bytes] = {}
 
     def _run(self, sql: str, sizes: np.ndarray, tok: np.ndarray) -> pa.Table:
         """``sql`` over token-position rows: ``sizes[w]`` rows of each piece w, in order."""
@@ -160,7 +163,6 @@ class Codec:
             parts = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self.contract(large, ENCODE_LONG), strict=True))
             known.update({x: b"".join(map(parts.__getitem__, segments)) for x, segments in zip(long, cut, strict=True)})
         self.pieces.update(known)
-        self.odd.update((x, d) for x, d in zip(known, self.decode(list(known.values())), strict=True) if x != d)
 
     def _segments(self, piece: bytes) -> list[bytes]:
         b = np.frombuffer(piece, np.uint8)
@@ -168,33 +170,42 @@ class Codec:
         return [piece[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes that each sequence of ids stands for."""
-        out: list[bytes] = []
-        for s in range(0, len(ids), AT_ONCE):
-            part = ids[s : s + AT_ONCE]
-            got = self._run(DECODE, np.array([len(x) // 4 for x in part], np.int64), np.frombuffer(b"".join(part), "<u4"))
-            found = got["bytes"].to_pylist()
-            if len(found) < len(part):  # the empty sequences
-                found = [by.get(i, b"") for by in [dict(zip(got["w"].to_pylist(), found, strict=True))] for i in range(len(part))]
-            out += found
-        return out
-
-    def _chunks(self, chunks: list[str], lead: str) -> tuple[list[bytes], list[bytes]]:
-        """Ids and decoded bytes of each chunk after ``lead``: letters alone are one piece, what else there is goes through the pattern."""
-        split = [(lead + c).encode() if c.isalpha() else [x.encode() for x in self.split.findall(lead + c)] for c in chunks]
+        """The bytes that each sequence of ids stands for; a long sequence is decoded in slices."""
+        of, slices, out = [], [], [[] for _ in ids]
+        for i, x in enumerate(ids):
+            for s in range(0, len(x), 4 * ROWS_A_QUERY):
+                of.append(i)
+                slices.append(x[s : s + 4 * ROWS_A_QUERY])
+        sizes = np.array(list(map(len, slices)), np.int64) // 4
+        start, ends = 0, np.cumsum(sizes)
+        while start < len(slices):
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + ROWS_A_QUERY, "right")))
+            got = self._run(DECODE, sizes[start:end], np.frombuffer(b"".join(slices[start:end]), "<u4"))
+            for i, raw in zip(of[start:end], got["bytes"].to_pylist(), strict=True):
+                out[i].append(raw)
+            start = end
+        return [b"".join(x) for x in out]
+
+    def _chunks(self, chunks: list[str], lead: str) -> list[bytes]:
+        """Ids of each chunk after ``lead``: letters alone are one piece, what else there is goes through the pattern."""
+        split = [(lead + c).encode() if self.spaced and c.isalpha() else [x.encode() for x in self.split.findall(lead + c)] for c in chunks]
         self._learn_pieces({x for x in split if type(x) is bytes}.union(*[x for x in split if type(x) is list]))
-        ids, odd = self.pieces, self.odd
-        return (
-            [ids[x] if type(x) is bytes else b"".join([ids[p] for p in x]) for x in split],
-            [odd.get(x, x) if type(x) is bytes else b"".join([odd.get(p, p) for p in x]) for x in split],
-        )
+        ids = self.pieces
+        return [ids[x] if type(x) is bytes else b"".join([ids[p] for p in x]) for x in split]
 
     def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text, the ids (little-endian, 32 bits each) and the bytes that they decode to."""
+        ids = self.ids(texts)
+        return list(zip(ids, self.decode(ids), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, the ids (little-endian, 32 bits each)."""
         if not texts:
             return []
         if len(self.pieces) > REMEMBERED:
             self.forget()
+        if not self.spaced:
+            return self._chunks(texts, "")
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         at = lists.offsets.to_numpy()
         begin = np.zeros(int(at[-1]), bool)
@@ -221,18 +232,15 @@ class Codec:
         code[begin] = [leads[b] for b in begins]
         code = code[use]
         ends = np.concatenate(([0], np.cumsum(use)))[at]  # where each text's chunks are, of those in use
-        out = []
-        for inside, begun, unit in zip(after_space, leading, ("<u4", np.uint8), strict=True):
-            known = inside + begun
-            data = np.frombuffer(b"".join(known), unit)
-            sizes = np.array(list(map(len, known)), np.int64) // data.itemsize
-            starts = np.cumsum(sizes) - sizes
-            n = sizes[code]
-            to = np.concatenate(([0], np.cumsum(n)))
-            got = data[np.repeat((starts[code] - to[:-1]).astype(np.int32), n) + np.arange(to[-1], dtype=np.int32)]
-            edges = to[ends].tolist()
-            out.append([got[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)])
-        return list(zip(*out, strict=True))
+        known = after_space + leading
+        data = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array(list(map(len, known)), np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[code]
+        to = np.concatenate(([0], np.cumsum(n)))
+        got = data[np.repeat((starts[code] - to[:-1]).astype(np.int32), n) + np.arange(to[-1], dtype=np.int32)]
+        edges = to[ends].tolist()
+        return [got[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _local = threading.local()
