@@ -30,7 +30,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RISK, MISS = 0.005, 0.05
 #: Cutoffs on the score, lenient to strict.
 CUTOFFS = tuple([2.0, 1.5, 1.0] + [x / 100 for x in range(95, 4, -5)])
-_LOW = (1 << 24) - 1  # a word's place in the packed numbers below
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -38,26 +37,17 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def _repeat_words(w: Column) -> Column:
     """Words within 3-word windows that occur twice or more.
 
-    Each window's hash is packed with its place into one number; after sorting, equal windows are
-    neighbours, and a look at the whole hashes tells them from windows that only share the packed bits.
+    Windows, as (hash, place), are sorted by their whole hashes, so that equal ones are neighbours.
     """
 
-    def of(h: Column) -> Column:
-        at = lambda e: e.bitwiseAND(F.lit(_LOW)).cast("int")
+    def of(t: Column) -> Column:
+        same = lambda e, o: F.coalesce(e["h"] == o["h"], F.lit(False))
+        found = F.filter(t, lambda e, k: same(e, F.get(t, k - 1)) | same(e, F.get(t, k + 1)))
+        places = F.sort_array(F.transform(found, lambda e: e["i"]))
+        return let(places, lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3), F.get(p, j + 1) - x), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-        def places(t: Column) -> Column:
-            def same(e: Column, o: Column) -> Column:
-                return F.coalesce((F.shiftright(e, 24) == F.shiftright(o, 24)) & (F.get(h, at(e)) == F.get(h, at(o))), F.lit(False))
-
-            found = F.filter(t, lambda e, k: same(e, F.get(t, k - 1)) | same(e, F.get(t, k + 1)))
-            return F.sort_array(F.transform(found, at))
-
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 24).bitwiseOR(i.cast("long"))))
-        covered = lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3), F.get(p, j + 1) - x), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x)
-        return let(packed, lambda t: let(places(t), covered))
-
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(windows, of))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), of))
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
@@ -154,5 +144,5 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     got = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), carry=False)
-    return got.select("doc_id", *MEASURES, "base_failed", "junk_score", "kept")
+    return got.select("doc_id", *MEASURES, "base_failed", "junk_score", "cutoff", "kept")
 
