@@ -1,23 +1,24 @@
 """Personal data replaced by keyed surrogates.
 
 Detected entities are e-mail addresses, telephone numbers, payment card numbers, network addresses,
-identity and account numbers, credentials, and personal names after a title.  An entity's surrogate is
-a keyed function of its type and canonical form, so that an entity gets one surrogate wherever it occurs
-(coreference, over the whole corpus and without a join), and keeps type, gender, script and format: digits
-stay digits and letters stay letters of their script and case, separators stay, card numbers stay valid or
-invalid as they were, names stay names of the title's gender.
-
-Surrogates of numbers, addresses and credentials come from a keyed permutation (a Feistel network over the
-entity's digits and letters, walked on until the result is admissible), so two entities of one format
-never share one.  A collision check over the corpus confirms distinctness: (type, surrogate) pairs with
+identity and account numbers, credentials, and personal names after a title or with a known given name.  An
+entity's surrogate is a keyed function of its type and canonical form, so that an entity gets one surrogate
+wherever it occurs (coreference, over the whole corpus and without a join), and keeps type, gender, script and
+format: digits stay digits and letters stay letters of their script and case, separators stay, card and account
+numbers stay valid or invalid as they were, names stay names of the title's or given name's gender, in capitals
+where they were.  An e-mail address keeps its top-level domain alone.
+
+Surrogates of numbers, addresses and credentials come from a keyed permutation without fixed points (a Feistel
+network over the entity's digits and letters, walked on until the result is admissible), so two entities of one
+format never share one and none keeps its own.  A collision check over the corpus confirms distinctness: (type, surrogate) pairs with
 several originals, as can happen for names, are found by an aggregation over entities, and all but the
 first original take their next variant; that is repeated, each round checkpointed, until no surrogate has two
-originals.  One name after titles of several genders is one original.  The variants are empty unless names
+originals.  One name is one original whatever its case and after titles of several genders.  The variants are empty unless names
 collide; up to ``MAX_BROADCAST_VARIANTS`` they are broadcast, beyond that they are joined to the texts' names.
 
 Defined results: a null text stays null and an empty one empty; a text without entities is unchanged,
-character by character; overlapping candidates are resolved from the left, the longer first; repeated
-rows get equal replacements; texts are read whole; columns of the results' names are replaced; an empty
+character by character; overlapping candidates are resolved from the left, the longer first; an entity of one character that has no other value of its format stays;
+repeated rows get equal replacements; texts are read whole; columns of the results' names are replaced; an empty
 table gives an empty result.
 """
 
@@ -61,6 +62,9 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "son", ("latin", "f"): "son", ("latin", "n"): "son", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("cyrillic", "n"): "енко"}
 
 _WORD = r"\p{Lu}[\p{L}’'-]+"
+#: Known given names and their gender.
+GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names}
+_GIVEN = "|".join(sorted(map(regex.escape, GENDER), key=len, reverse=True))
 _TITLE = "|".join(sorted(map(regex.escape, TITLES), key=len, reverse=True))
 PATTERN = regex.compile(
     rf"""
@@ -71,14 +75,16 @@ PATTERN = regex.compile(
       | (?<![\p{{L}}\p{{N}}:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\p{{L}}\p{{N}}:]))
   | (?P<iban>(?<![\p{{L}}\p{{N}}])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
   | (?P<card>(?<![\p{{L}}\p{{N}}])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\p{{L}}\p{{N}}]))
-  | (?P<phone>(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?![\p{{L}}\p{{N}}]))
+  | (?P<phone>(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|0\d{{2,4}}[ /]\d{{5,8}})(?![\p{{L}}\p{{N}}]))
   | (?P<identity>(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-]))
   | (?P<name>(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ]\K{_WORD}(?:[ ]{_WORD}){{0,2}})
+  | (?P<given>(?<![\p{{L}}\p{{N}}])(?:{_GIVEN})(?:[ ]\p{{Lu}}\.?)?[ ]{_WORD})
     """,
     regex.X | regex.V1,
 )
 _NAMED = re.compile(rf"(?:{_TITLE})\.? [^\W\d_]")
 _SIGNS = re.compile(r"[0-9@]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LETTERS_ONLY = re.compile(r"(?:passw|pwd|token|secret|api[_-]?key)", re.I)
 #: The titles that hold no other title.
 _STEMS = tuple(t for t in TITLES if not any(o != t and o in t for o in TITLES))
@@ -92,7 +98,7 @@ def _may_hold(text: str) -> bool:
 
 
 def _titled(text: str) -> bool:
-    return any(t in text for t in _STEMS) and bool(_NAMED.search(text))
+    return any(t in text for t in _STEMS) and bool(_NAMED.search(text)) or not GENDER.keys().isdisjoint(_LETTERS.findall(text))
 
 
 def _random(key: bytes, *parts: object) -> int:
@@ -147,16 +153,56 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _walk(text: str, key: bytes, label: str, fits, most: int = 400) -> str:
+def _next(text: str, by: int) -> str:
+    """The next (or, by -1, the last) string of ``text``'s format."""
+    out = list(text)
+    for i in reversed(range(len(out))):
+        if out[i] in _PLACE:
+            alphabet, at = _PLACE[out[i]]
+            out[i] = alphabet[(at + by) % len(alphabet)]
+            if 0 <= at + by < len(alphabet):
+                break
+    return "".join(out)
+
+
+def deranged(text: str, key: bytes, label: str) -> str:
+    """``permuted`` without fixed points: a run of neighbours that are fixed is passed around among them and the next one."""
+    new, after = permuted(text, key, label), _next(text, 1)
+    if after == text:
+        return text  # nothing to exchange
+    if new == text:
+        new = permuted(after, key, label)
+        if new == after and len([c for c in text if c in _PLACE]) == 1:
+            return after  # one character, and all of them fixed
+        return new
+    first, before = None, _next(text, -1)
+    while permuted(before, key, label) == before:
+        first, before = before, _next(before, -1)
+    return first or new
+
+
+def _walk(text: str, key: bytes, label: str, fits) -> str:
     """The first permuted form that ``fits``: walking within the permutation keeps it one to one."""
     out = permuted(text, key, label)
-    for _ in range(most):
-        if fits(out) and out != text:
-            return out
+    while not fits(out) and out != text:
         out = permuted(out, key, label)
     return out
 
 
+def mod97(account: str) -> int:
+    """The remainder of an account number's digits (letters as 10 to 35), its first four characters last."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _iban(bare: str, key: bytes) -> str:
+    """Country kept, the rest permuted; the check digits are as far from the valid ones as they were."""
+    right = lambda country, rest: 98 - mod97(f"{country}00{rest}")
+    country, rest = bare[:2], bare[4:]
+    off = int(bare[2:4]) - right(country, rest)
+    new = deranged(rest, key, f"iban{country}")
+    return f"{country}{(right(country, new) + off) % 100:02d}{new}"
+
+
 def _ip(text: str, key: bytes) -> str:
     if ":" in text:
         return permuted(text, key, "ip", hexadecimal=True)
@@ -191,7 +237,9 @@ def _name(text: str, gender: str, key: bytes, variant: int) -> str:
     script, words = _script(text), text.split(" ")
     given = GIVEN[(script, gender)]
     out = [given[_random(key, "given", script, gender, w.casefold(), variant) % len(given)] for w in words[:-1]]
-    return " ".join([*out, _family(words[-1], script, gender, key, variant)])
+    out = [n[0] + w[1:] if len(w.rstrip(".")) == 1 else n for n, w in zip(out, words[:-1], strict=True)]  # initials
+    out.append(_family(words[-1], script, gender, key, variant))
+    return " ".join(n.upper() if w.isupper() and len(w) > 1 else n for n, w in zip(out, words, strict=True))
 
 
 def canonical(kind: str, text: str) -> str:
@@ -199,29 +247,32 @@ def canonical(kind: str, text: str) -> str:
     if kind == "email":
         return text.lower()
     if kind in ("card", "phone", "iban"):
-        return regex.sub(r"[ .()-]", "", text)
-    return text
+        return regex.sub(r"[ ./()-]", "", text)
+    return text.casefold() if kind == "name" else text
 
 
 def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY, gender: str = "n", variant: int = 0) -> str:
     """The keyed replacement of one entity."""
     if kind == "email":
         local, _, domain = text.rpartition("@")
+        labels = domain.lower().split(".")
+        # each label by those after it, so that a domain has one surrogate in all its subdomains
+        new = [deranged(x, key, f"domain.{'.'.join(labels[i + 1 :])}") for i, x in enumerate(labels[:-1])] + labels[-1:]
         # case doesn't tell addresses apart: the permutation is of the lower-cased address, cased as the original
-        new = _walk(local.lower(), key, f"email{variant}@{domain.lower()}", lambda x: x != local.lower())
-        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, local, strict=True)) + "@" + domain
+        new = deranged(local.lower(), key, f"email@{domain.lower()}") + "@" + ".".join(new)
+        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, text, strict=True))
     if kind in ("card", "phone", "iban"):
         bare = canonical(kind, text)
-        keep = 0
-        if kind == "phone" and bare.startswith("+"):
-            keep = 2 if bare[1] in "17" else 3  # the country's code, to one or two digits
+        if kind == "card":
+            valid = luhn(bare)
+            new = _walk(bare, key, "card", lambda x: luhn(x) == valid)
         elif kind == "iban":
-            keep = 4
-        head, rest = bare[:keep], bare[keep:]
-        valid = luhn(bare) if kind == "card" else None
-        fits = (lambda x: luhn(x) == valid) if kind == "card" else (lambda x: True)
-        new = iter(head + _walk(rest, key, f"{kind}{variant}{head}", fits))
-        return "".join(c if regex.match(r"[ .()-]", c) else next(new) for c in text)
+            new = _iban(bare, key)
+        else:
+            keep = (2 if bare[1] in "17" else 3) if bare.startswith("+") else 0  # the country's code, to one or two digits
+            new = bare[:keep] + deranged(bare[keep:], key, f"phone{bare[:keep]}")
+        rest = iter(new)
+        return "".join(c if c in " ./()-" else next(rest) for c in text)
     if kind == "ip":
         return _ip(text, key)
     if kind == "name":
@@ -230,7 +281,11 @@ def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY, gender: str = "n",
         return "AKIA" + permuted(text[4:], key, "AKIA")
     if kind == "credential" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return permuted(text, key, "hexadecimal", hexadecimal=True)
-    return _walk(text, key, f"{kind}{variant}", lambda x: x != text)
+    return deranged(text, key, kind)
+
+
+#: The pattern's named groups.
+KINDS = tuple(PATTERN.groupindex)
 
 
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -253,12 +308,14 @@ def _lines(text: str):
 def _find(text: str, at: int) -> list[tuple[int, int, str, str, str]]:
     out = []
     for m in PATTERN.finditer(text):
-        kind = m.lastgroup
+        kind = next(k for k in KINDS if m[k] is not None)
         # \K moves the match's start, not the group's
         gender = "n"
         if kind == "name":
             before = text[: m.start()].rstrip(" .").rsplit(None, 1)
             gender = TITLES.get(before[-1].strip("(\"'«“") if before else "", "n")
+        elif kind == "given":
+            kind, gender = "name", GENDER[m.group(0).split(" ")[0]]
         out.append((at + m.start(), at + m.end(), kind, m.group(0), gender))
     return out
 
@@ -307,9 +364,12 @@ def _surrogates(key: bytes):
 
 
 def _names(key: bytes):
+    """The names of each text, ``original`` in canonical form."""
+
     @F.pandas_udf(T.ArrayType(ENTITY))
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "gender", "original", "surrogate"), e, strict=True)) for e in replace(t, key)[1] if e[0] == "name"] if isinstance(t, str) and _titled(t) else [] for t in texts], dtype=object)
+        row = lambda e: dict(zip(("kind", "gender", "original", "surrogate"), (*e[:2], canonical(e[0], e[2]), e[3]), strict=True))
+        return pd.Series([[row(e) for e in replace(t, key)[1] if e[0] == "name"] if isinstance(t, str) and _titled(t) else [] for t in texts], dtype=object)
 
     return of
 
@@ -322,7 +382,7 @@ def collisions(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> D
     their next variant, so surrogates given before stay with their owners unless an earlier one comes to claim them.
     """
     ship(df.sparkSession)
-    found = df.select(F.explode(_names(key)(F.col(text))).alias("e")).select("e.kind", "e.gender", F.col("e.original").alias("form"), "e.surrogate").distinct()
+    found = df.select(F.explode(_names(key)(F.col(text))).alias("e")).select("e.kind", "e.gender", F.col("e.original").alias("form"), F.lower("e.surrogate").alias("surrogate")).distinct()
     now = cut(found.select("kind", "gender", "form", F.col("form").alias("name"), F.lit(0).alias("variant"), "surrogate"))
     while True:
         # whose a surrogate is; a name's genders go together
@@ -332,7 +392,7 @@ def collisions(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY) -> D
         if moving.limit(1).count() == 0:
             return now.where("variant > 0").select("kind", "gender", "form", "variant")
         moved = now.join(moving, ["kind", "name"], "left_semi").withColumn("variant", F.col("variant") + 1)
-        moved = moved.withColumn("surrogate", _surrogates(key)(F.col("gender"), F.col("form"), F.col("variant")))
+        moved = moved.withColumn("surrogate", F.lower(_surrogates(key)(F.col("gender"), F.col("form"), F.col("variant"))))
         now = cut(now.join(moving, ["kind", "name"], "left_anti").unionByName(moved))
 
 
