@@ -1,18 +1,25 @@
 """Main-text extraction from HTML by tree scoring.
 
-Paragraphs earn points for their length and commas; each point flows to the ancestors with decreasing
-weight; a container's points are discounted by its link density.  The best container and those of its
-siblings that score well are kept, and their blocks are the text.
+Paragraphs earn points for their length and commas; a paragraph's points go to its parent whole, to the next
+ancestor by half, and on by a third a level; a container's points are discounted by its link density.  The best
+container and those of its siblings that score well are kept, and their blocks are the text.  Points are handed up
+in one pass, so a page takes time and memory in proportion to its own length.
+
+Elements that are never the article (menus, headers, footers, forms, scripts) are left out.  Words in class, id and
+role that speak against a container weigh against how much of the page's unlinked text it holds: such a container is
+left out unless it also has a word that speaks for it and holds ``SOME`` of that text (not so for readers' comments),
+or it holds ``MOST`` of it and no other container that is marked as the article holds ``RIVAL``.
 
 Defined results: null, empty or markup-free-of-text html gives "" ; broken markup (unclosed tags, cut
-references, stray "<") is read as browsers do, so far as it matters for text; a very long page takes
-time and memory in proportion to its own length; repeated rows give repeated results; other columns
-pass through, and an existing output column is replaced.
+references, stray "<") is read as browsers do, so far as it matters for text; of containers of equal points the
+first in page order is the best; repeated rows give repeated results; other columns pass through, and an
+existing output column is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -35,12 +42,14 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 DROPPED = frozenset("head nav header footer aside form button input fieldset dialog menu".split()) | RAW
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4".split())
-# Words of class, id and role attributes that mark what is not the article, or is.
+# Words of class, id and role attributes that mark what is not the article, or is, or are comments.
 NOT_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|reply|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|pagination|pager|toolbar|footer|header|masthead|copyright|login|signup|search|skip|hidden|complementary|contentinfo|tags)(?:$|[\s_-])",
     re.I,
 )
 IS_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|entry|post|story|body|text|hentry)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies|respond|hidden)(?:$|[\s_-])", re.I)
+SOME, MOST, RIVAL = 0.25, 0.5, 0.1
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
@@ -54,12 +63,13 @@ LEAST_POINTS = 25  # a paragraph of fewer characters earns none
 
 
 class Node:
-    __slots__ = ("kids", "links", "marks", "parent", "points", "size", "tag")
+    __slots__ = ("kids", "links", "marks", "old", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = "") -> None:
         self.tag, self.parent, self.marks = tag, parent, marks
         self.kids: list[Node | str] = []
-        self.points, self.size, self.links = 0.0, 0, 0
+        #: ``old``: points that have come over more than one level
+        self.points, self.old, self.size, self.links = 0.0, 0.0, 0, 0
 
 
 def _marks(attrs: str) -> str:
@@ -81,7 +91,17 @@ def _marks(attrs: str) -> str:
 def parse(html: str) -> Node:
     """The tree of elements; implied end tags are supplied."""
     top = node = Node("", None)
-    at, n = 0, len(html)
+    at, n, opened = 0, len(html), Counter()
+
+    def leave(until: Node) -> Node:
+        """The parent of ``until``, which is closed with all that is open inside."""
+        inner = node
+        while inner is not until:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        opened[until.tag] -= 1
+        return until.parent
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
@@ -94,21 +114,21 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up)
             elif tag == "p":  # an end without a start stands for an empty paragraph
                 node.kids.append(Node("p", node))
             continue
         if tag in SAME_LEVEL or tag in CLOSES_P:
             ends = SAME_LEVEL.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
             stop, up = BOUNDARY.get(tag, set()), node
-            while up.parent is not None and up.tag not in stop and up.tag not in ends and (up.tag in INLINE or tag not in CLOSES_P):
+            while any(opened[t] > 0 for t in ends) and up.parent is not None and up.tag not in stop and up.tag not in ends and (up.tag in INLINE or tag not in CLOSES_P):
                 up = up.parent
             if up.parent is not None and up.tag in ends:
-                node = up.parent
+                node = leave(up)
         attrs = m["attrs"] or m["attrs2"] or ""
         new = Node(tag, node, _marks(attrs))
         node.kids.append(new)
@@ -119,20 +139,18 @@ def parse(html: str) -> Node:
             at = closing.end() if closing else n
             continue
         node = new
+        opened[tag] += 1
     return top
 
 
-def _dropped(node: Node) -> bool:
-    return node.tag in DROPPED or bool(node.marks) and node.tag not in ("article", "main", "body", "html") and bool(NOT_ARTICLE.search(node.marks))
-
-
-def _score(top: Node) -> list[Node]:
-    """Points, text size and link size of every node; what is dropped is cut off.  Returns nodes in page order."""
+def _sized(top: Node) -> list[Node]:
+    """Text size and link size of every node; elements that are never the article are cut off.  Returns nodes in page order."""
     order, stack = [], [top]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _dropped(k)]
+        node.size = node.links = 0
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in DROPPED]
         stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
     for node in reversed(order):
         for k in node.kids:
@@ -141,6 +159,45 @@ def _score(top: Node) -> list[Node]:
             else:
                 node.size += k.size
                 node.links += k.size if k.tag == "a" else k.links
+    return order
+
+
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or any(IS_ARTICLE.search(x) and not NOT_ARTICLE.search(x) for x in node.marks.split())
+
+
+def _without_marked(top: Node) -> list[Node]:
+    """Leaves out the containers whose marks outweigh what they hold; sizes anew, nodes in page order."""
+    order = _sized(top)
+    free = lambda node: node.size - node.links
+    total = max(1, free(top))
+    places = {id(node): i for i, node in enumerate(order)}
+    last = list(range(len(order)))  # the place of each node's last descendant
+    for i in range(len(order) - 1, 0, -1):
+        up = places[id(order[i].parent)]
+        last[up] = max(last[up], last[i])
+    marked = lambda node: node.marks and node.tag not in ("article", "main", "body", "html") and NOT_ARTICLE.search(node.marks)
+    rivals = [i for i, node in enumerate(order) if _is_article(node) and not marked(node) and free(node) >= RIVAL * total]
+    cut = set()
+    for i, node in enumerate(order):
+        if not marked(node):
+            continue
+        share = free(node) / total
+        if share >= SOME and _is_article(node) and not COMMENTS.search(node.marks):
+            continue
+        outside = any(not (r <= i <= last[r]) and not (i <= r <= last[i]) for r in rivals) if share > MOST else True
+        if outside:
+            cut.add(id(node))
+    if cut:
+        for node in order:
+            node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in cut]
+        order = _sized(top)
+    return order
+
+
+def _score(top: Node) -> list[Node]:
+    """Points of every node; returns nodes in page order."""
+    order = _without_marked(top)
     for node in order:
         if node.size < LEAST_POINTS:
             continue
@@ -149,10 +206,13 @@ def _score(top: Node) -> list[Node]:
             continue
         text = "".join(k for k in node.kids if isinstance(k, str))
         points = (1 + len(COMMA.findall(text)) + min(node.size / 100, 3)) * (1 - node.links / node.size)
-        up, level = (node.parent if node.tag in SCORED else node), 1
-        while up is not None:
-            up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
-            up, level = up.parent, level + 1
+        up = node.parent if node.tag in SCORED else node
+        if up is not None:
+            up.points += points
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.old += node.points / 2 + node.old / 3
+        node.points += node.old
     for node in order:
         if node.tag in ("article", "main") or node.marks and IS_ARTICLE.search(node.marks):
             node.points += 25

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -32,6 +33,56 @@ def test_article_of_plain_containers():
     assert html_extract.main_text(html).count("A sentence") == 4
 
 
+PROSE = "The river ran past the mill, and the miller, who was old, watched it go by for a while, as he always did. "
+
+
+@pytest.mark.parametrize("name", ["content header-fixed", "post with-sidebar", "article social-science", "story side-by-side", "entry tags", "main-content search-results", "alert-news article", "has-sidebar", "widget"])
+def test_misleading_classes_lose_no_article(name):
+    html = f"""<body><div class=menu><a href=a>Home</a></div><div class="{name}">{"".join(f"<p>{i} {PROSE * 2}</p>" for i in range(4))}</div>
+    <div class="sidebar"><p>Read also this, and that, and more.</p></div></body>"""
+    assert html_extract.main_text(html) == "\n".join(f"{i} {PROSE * 2}".strip() for i in range(4))
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "content comments", "related", "sidebar"])
+def test_surroundings_longer_than_the_article_are_left_out(name):
+    html = f"""<body><div class="post"><p>First, {PROSE}</p><p>Second, {PROSE}</p></div><div class="{name}">{f"<p>{PROSE * 2}</p>" * 5}</div></body>"""
+    assert html_extract.main_text(html) == f"First, {PROSE}".strip() + "\n" + f"Second, {PROSE}".strip()
+
+
+def test_random_pages_give_their_article():
+    """Pages built around a known article, with surroundings of every kind in random places."""
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice(["river", "mill,", "old", "stone", "and", "the", "bridge,", "long"]) for _ in range(n))
+    outside = [
+        lambda: f"<nav><ul><li><a href=x>{words(3)}</a></ul></nav>",
+        lambda: f"<div class='cookie-notice'>{words(12)}</div>",
+        lambda: f"<aside><p>{words(30)}</p></aside>",
+        lambda: f"<div id=comments><p>{words(40)}</p><p>{words(10)}</p></div>",
+        lambda: f"<form>{words(5)}<input></form>",
+        lambda: f"<script>var x = '<p>{words(30)}</p>';</script><style>p {{}}</style><!-- <p>{words(30)}</p> -->",
+        lambda: f"<footer>&copy; {words(8)}</footer>",
+        lambda: f"<div class=related><ul><li><a href=q>{words(6)}</a></li></ul></div>",
+    ]
+    some = lambda: "".join(rng.choice(outside)() for _ in range(rng.randint(0, 3)))
+    for _ in range(60):
+        blocks = [f"{words(rng.randint(25, 60))} &amp; {words(5)}" for _ in range(rng.randint(2, 8))]
+        inner = "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<p><b>{b[:9]}</b>{b[9:]}" for b in blocks)
+        wrap = rng.choice(["<article>{}</article>", "<div class='entry-content'>{}</div>", "<main><div>{}</div></main>", "<div><div>{}</div></div>", "<div class='post has-sidebar'>{}</div>"])
+        html = f"<html><head><title>{words(4)}</title></head><body>{some()}<div id=page>{some()}{wrap.format(inner)}{some()}</div>{some()}</body></html>"
+        assert html_extract.main_text(html) == "\n".join(b.replace("&amp;", "&") for b in blocks), html
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(depth):
+        page = "<div>" * depth + f"<p>{PROSE}</p>" * 50 + "</span>" * depth
+        start = time.perf_counter()
+        assert html_extract.main_text(page).count("miller") == 50
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 25 * max(seconds(4000), 0.02)
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<script>x", "<!-- never closed", "<p", "&nbsp;"])
 def test_nothing_to_extract(html):
     assert html_extract.main_text(html) == ""
