@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,24 @@ from ..ship import ship
 from .common import stored
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as stars: each linked value with the least one of its component, itself left out."""
+    if not len(a):
+        return a, b
+    values, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = places[: len(a)], places[len(a) :]
+    label = np.arange(len(values))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    return values[label != np.arange(len(values))], values[label[label != np.arange(len(values))]]
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A partition's links as stars: each of its nodes with the least one that it reaches inside the partition."""
     above: dict[int, int] = {}

@@ -9,10 +9,11 @@ far apart (over ``SKETCH_ERRORS`` standard errors under the threshold).
 The depth adapts to the region.  In a bucket of up to ``REACH`` + 1 classes all are compared.  In a denser one
 (and in one that lies on a partition's edge) each class first meets its nearest neighbours by longest common
 prefix, ``EMIT`` of the ``REACH`` that follow it, and the bucket's rows are set aside.  Once the links found so have
-been confirmed and their components are known, the rows set aside are gone through exactly: those outside their
-bucket's commonest component are compared, in blocks, with all of the bucket that isn't of their own component.
-So no candidate is lost to a limit; a region of many classes that are alike, but under the threshold, costs the
-square of their number in sketch comparisons, spread over blocks.
+been confirmed and their components are known, the rows set aside are gone through exactly: buckets that share a
+class make a region, and a region's classes outside its commonest component are compared with all of the region on
+their full shingle sets, by an inverted index, block by block.  What comes out is a star of links a component, never
+all pairs.  So no candidate is lost to a limit; a region of many classes that are alike, but under the threshold,
+costs up to the square of their number in these blocks.
 
 Candidates are confirmed on full shingle sets: first the most voted partner of each class, then every
 pair that still joins two components.  Links within a component need no confirming, since they'd not
@@ -41,14 +42,14 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 from .common import stored
-from .graph import components
+from .graph import components, stars
 from .shingles import minhashes, overlap, set_digests, shingle_sets
 
 TREES, DEPTH, LEAST, REACH, EMIT = 20, 6, 4, 64, 6
 SKETCH_BITS, SKETCH_ERRORS = 256, 5
 ROWS_A_PARTITION = 100_000
-#: Classes of a dense bucket in one task, on either side.
-BLOCK = 4096
+#: Shingles of a dense region in one task, on either side.
+BLOCK = 1 << 22
 
 SIGNATURE = T.StructType(
     [T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("cls2", T.LongType()), T.StructField("labels", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
@@ -78,8 +79,8 @@ def signatures(df: DataFrame, k: int, text: str = "text") -> DataFrame:
     return df.withColumn("sig", of(F.col(text)))
 
 
-#: kind 0: a candidate pair (a, b); kind 1: a row ``a`` of a dense bucket.
-FOUND = "kind int, a long, b long, tree int, prefix binary, n long, sketch binary"
+#: kind 0: a candidate pair (a, b); kind 1: a row ``a`` of a dense bucket, and the first one of it in its partition.
+FOUND = "kind int, a long, b long, tree int, prefix binary"
 _FOUND = [f.split()[0] for f in FOUND.split(", ")]
 
 
@@ -100,10 +101,11 @@ def _close(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
 
 
 class Rows:
-    """Rows of an order as arrays; ``seen`` of them, at the front, have met one another before."""
+    """Rows of an order as arrays; ``seen`` of them, at the front, have met one another before, in a bucket whose first
+    row was ``head``."""
 
-    def __init__(self, tree: np.ndarray, label: np.ndarray, rep: np.ndarray, n: np.ndarray, sketch: np.ndarray, seen: int = 0) -> None:
-        self.tree, self.label, self.rep, self.n, self.sketch, self.seen = tree, label, rep, n, sketch, seen
+    def __init__(self, tree: np.ndarray, label: np.ndarray, rep: np.ndarray, n: np.ndarray, sketch: np.ndarray, seen: int = 0, head: int | None = None) -> None:
+        self.tree, self.label, self.rep, self.n, self.sketch, self.seen, self.head = tree, label, rep, n, sketch, seen, head
 
     @classmethod
     def of(cls, pdf: pd.DataFrame) -> Rows:
@@ -114,11 +116,11 @@ class Rows:
     def columns(self) -> tuple[np.ndarray, ...]:
         return self.tree, self.label, self.rep, self.n, self.sketch
 
-    def part(self, a: int, b: int | None = None, seen: int = 0) -> Rows:
-        return Rows(*[c[a:b] for c in self.columns()], seen=seen)
+    def part(self, a: int, b: int | None = None, seen: int = 0, head: int | None = None) -> Rows:
+        return Rows(*[c[a:b] for c in self.columns()], seen=seen, head=head)
 
     def after(self, before: Rows | None) -> Rows:
-        return self if before is None else Rows(*map(np.concatenate, zip(before.columns(), self.columns(), strict=True)), seen=before.seen)
+        return self if before is None else Rows(*map(np.concatenate, zip(before.columns(), self.columns(), strict=True)), seen=before.seen, head=before.head)
 
     def __len__(self) -> int:
         return len(self.rep)
@@ -165,18 +167,19 @@ def _scan(threshold: int, alone: bool):
             dense[0] |= rows.seen > 0
             i, j = neighbours(rows, of, dense, threshold)
             a, b = rows.rep[i], rows.rep[j]
-            yield pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "tree": None, "prefix": None, "n": None, "sketch": None})[_FOUND]
+            yield pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "tree": None, "prefix": None})[_FOUND]
             aside = dense.copy()
             if not alone:
                 aside[0] |= edges[0]
                 aside[-1] |= edges[1]
+            heads = rows.rep[np.searchsorted(of, np.arange(len(size)))]
+            if rows.head is not None:
+                heads[0] = rows.head
             at = np.flatnonzero(aside[of])
             at = at[at >= rows.seen]
             for s in range(0, len(at), 10_000):
                 p = at[s : s + 10_000]
-                yield pd.DataFrame(
-                    {"kind": np.ones(len(p), np.int32), "a": rows.rep[p], "b": None, "tree": rows.tree[p], "prefix": [x.tobytes() for x in rows.label[p, : 2 * LEAST]], "n": rows.n[p], "sketch": [x.tobytes() for x in rows.sketch[p]]}
-                )[_FOUND]
+                yield pd.DataFrame({"kind": np.ones(len(p), np.int32), "a": rows.rep[p], "b": heads[of[p]], "tree": rows.tree[p], "prefix": [x.tobytes() for x in rows.label[p, : 2 * LEAST]]})[_FOUND]
 
         kept, first = None, True
         for pdf in batches:
@@ -186,11 +189,11 @@ def _scan(threshold: int, alone: bool):
             of = rows.buckets()
             last = int(np.searchsorted(of, of[-1]))  # where the last bucket begins
             if last:
-                yield from worked(rows.part(0, last, rows.seen), False, (first, False))
+                yield from worked(rows.part(0, last, rows.seen, rows.head), False, (first, False))
                 first, rows = False, rows.part(last)
             if len(rows) > 4 * REACH:  # dense: no need to wait for its end
                 yield from worked(rows, True, (first, False))
-                rows = rows.part(len(rows) - REACH, seen=REACH)
+                rows = rows.part(len(rows) - REACH, seen=REACH, head=int(rows.rep[0]) if rows.head is None else rows.head)
             kept = rows
         if kept is not None:
             yield from worked(kept, False, (first, True))
@@ -209,48 +212,62 @@ def forest(classes: DataFrame, threshold: int) -> DataFrame:
     return stored(ranged.sortWithinPartitions(*order).mapInPandas(_scan(threshold, parts == 1), FOUND), "forest")
 
 
-def _blocks(threshold: int):
+def _exact(k: int, threshold: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a bucket's two blocks that are of different components and may be alike."""
-        out = [pd.DataFrame({"a": [], "b": [], "la": [], "lb": []}, dtype="int64")]
+        """The links of ``left`` with ``right``, two blocks of a region, as stars."""
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
         if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint64).reshape(len(p), -1) for p in (left, right))
-            (rep, n, lab), (rep2, n2, lab2) = ([p[c].to_numpy() for c in ("a", "n", "label")] for p in (left, right))
-            far = _far(threshold)
-            for s in range(0, len(left), 256):
-                e = s + 256
-                ok = _close(n[s:e, None], n2[None, :], threshold) & (lab[s:e, None] != lab2[None, :])
-                i, j = np.nonzero(ok)
-                near = _differing(x[s:e][i], y[j]) <= far
-                i, j = i[near] + s, j[near]
-                swap = rep[i] > rep2[j]
-                out.append(pd.DataFrame({"a": np.where(swap, rep2[j], rep[i]), "b": np.where(swap, rep[i], rep2[j]), "la": np.where(swap, lab2[j], lab[i]), "lb": np.where(swap, lab[i], lab2[j])}))
+            values, starts = shingle_sets(right["text"].tolist(), k)
+            of = np.repeat(np.arange(len(right)), np.diff(starts))
+            order = np.argsort(values, kind="stable")
+            values, of, size = values[order], of[order], np.diff(starts)
+            own, begin = shingle_sets(left["text"].tolist(), k)
+            one, other = left["a"].to_numpy(), right["a"].to_numpy()
+            a, b, held = [], [], 0
+            for i in range(len(left)):
+                x = own[begin[i] : begin[i + 1]]
+                lo, n = np.searchsorted(values, x), np.searchsorted(values, x, "right")
+                n -= lo
+                both = np.bincount(of[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(right))
+                hit = np.flatnonzero((both > 0) & (100 * both >= threshold * (len(x) + size - both)))
+                a.append(np.full(len(hit), one[i]))
+                b.append(other[hit])
+                held += len(hit)
+                if held > 1 << 20 or i + 1 == len(left):
+                    out.append(pd.DataFrame(dict(zip("ab", stars(np.concatenate(a), np.concatenate(b)), strict=True))))
+                    a, b, held = [], [], 0
         return pd.concat(out)
 
     return run
 
 
-def across_components(dense: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, la, lb): every pair of a dense bucket's rows that are of different components and may be alike, with those.
+def regions(dense: DataFrame) -> DataFrame:
+    """(node, region): the classes of dense buckets; those of one bucket are in one region."""
+    heads = dense.select("tree", "prefix", "b").distinct()
+    pieces = heads.groupBy("tree", "prefix").agg(F.min("b").alias("least"), F.count("*").alias("c")).where("c > 1")
+    apart = heads.join(pieces, ["tree", "prefix"]).select(F.col("least").alias("a"), "b")
+    return components(dense.select("a", "b").union(apart)).withColumnRenamed("label", "region")
 
-    Rows of a bucket's commonest component meet only the bucket's other rows.
+
+def across_components(dense: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(a, b): links that join the components ``labels`` (node, label) of dense buckets' classes, as stars.
+
+    Classes of a region's commonest component meet only the region's other classes.  ``sizes``: (id, n) of classes;
+    ``texts``: (id, text).
     """
-    bucket = ["tree", "prefix"]
-    rows = dense.select(*bucket, "a", "n", "sketch").join(labels, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a")).drop("node")
-    rows = stored(rows, "dense")
-    counts = rows.groupBy(*bucket, "label").agg(F.count("*").alias("c"))
-    split = counts.groupBy(*bucket).agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("most")).where("parts > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    split = split.select(*bucket, F.col("most.label").alias("major"), blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most.c")).alias("lefts"))
-    mixed = rows.join(split, bucket)
+    rows = regions(dense).join(labels, "node", "left").select(F.col("node").alias("a"), "region", F.coalesce("label", "node").alias("label"))
+    rows = stored(rows.join(sizes.withColumnRenamed("id", "a"), "a"), "dense")
+    counts = rows.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    split = counts.groupBy("region").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("c", "label", "n")).alias("most")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = split.select("region", F.col("most.label").alias("major"), blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most.n")).alias("lefts"))
+    mixed = stored(rows.join(split, "region").drop("n").hint("merge").join(texts.withColumnRenamed("id", "a"), "a"), "dense-texts")
     block = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = mixed.where("label <> major").withColumn("i", block(F.col("lefts"))).withColumn("j", every(F.col("rights")))
-    right = mixed.withColumn("j", block(F.col("rights"))).withColumn("i", every(F.col("lefts")))
-    key = [*bucket, "i", "j"]
-    columns = [*key, "a", "n", "sketch", "label"]
-    found = left.select(*columns).groupBy(*key).cogroup(right.select(*[F.col(c).alias(c) for c in columns]).groupBy(*key)).applyInPandas(_blocks(threshold), "a long, b long, la long, lb long")
-    return found.distinct()
+    key = ["region", "i", "j"]
+    left = mixed.where("label <> major").withColumn("i", block(F.col("lefts"))).withColumn("j", every(F.col("rights"))).select(*key, "a", "text")
+    right = mixed.withColumn("j", block(F.col("rights"))).withColumn("i", every(F.col("lefts"))).select(*[F.col(c).alias(c) for c in (*key, "a", "text")])
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_exact(k, threshold), "a long, b long")
 
 
 def _confirmer(k: int, threshold: int):
@@ -279,10 +296,10 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     """(key, n_shingles, component_id, kept) for each row: components of the texts whose k-word shingle sets have a
     Jaccard similarity of ``threshold`` percent or more."""
     given = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    whole = ["n", "cls", "cls2"]
+    own = ["n", "cls", "cls2"]
     base = stored(signatures(given, k).select("id", "sig.*"), "signatures")
     some = F.expr("n > 0 and id is not null")
-    classes = stored(base.where(some).groupBy(*whole).agg(F.min("id").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(base.where(some).groupBy(*own).agg(F.min("id").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
     found = forest(classes, threshold)
     dense = found.where("kind = 1")
     pairs = stored(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("votes")), "pairs")
@@ -291,7 +308,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     texts = given.join(wanted.hint("merge"), "id")
 
     # rows by their class's least id; ids that have several rows
-    rows = stored(base.where(some).select("id", *whole).join(classes.select(*whole, "rep"), whole).select("id", "n", "rep"), "members")
+    rows = stored(base.where(some).select("id", *own).join(classes.select(*own, "rep"), own).select("id", "n", "rep"), "members")
     several = stored(rows.groupBy("id").agg(F.count("*").alias("c"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("c > 1"), "several")
     repeated = several.limit(1).count() > 0
     texts = stored(texts.dropDuplicates(["id", "text"]) if repeated else texts, "texts")
@@ -303,13 +320,10 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     first = components(links)
     label = lambda c: first.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb")).where("la <> lb")
-    rest = rest.join(best, ["a", "b"], "left_anti")
-    rest = rest.unionByName(across_components(dense, first, threshold)).distinct()
-    second = components(_confirm(rest, texts, k, threshold), "la", "lb")
-
-    # least ids of the first components, then of the second
-    moved = first.join(second.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
-    moved = moved.union(second.join(first.select("node"), "node", "left_anti")).where("node <> label")
+    rest = _confirm(rest.join(best, ["a", "b"], "left_anti").select("a", "b"), texts, k, threshold)
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
+    whole = components(first.union(rest).union(across_components(dense, first, sizes, texts, k, threshold)), "node", "label")
+    moved = whole.where("node <> label")
     member = rows.join(moved, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
     alone = base.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
     return member.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

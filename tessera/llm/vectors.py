@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .common import stored
-from .graph import components
+from .graph import components, stars
 
 THRESHOLD = 0.98
 SHARD, OVERLAP, DEGREE, FAR, ALPHA, BEAM, SLACK, SEEDS = 1500, 3, 24, 6, 1.2, 48, 0.08, 4
@@ -187,24 +187,6 @@ def search(g: Graph, q: np.ndarray, seeds: list[np.ndarray], beam: int, least: f
     return query, node, close
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links as stars: each linked value with the least one of its component, itself left out."""
-    if not len(a):
-        return a, b
-    values, places = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = places[: len(a)], places[len(a) :]
-    label = np.arange(len(values))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = np.minimum(low, low[low])
-        if (low == label).all():
-            break
-        label = low
-    return values[label != np.arange(len(values))], values[label[label != np.arange(len(values))]]
-
-
 #: kind 0: ``b`` linked vectors of the class ``a``; kind 1: a star's link (a, b) of ids; kind 2: the search for the class
 #: ``a`` goes on in the shard ``b``.
 FOUND = "kind int, a long, b long, label string, seeds array<long>"
