@@ -6,26 +6,34 @@ rates r >= 0 (expected number of copies) are the nonnegative least-squares fit o
 totals, sum of r * tokens * posterior, to target totals, found by projected gradient descent from r = 1.
 Steps are scaled by 1 / tokens for each document, so that the step in r depends on the posterior alone
 and all documents of a domain move alike, and by the inverse of the scaled problem's curvature, the
-(domains x domains) matrix of token-weighted posterior products, so that a few rounds suffice.
+(domains x domains) matrix of token-weighted posterior products of documents whose rate isn't held at 0, so that a
+few rounds suffice.  The projection is lazy: the sum of all steps, one number a domain, is kept, and every round
+projects 1 less that sum's product with the posterior anew.  So no rates are stored between rounds, a rate held at 0
+is free to come back, and of all rates that fit the targets those nearest to 1 are found.
 
-Each iteration is one aggregation to as many numbers as there are domains; nothing else reaches the
-driver, and no step joins or shuffles documents.  The targets of ``op7_mixing`` and the pipeline share out the present total of tokens
+Each round is one aggregation to as many numbers as there are domains, and their squares; nothing else reaches the
+driver, and no step joins or shuffles documents.  The targets share out the present total of tokens
 in proportion to the weights: documents of a domain that is over its share get rates below 1, those of one
-that is under it rates above 1, however much it has to grow.
+that is under it rates above 1, however much it has to grow.  Asked and reached totals are returned with the rates;
+weights that no rates reach are missed by what the two show.
 
 The classifier is multinomial naive Bayes on hashed words, each domain's word distribution drawn towards the
-pooled one by ``PRIOR_TOKENS`` words, so that a domain of few labels decides little; log-odds are divided by
-``HEAT``, as words of a text depend on each other and undivided odds would make every posterior 0 or 1.
+pooled one by ``PRIOR_TOKENS`` words, so that a domain of few labels decides little; log-odds are divided by a
+heat, as words of a text depend on each other and undivided odds would make every posterior 0 or 1.  The heat is the
+one of ``HEATS`` with the least log loss on every ``HOLDOUT``th labelled document, which are kept out of the training.
 
 Defined results: a null or empty text has 0 tokens, the prior as posterior, and rate 1; with no labelled
-row the posterior is uniform; a target for a domain that nothing belongs to can't be met and is left
-over in the report; repeated rows get equal rates; an empty table gives an empty result; columns of the
-results' names are replaced.
+row the posterior is uniform; of heats of equal loss the greatest is taken; a target for a domain that nothing
+belongs to can't be met and is left over in the report; of several labels for one id the worst counts; repeated rows
+get equal rates; texts are read whole; an empty table gives an empty result; columns of the results' names are
+replaced.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +46,11 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.88, 0.08, 0.04)
 #: The pipeline's, after quality rules have taken the poor documents.
 PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
-BUCKETS, HEAT, PRIOR_TOKENS, MOST_GROWTH = 1 << 11, 20.0, 20_000, 2.0
+BUCKETS, PRIOR_TOKENS = 1 << 11, 20_000
+HEATS, HOLDOUT = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0), 5
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000
 ROUNDS, TOLERANCE, RIDGE = 60, 1e-4, 1e-5
-#: Gradient steps between two writes of the rates.
-STEPS_A_PASS = 6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -55,18 +62,38 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[float], list[list[float]]]:
-    """Log priors and log word-bucket probabilities of the domains, from at most ``max_rows`` labelled documents."""
+@dataclass(frozen=True)
+class Model:
+    """Log priors and log word-bucket probabilities of the domains; the heat, and its log loss on the holdout (null
+    without one)."""
+
+    prior: list[float]
+    table: list[list[float]]
+    heat: float = HEATS[-1]
+    loss: float | None = None
+
+
+def _odds(model: Model, buckets: Column) -> Column:
+    """Each domain's undivided log-odds against the first by the words' buckets, priors left out."""
+    width = len(DOMAINS)
+    table = F.array(*[F.lit(model.table[d][b] - model.table[0][b]) for d in range(1, width) for b in range(BUCKETS)])
+    of = lambda d: F.aggregate(buckets, F.lit(0.0), lambda a, x: a + F.get(table, x + d * BUCKETS))
+    return F.array(F.lit(0.0), *[of(d) for d in range(width - 1)])
+
+
+def _softmax(model: Model, odds: Column, heat: float) -> Column:
+    prior = F.array(*map(F.lit, model.prior))
+    logits = F.zip_with(prior, odds, lambda p, o: p + o / heat)
+    return let(logits, lambda z: let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """The classifier, from at most ``max_rows`` labelled documents."""
     known = labels.select(F.col(key), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where(F.col(key).isNotNull() & F.col("domain").isNotNull())
     known = known.groupBy(key).agg(F.max("domain").alias("domain")).orderBy(F.xxhash64(key), key).limit(max_rows)
-    counts = (
-        docs.select(key, text)
-        .join(F.broadcast(known), key)  # max_rows rows
-        .select("domain", F.explode(F.array_append(F.transform(words(F.col(text)), _bucket), F.lit(-1))).alias("bucket"))
-        .groupBy("domain", "bucket")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )  # domains x (buckets + 1)
+    sample = docs.select(key, text).join(F.broadcast(known), key)  # max_rows rows
+    sample = stored(sample.select("domain", F.transform(words(F.col(text)), _bucket).alias("w"), (F.pmod(F.xxhash64(key, F.lit(2)), F.lit(HOLDOUT)) == 0).alias("held")), "labelled")
+    counts = sample.where("not held").select("domain", F.explode(F.array_append("w", F.lit(-1))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()  # domains x (buckets + 1)
     rows, seen = [[0.0] * BUCKETS for _ in DOMAINS], [1.0] * len(DOMAINS)
     for r in counts:
         if r["bucket"] < 0:
@@ -76,35 +103,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     pooled = [1.0 + sum(col) for col in zip(*rows, strict=True)]
     whole = sum(pooled)
     prior = [math.log(s / sum(seen)) for s in seen]
-    return prior, [[math.log((x + PRIOR_TOKENS * p / whole) / (sum(row) + PRIOR_TOKENS)) for x, p in zip(row, pooled, strict=True)] for row in rows]
+    model = Model(prior, [[math.log((x + PRIOR_TOKENS * p / whole) / (sum(row) + PRIOR_TOKENS)) for x, p in zip(row, pooled, strict=True)] for row in rows])
+    odds = sample.where("held").select("domain", _odds(model, F.col("w")).alias("odds"))
+    losses = odds.agg(*[F.avg(-F.log(F.greatest(F.get(_softmax(model, F.col("odds"), h), F.col("domain")), F.lit(1e-12)))) for h in HEATS]).first()
+    if losses[0] is None:
+        return model
+    loss, heat = min((x, -h) for x, h in zip(losses, HEATS, strict=True))
+    logging.getLogger(__name__).info("log loss %.4f on held-out documents at heat %g", loss, -heat)
+    return replace(model, heat=-heat, loss=loss)
 
 
-def posteriors(df: DataFrame, model: tuple[list[float], list[list[float]]], text: str = "text") -> DataFrame:
+def posteriors(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``tokens`` (words) and ``posterior`` (array over DOMAINS)."""
-    prior, table = model
-    width = len(DOMAINS)
-    # log odds against the first domain, bucket by bucket
-    odds = F.array(*[F.lit(table[d][b] - table[0][b]) for d in range(1, width) for b in range(BUCKETS)])
-
-    def score(w: Column) -> Column:
-        # the words' buckets are counted in one pass; each domain's odds are sums over the same buckets
-        of = lambda d: F.aggregate(w, F.lit(0.0), lambda a, x: a + F.get(odds, x + d * BUCKETS))
-        logits = F.array(F.lit(prior[0]), *[F.lit(prior[d]) + of(d - 1) / HEAT for d in range(1, width)])
-        soft = let(logits, lambda z: let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))
-        return F.struct(F.size(w).cast("long").alias("tokens"), soft.alias("posterior"))
-
+    score = lambda w: F.struct(F.size(w).cast("long").alias("tokens"), _softmax(model, _odds(model, w), model.heat).alias("posterior"))
     got = df.withColumn("_mix", let(F.transform(words(F.col(text)), _bucket), score))
     return got.withColumns({"tokens": F.col("_mix.tokens"), "posterior": F.col("_mix.posterior")}).drop("_mix")
 
 
-def targets_keeping_all(totals: list[float], weights=WEIGHTS) -> list[float]:
-    """Targets that take nothing from any domain, none above MOST_GROWTH times what is there: they fall short of
-    ``weights`` where a domain would have to grow further.  No registered query uses them."""
-    share = [w / sum(weights) for w in weights]
-    whole = max((t / s for t, s in zip(totals, share, strict=True) if s > 0), default=0.0)
-    return [min(whole * s, MOST_GROWTH * t) for s, t in zip(share, totals, strict=True)]
-
-
 def targets_of_total(totals: list[float], weights=WEIGHTS) -> list[float]:
     """Domain targets in proportion to ``weights``; their sum is that of ``totals``."""
     return [sum(totals) * w / sum(weights) for w in weights]
@@ -127,55 +142,12 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float]:
 
 
 def fit_rates(df: DataFrame, targets: list[float] | None = None, weights=WEIGHTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
-    """``df`` (with tokens and posterior) with ``rate``; the targets; the expected totals that the rates give.
-
-    ``df`` should be a stored table: each round reads its two columns.  A round's step comes from the curvature
-    over documents whose rate isn't held at 0; where such steps, halved, come no nearer, bare gradient steps go on.
-    """
-    width = len(DOMAINS)
-    p = [F.coalesce(F.get("posterior", F.lit(d)), F.lit(0.0)) for d in range(width)]
-    tokens = F.coalesce(F.col("tokens"), F.lit(0)).cast("double")
-
-    def sums(now: DataFrame) -> tuple[list[float], list[list[float]]]:
-        free = F.when(F.col("rate") > 0, tokens).otherwise(0.0)
-        row = now.agg(*[F.sum(F.col("rate") * tokens * x) for x in p], *[F.sum(free * x * y) for x in p for y in p]).first()
-        got = [float(x or 0) for x in row]
-        return got[:width], [got[width * (d + 1) : width * (d + 2)] for d in range(width)]
-
-    now = df.withColumn("rate", F.lit(1.0))
-    reached, curvature = sums(now)
-    targets = targets or targets_keeping_all(reached, weights)
-    gap_of = lambda totals: [x - t for x, t in zip(totals, targets, strict=True)]
-    worst = lambda gap: max(abs(g) for g in gap) / max(1.0, sum(targets))
-    gap, scale = gap_of(reached), 1.0
-    square = lambda gap: sum(g * g for g in gap)
-    # a step along the bare gradient, no longer than the inverse of the largest eigenvalue, always descends
-    safe = 1.0 / max(1e-12, sum(curvature[d][d] for d in range(width)))
-    for i in range(rounds):
-        if worst(gap) < tolerance:
-            break
-        step = [scale * x for x in _solve(curvature, gap)] if scale >= 0.1 else [safe * g for g in gap]
-        push = sum((F.lit(s) * x for s, x in zip(step, p, strict=True)), F.lit(0.0))
-        moved = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - push))
-        if (i + 1) % STEPS_A_PASS == 0:
-            moved = stored(moved, "rates")
-        reached_now, curvature_now = sums(moved)
-        gained = square(gap) - square(gap_of(reached_now))
-        if gained > 0:
-            now, reached, curvature, gap = moved, reached_now, curvature_now, gap_of(reached_now)
-        if gained <= 1e-9 * square(gap):
-            if scale < 0.1:
-                break
-            scale /= 2
-    return now, targets, reached
-
-
-def fit_weights(df: DataFrame, weights=WEIGHTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
-    """``df`` with ``rate`` for the whole ``weights`` at the present total of tokens; the targets; the totals reached.
+    """``df`` (with tokens and posterior) with ``rate``; the targets (by default the ``weights`` of the present total);
+    the expected totals that the rates give.
 
-    Of all rates that meet the targets, those nearest to 1 (in squares weighted by tokens) are max(0, 1 + a score of the
-    posterior), with one number a domain: Newton's method on the dual finds these, and no rates are stored between
-    rounds.  ``RIDGE`` holds the numbers finite where no rates meet the targets; the rest is then left over.
+    ``df`` should be a stored table: each round reads its two columns.  A step is taken whole or halved until the
+    objective falls: the squares of the totals' misses, plus ``RIDGE`` times the rates' token-weighted squares around
+    1, which keeps the steps' sum finite where no rates meet the targets.
     """
     width = len(DOMAINS)
     p = [F.coalesce(F.get("posterior", F.lit(d)), F.lit(0.0)) for d in range(width)]
@@ -189,7 +161,7 @@ def fit_weights(df: DataFrame, weights=WEIGHTS, rounds: int = ROUNDS, tolerance:
         return [float(x or 0) for x in row]
 
     at, got = [0.0] * width, sums([0.0] * width)
-    targets = targets_of_total(got[1 : 1 + width], weights)
+    targets = targets or targets_of_total(got[1 : 1 + width], weights)
     whole = max(1.0, sum(targets))
     value = lambda v, at: v[0] / whole / 2 - sum(t * x for t, x in zip(targets, at, strict=True)) / whole + RIDGE / 2 * sum(x * x for x in at)
     for _ in range(rounds):
@@ -222,7 +194,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, key: str = "doc_id"
     """``docs`` with ``tokens``, ``posterior`` and ``rate``."""
     model = train(docs, labels, key, text)
     scored = stored(posteriors(docs, model, text), "posteriors")
-    return fit_weights(scored, weights)[0]
+    return fit_rates(scored, weights=weights)[0]
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -231,5 +203,6 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
     scored = stored(posteriors(docs, model).drop("text"), "posteriors")
-    rated = fit_weights(scored)[0]
-    return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    rated, asked, reached = fit_rates(scored)
+    report = [F.array(*map(F.lit, x)).alias(n) for x, n in ((asked, "asked_tokens"), (reached, "reached_tokens"))]
+    return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), *report)
