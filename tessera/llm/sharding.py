@@ -1,27 +1,34 @@
 """Sharding by fixed virtual slots.
 
 Records hash into ``SLOTS`` slots, once and for all.  Bytes are summed per slot, and a small versioned
-table maps slots to shards: version 1 gives the heaviest slots out first, each to the lightest shard;
-``rebalance`` makes the next version, moving as few bytes as it can.  A record's shard is then one
-lookup in a table of ``SLOTS`` rows, whatever the number of records, and only the records of moved slots
-ever change their shard.
-
-The law that holds is ``bytes``: the shards' sizes are near equal.  The driver sees the map and the slot
-totals alone, ``SLOTS`` rows at most.
-
-Defined results: a null text has no bytes (size 8) and crc32 0; null ids hash like any value; records
-equal in every column are counted, not gathered, and are spread over slots by their number, so a record
-repeated a million times doesn't make one slot heavy; an empty table gives an empty result.
+table maps every slot, empty ones too, to a shard: version 1 gives the heaviest slots out first, each to the lightest
+shard.  Where a map is stored already, ``assign_shards`` reads its highest version, edits it by ``rebalance``, which
+moves as few bytes as it can, and stores the edited one as the next version; a map that needs no edit stays as it is.
+A record's shard is then one lookup in a table of ``SLOTS`` rows, whatever the number of records, and only the
+records of moved slots ever change their shard.
+
+The law that holds is ``bytes``: the shards' sizes are near equal.  So equal texts (of different keys) are spread as
+any records are; the law keeps no group together.  The driver sees the map and the slot totals alone, ``SLOTS`` rows
+at most.
+
+Defined results: a null text has no bytes (size 8) and crc32 0; texts of any length are read whole, and one that
+outweighs a shard's share makes its shard heavier; null ids hash like any value; records equal in every column are
+counted, not gathered, and are spread over slots by their number, so a record repeated a million times doesn't make
+one slot heavy; of slots of equal weight the lower is given out first, of equal shards the lower takes it; other
+columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import atexit
 import heapq
+import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import _remove, cut, shared_dir
 
 SLOTS = 8192
 ROW_BYTES = 8
@@ -40,35 +47,47 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int =
     )
 
 
+def _give(slots: list[tuple[int, int]], load: dict[int, int], mapping: dict[int, int]) -> dict[int, int]:
+    """``mapping`` with ``slots`` (slot, weight), heaviest first, each on the shard that is lightest then; empty ones go
+    to the shard with the fewest slots."""
+    for some in (lambda w: w > 0, lambda w: w == 0):
+        counts = Counter(mapping.values())
+        heap = [(n if some(1) else counts[s], s) for s, n in load.items()]
+        heapq.heapify(heap)
+        for slot, w in sorted(filter(lambda x: some(x[1]), slots), key=lambda x: (-x[1], x[0])):
+            total, shard = heapq.heappop(heap)
+            mapping[slot] = shard
+            heapq.heappush(heap, (total + (w or 1), shard))
+    return mapping
+
+
+def heaviest(mapping: dict[int, int], weights: dict[int, int]) -> int:
+    load = Counter()
+    for slot, shard in mapping.items():
+        load[shard] += weights.get(slot, 0)
+    return max(load.values(), default=0)
+
+
 def plan(weights: dict[int, int], shards: int) -> dict[int, int]:
-    """Slot to shard: heaviest first, each to the shard that is lightest then."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for slot, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-        total, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (total + w, shard))
-    return out
+    """Slot to shard, anew."""
+    return _give(list(weights.items()), dict.fromkeys(range(shards), 0), {})
 
 
 def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, slack: float = 0.001) -> dict[int, int]:
-    """The next version of ``old`` for new weights or a new number of shards: slots leave a shard only
-    while it is more than ``slack`` above the mean (or is no longer there), and go to the lightest one."""
+    """``old`` edited for new weights or a new number of shards: slots leave a shard only while it is more than ``slack``
+    above the mean (or is no longer there), and go to the lightest one.  Where that makes the heaviest shard no lighter,
+    nothing is moved."""
     new, load = {}, dict.fromkeys(range(shards), 0)
     homeless, most = [], (1 + slack) * sum(weights.values()) / shards
     for slot, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
         shard = old.get(slot)
-        if shard in load and load[shard] + w <= most:
+        if shard in load and (load[shard] + w <= most or not w):
             new[slot], load[shard] = shard, load[shard] + w
         else:
-            homeless.append(slot)
-    heap = [(n, s) for s, n in load.items()]
-    heapq.heapify(heap)
-    for slot in homeless:
-        total, shard = heapq.heappop(heap)
-        new[slot] = shard
-        heapq.heappush(heap, (total + weights[slot], shard))
-    return new
+            homeless.append((slot, w))
+    new = _give(homeless, load, new)
+    whole = all(old.get(s) in load for s in weights)
+    return {s: old[s] for s in weights} if whole and heaviest(old, weights) <= heaviest(new, weights) else new
 
 
 def slot_weights(records: DataFrame) -> DataFrame:
@@ -76,44 +95,63 @@ def slot_weights(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
-def write_map(spark, path: str, version: int, mapping: dict[int, int], counts: dict[int, int] | None = None) -> DataFrame:
-    """Store a version of the map; ``first`` is the place in its shard of a slot's first record.
+def versions(spark, path: str) -> list[int]:
+    """The versions of the map at ``path``, ascending; versions are partitions of one table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    done = [n for n in names if n.startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
 
-    Versions are partitions of one table: earlier ones stay readable, and writing one again gives the same.
-    """
-    first, rows = {}, []
-    for slot in sorted(mapping):
-        shard = mapping[slot]
-        rows.append((slot, shard, first.get(shard, 0)))
-        first[shard] = first.get(shard, 0) + (counts or {}).get(slot, 0)
-    at = f"{path}/version={version}"
-    spark.createDataFrame(rows, "vslot int, shard int, first long").coalesce(1).write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+
+def read_map(spark, path: str, version: int) -> dict[int, int]:
+    return {r["vslot"]: r["shard"] for r in spark.read.parquet(f"{path}/version={version}").collect()}  # SLOTS rows
+
+
+def write_map(spark, path: str, version: int, mapping: dict[int, int]) -> None:
+    """Store a version of the map; earlier ones stay readable, and one that was completed is never overwritten."""
+    if version in versions(spark, path):
+        raise ValueError(f"version {version} of {path} exists")
+    spark.createDataFrame(sorted(mapping.items()), "vslot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def assign_shards(records: DataFrame, shards: int, map_path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """``digests`` rows with ``shard`` and ``slot``, the record's place in its shard, without gaps.
+def assign_shards(records: DataFrame, shards: int, map_path: str | None = None, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """``digests`` rows with ``shard``, ``slot``, the record's place in its shard, without gaps, and ``map_version``.
 
+    ``map_path`` names the stored map; without it there is none yet, and this session's is removed at its end.
     Places are numbered within virtual slots, each a small window, and moved up by the rows of the slots
     before; no window spans a shard.
     """
     spark = records.sparkSession
     records = cut(records)
     totals = {r["vslot"]: (r["bytes"], r["n"]) for r in slot_weights(records).collect()}
-    mapping = plan({s: b for s, (b, _) in totals.items()}, shards)
-    path = map_path or f"{shared_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{id(records)}"
-    stored_map = write_map(spark, path, 1, mapping, {s: n for s, (_, n) in totals.items()})
+    weights = {s: totals.get(s, (0, 0))[0] for s in range(slots)}
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    if map_path is None:
+        atexit.register(_remove, spark, path)
+    have = versions(spark, path)
+    old = read_map(spark, path, have[-1]) if have else None
+    mapping = plan(weights, shards) if old is None else rebalance(old, weights, shards)
+    version = have[-1] if mapping == old else (have[-1] if have else 0) + 1
+    if mapping != old:
+        write_map(spark, path, version, mapping)
+    first, begin = {}, []
+    for slot in sorted(totals):  # the place in its shard of each slot's first record
+        begin.append((slot, first.get(mapping[slot], 0)))
+        first[mapping[slot]] = first.get(mapping[slot], 0) + totals[slot][1]
+    stored_map = spark.read.parquet(f"{path}/version={version}").join(spark.createDataFrame(begin, "vslot int, first long"), "vslot")
     within = Window.partitionBy("vslot").orderBy(key, "size", "text_crc32", "_copy")
     return (
         records.withColumn("_place", F.row_number().over(within) - 1)
         .join(F.broadcast(stored_map), "vslot")  # SLOTS rows at most
         .withColumn("slot", F.col("first") + F.col("_place"))
+        .withColumn("map_version", F.lit(version))
         .drop("_place", "first")
     )
 
 
-def op2_sharding(spark, sf_dir: str) -> DataFrame:
+def op2_sharding(spark, sf_dir: str, map_path: str | None = None, shards: int = 24) -> DataFrame:
     from .common import table
 
-    got = assign_shards(digests(table(spark, sf_dir, "documents").select("doc_id", "text")), 24)
-    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    got = assign_shards(digests(table(spark, sf_dir, "documents").select("doc_id", "text")), shards, map_path)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")

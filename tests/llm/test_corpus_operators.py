@@ -171,6 +171,37 @@ def test_rebalancing_moves_little(spark, tmp_path):
     sharding.write_map(spark, path, 1, old)
     sharding.write_map(spark, path, 2, new)
     assert {r.version: r["n"] for r in spark.read.parquet(path).groupBy("version").agg(F.count("*").alias("n")).collect()} == {1: 2000, 2: 2000}
+    with pytest.raises(ValueError):
+        sharding.write_map(spark, path, 2, old)
+
+
+def test_a_stored_map_is_edited_not_replaced(spark, tmp_path):
+    path, sf = str(tmp_path / "map"), "/root/testdata/sf0.001"
+    first = {r.doc_id: r for r in sharding.op2_sharding(spark, sf, path).collect()}
+    again = {r.doc_id: r for r in sharding.op2_sharding(spark, sf, path).collect()}
+    assert again == first and {r.map_version for r in first.values()} == {1} and sharding.versions(spark, path) == [1]
+    grown = {r.doc_id: r for r in sharding.op2_sharding(spark, sf, path, 25).collect()}
+    assert sharding.versions(spark, path) == [1, 2] and {r.map_version for r in grown.values()} == {2}
+    one, two = sharding.read_map(spark, path, 1), sharding.read_map(spark, path, 2)
+    assert len(one) == len(two) == sharding.SLOTS and all(two[grown[i].vslot] == grown[i].shard and one[first[i].vslot] == first[i].shard for i in first)
+    moved = sum(first[i].size for i in first if first[i].shard != grown[i].shard)
+    assert 0 < moved < 0.2 * sum(r["size"] for r in first.values()) and len({r.shard for r in grown.values()}) == 25
+
+
+def test_sharding_query(spark):
+    """Against the contract, by plain Python."""
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    df = sharding.op2_sharding(spark, "/root/testdata/sf0.001")
+    assert df.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = df.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 8, zlib.crc32(docs[r.doc_id]), "bytes", None)
+    for shard in range(24):
+        places = sorted(r.slot for r in rows if r.shard == shard)
+        assert places == list(range(len(places)))
 
 
 # Vectors
