@@ -3,21 +3,29 @@
 Labels come from a rule list: the longest rule whose host (or a parent domain of it) and path prefix fit
 a url decides it.  Urls that no rule decides get the verdict of boosted regression trees, trained on the
 labelled ones.  Features are lexical: length, depth, digit ratio, entropy, parameter counts and
-statistics of the host's suffix, each cut into fixed bins.
+statistics of the host's suffix, each cut into fixed bins.  The suffix's share of blocked urls comes, for a training
+row, from the hosts of the other ``FOLDS`` alone, so that the trees can't read a row's own label off it; for a url that
+is to be judged it comes from all.
 
 The trees grow by histograms: for each level one aggregation over the training rows gives gradients and
-counts by (leaf, feature, bin), which is all that the driver needs to choose splits.  The model is an
+counts by (leaf, feature, bin), which is all that the driver needs to choose splits.  The hosts of fold 0 are kept
+out of the growing: of the trees, as many are used as have the least log loss on those.  The model is an
 expression of nested conditions on bins; predicting neither joins nor shuffles.
 
+What the trees can learn is what the rules' urls show: where a suffix's labelled urls are all of one kind, the verdict
+of its other urls follows it.
+
 Defined results: a null url, or one without "://", has an empty host and path and is judged by the
 trees; of rules of one length the earlier in the list wins; without labelled urls of both kinds every
-undecided url gets the commoner kind, or "allow" when there is none; repeated rows are judged alike;
-texts of any length are read whole; an empty table gives an empty result; columns of the results'
+undecided url gets the commoner kind, or "allow" when there is none; a score of exactly one half is "allow"; of splits
+of equal gain the first feature's and lowest bin's is taken, of numbers of trees of equal loss the lowest; repeated rows
+are judged alike; urls of any length are read whole; an empty table gives an empty result; columns of the results'
 names are replaced.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -33,6 +41,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 MAX_TRAIN_ROWS = 20_000
 TREES, LEVELS, RATE, LEAST_WEIGHT, SHRINK = 10, 3, 0.4, 5.0, 1.0
 SUFFIX_BUCKETS = 64
+#: Parts of the training hosts; the first is the holdout.
+FOLDS = 5
 
 # Upper edges of the features' bins.
 BINS = {
@@ -79,8 +89,10 @@ def _suffix_bucket() -> Column:
     return F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
-def lexical(df: DataFrame, suffixes: dict[int, tuple[float, float]] | None = None, url: str = "url") -> DataFrame:
-    """``df`` with one bin number (tinyint) a feature, named ``f_<feature>``; needs host and path."""
+def lexical(df: DataFrame, suffixes: list[dict[int, tuple[float, float]]] | None = None, url: str = "url", fold: Column | None = None) -> DataFrame:
+    """``df`` with one bin number (tinyint) a feature, named ``f_<feature>``; needs host and path.
+
+    ``suffixes``: buckets' statistics, one table for each value of ``fold``, or one alone."""
     u = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
 
@@ -88,8 +100,9 @@ def lexical(df: DataFrame, suffixes: dict[int, tuple[float, float]] | None = Non
         share = lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / n
         return F.aggregate(F.transform(F.array_distinct(F.split(s, "")), lambda c: F.when(c == "", 0.0).otherwise(let(share(c), lambda p: F.when(p > 0, -p * F.log2(p)).otherwise(0.0)))), F.lit(0.0), lambda a, x: a + x)
 
-    bucket = _suffix_bucket()
-    look = lambda i: F.get(F.array(*[F.lit(float((suffixes or {}).get(b, (0.5, 0.0))[i])) for b in range(SUFFIX_BUCKETS)]), bucket)
+    tables = suffixes or [{}]
+    at = _suffix_bucket() + (fold * SUFFIX_BUCKETS if fold is not None else F.lit(0))
+    look = lambda i: F.get(F.array(*[F.lit(float(t.get(b, (0.5, 0.0))[i])) for t in tables for b in range(SUFFIX_BUCKETS)]), at)
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     value = {
         "length": F.length(u),
@@ -135,10 +148,28 @@ def margin(trees: list[Node], base: float) -> Column:
     return sum((_expression(t) for t in trees), F.lit(base))
 
 
-def suffix_statistics(train: DataFrame) -> dict[int, tuple[float, float]]:
-    """Bucket to (smoothed share of blocked urls, log of the number of urls), from the training rows."""
-    rows = train.groupBy(_suffix_bucket().alias("b")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y")).collect()  # SUFFIX_BUCKETS rows
-    return {r["b"]: ((r["y"] + 1) / (r["n"] + 2), math.log1p(r["n"])) for r in rows}
+def suffix_statistics(train: DataFrame) -> tuple[list[dict[int, tuple[float, float]]], dict[int, tuple[float, float]]]:
+    """Bucket to (smoothed share of blocked urls, log of the number of urls): for each fold from the other folds' rows, and
+    from all of them."""
+    rows = train.groupBy("fold", _suffix_bucket().alias("b")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y")).collect()  # FOLDS * SUFFIX_BUCKETS rows
+
+    def of(out: int | None) -> dict[int, tuple[float, float]]:
+        sums: dict[int, list[float]] = {}
+        for r in rows:
+            if r["fold"] != out:
+                s = sums.setdefault(r["b"], [0.0, 0.0])
+                s[0], s[1] = s[0] + r["n"], s[1] + r["y"]
+        return {b: ((y + 1) / (n + 2), math.log1p(n)) for b, (n, y) in sums.items()}
+
+    return [of(f) for f in range(FOLDS)], of(None)
+
+
+def holdout_losses(held: DataFrame, trees: list[Node], base: float) -> list[float]:
+    """The log loss of the first 0, 1, ... trees on binned rows with ``y`` and ``n``; empty without rows."""
+    m = [margin(trees[:i], base) for i in range(len(trees) + 1)]
+    loss = lambda x: F.sum(F.col("n") * F.log1p(F.exp(x)) - F.col("y") * F.col("n") * x) / F.sum("n")
+    row = held.agg(*[loss(x) for x in m]).first()
+    return [float(x) for x in row if x is not None]
 
 
 def fit(train: DataFrame) -> tuple[list[Node], float]:
@@ -210,17 +241,30 @@ def fit(train: DataFrame) -> tuple[list[Node], float]:
 def judge_urls(df: DataFrame, rules=RULES, url: str = "url", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """``df`` with host, path, rule, ``score`` (probability of "block") and verdict."""
     urls = ruled(parts(df, url), rules)
-    # the training rows: urls that a rule decides, counted, up to max_rows different ones
-    labelled = urls.where("listed is not null").select(F.col(url).alias("url"), "host", "path", (F.col("listed") == "block").cast("double").alias("y"))
-    sample = labelled.groupBy("url", "host", "path", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    train = cut(sample)
-    suffixes = suffix_statistics(train)
-    trees, base = fit(lexical(train, suffixes, "url"))
-    judged = lexical(urls, suffixes, url).withColumn("score", 1 / (1 + F.exp(-margin(trees, base))))
+    trees, base, suffixes, _ = learnt(urls, url, max_rows)
+    judged = lexical(urls, [suffixes], url).withColumn("score", 1 / (1 + F.exp(-margin(trees, base))))
     verdict = F.coalesce("listed", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return judged.withColumn("verdict", verdict).drop("listed", *[f"f_{f}" for f in BINS])
 
 
+def learnt(urls: DataFrame, url: str = "url", max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[Node], float, dict[int, tuple[float, float]], list[float]]:
+    """Trees, base, suffix statistics and held-out losses, from the urls (with host, path and listed) that a rule decides:
+    counted, up to ``max_rows`` different ones."""
+    labelled = urls.where("listed is not null").select(F.col(url).alias("url"), "host", "path", (F.col("listed") == "block").cast("double").alias("y"))
+    sample = labelled.groupBy("url", "host", "path", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(max_rows)
+    train = cut(sample.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")))
+    by_fold, suffixes = suffix_statistics(train)
+    binned = cut(lexical(train, by_fold, "url", F.col("fold")))
+    grown = binned.where("fold > 0")
+    if grown.limit(1).count() == 0:  # the only hosts are the holdout's
+        return *fit(binned), suffixes, []
+    trees, base = fit(grown)
+    losses = holdout_losses(binned.where("fold = 0"), trees, base)
+    use = losses.index(min(losses)) if losses else len(trees)
+    logging.getLogger(__name__).info("log loss on held-out hosts by number of trees: %s", losses)
+    return trees[:use], base, suffixes, losses
+
+
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -225,6 +225,45 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in urlfilter.judge_urls(df.limit(3)).collect()} == {"allow"}  # nothing labelled
 
 
+def test_suffix_shares_are_of_other_hosts(spark):
+    rows = [(f"http://{h}.example.{t}/{i}", f"{h}.example.{t}", f"/{i}", float(t == "net"), 1 + i) for h in "abcdefghij" for t in ("net", "org") for i in range(3)]
+    train = spark.createDataFrame(rows, "url string, host string, path string, y double, n long").withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(urlfilter.FOLDS)).cast("int"))
+    by_fold, whole = urlfilter.suffix_statistics(train)
+    own = train.withColumn("b", urlfilter._suffix_bucket()).collect()
+    for f in range(urlfilter.FOLDS):
+        for b in {r.b for r in own}:
+            other = [r for r in own if r.fold != f and r.b == b]
+            if other:
+                assert by_fold[f][b][0] == pytest.approx((sum(r.y * r.n for r in other) + 1) / (sum(r.n for r in other) + 2))
+    assert set(whole) == {r.b for r in own}
+
+
+def test_url_trees_beat_the_base_on_held_out_hosts(spark):
+    rng = random.Random(31)
+    urls = []
+    for i in range(1500):
+        block = rng.random() < 0.5
+        host = f"{''.join(rng.choice('abcdef') for _ in range(rng.randint(12, 20) if block else rng.randint(3, 6)))}{i % 150}"
+        urls.append(f"http://{host}.{'net/x' if block else 'org/fr/'}{'9' * (8 if block else 0)}")
+    df = urlfilter.ruled(urlfilter.parts(spark.createDataFrame([(u,) for u in urls], "url string")))
+    trees, base, _, losses = urlfilter.learnt(df)
+    assert losses[len(trees)] == min(losses) and min(losses) < 0.3 * losses[0]
+    # the losses, by plain Python over the same bins
+    binned = urlfilter.lexical(df.where("listed is not null"), [urlfilter.suffix_statistics(df.where("listed is not null").select("host", F.lit(0).alias("fold"), F.lit(1).alias("n"), (F.col("listed") == "block").cast("double").alias("y")))[1]])
+    scored = binned.select("listed", (1 / (1 + F.exp(-urlfilter.margin(trees, base)))).alias("p")).collect()
+    assert sum((r.p > 0.5) == (r.listed == "block") for r in scored) >= 0.98 * len(scored)
+
+
+def test_urls_repeated_long_and_of_one_rule_length(spark):
+    rules = (("block", "ab.net/"), ("allow", "b.net/x"), ("block", "b.net/y"))
+    urls = ["http://b.net/x", "http://b.net/y", "http://b.net/xy", "http://b.net/x", "http://a.org/" + "z" * 200_000]
+    rows = urlfilter.judge_urls(spark.createDataFrame([(i, u, 1.0) for i, u in enumerate(urls)], "page_id long, url string, score double"), rules).collect()
+    got = {r.page_id: (r.rule, r.verdict) for r in rows}
+    assert len(rows) == 5 and got[0] == got[3] == ("b.net/x", "allow") and got[1] == ("b.net/y", "block") and got[2][0] == "b.net/x" and got[4][0] is None
+    twice = urlfilter.ruled(urlfilter.parts(spark.createDataFrame([("http://q.net/",)], "url string")), (("allow", "q.net/"), ("block", "q.net/"))).first()
+    assert twice.listed == "allow"  # of rules of one length the earlier
+
+
 # BPE
 
 
