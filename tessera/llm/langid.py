@@ -2,7 +2,7 @@
 
 A text's vector is the mean of the embeddings of its byte n-grams (hashed into buckets); a linear
 softmax turns it into language probabilities.  Both layers are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows; the probabilities are tempered on rows kept out of the
+in numpy on a bounded sample of labelled rows, of any length; the probabilities are tempered on rows kept out of the
 training, and the rejection level is the one that keeps ``KEPT_SHARE`` of them.
 
 As both layers are linear, the trained model folds into one (buckets x languages) matrix, so predicting
@@ -34,8 +34,8 @@ SLICE = 1 << 20
 PAD = b" " * 4
 LETTER = regex.compile(r"\p{L}")
 
-#: The fit's bounds: labelled rows, and bytes of the longest text among them.
-MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 2000, 64 << 10
+#: The fit's bounds: labelled rows, and the characters taken from each, from the middle of a longer text.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 2000, 1 << 14
 
 
 def _hashes(a: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
@@ -169,25 +169,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def train(df: DataFrame, text: str, lang: str, key: str, learn: Column, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
-    """Fit on the ``max_rows`` labelled rows whose keys hash lowest, an even sample of all that ``learn`` admits."""
-    rows = (
-        df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES))
-        .select(F.xxhash64(key).alias("_h"), key)
-        .orderBy("_h", key)
-        .limit(max_rows)
-        .agg(F.max("_h"))
-        .collect()[0][0]
-    )
-    if rows is None:
+    """Fit on the ``max_rows`` labelled rows whose keys hash lowest, an even sample of all that ``learn`` admits, whatever
+    their length; of a text of over ``MAX_TRAIN_CHARS`` characters the middle ones are taken."""
+    usable = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    last = usable.select(F.xxhash64(key).alias("_h"), key).orderBy("_h", key).limit(max_rows).agg(F.max("_h")).collect()[0][0]
+    if last is None:
         return None
-    got = (
-        df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES) & (F.xxhash64(key) <= rows))
-        .orderBy(F.xxhash64(key), key, text)
-        .limit(max_rows)
-        .select(text, lang)
-        .collect()
-    )
-    return fit([r[0] for r in got], [r[1] for r in got])
+    middle = F.substring(text, F.greatest(F.lit(1), ((F.length(text) - MAX_TRAIN_CHARS) / 2).cast("int") + 1), F.lit(MAX_TRAIN_CHARS))
+    got = usable.where(F.xxhash64(key) <= last).select(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"), middle.alias("_t"), F.col(lang).cast("string").alias("_l")).orderBy("_h", "_k", "_t", "_l").limit(max_rows).collect()
+    return fit([r["_t"] for r in got], [r["_l"] for r in got])
 
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -134,6 +134,35 @@ def test_language_frame(spark):
     assert langid.train(df.limit(0), "text", "lang", "doc_id", F.lit(True)) is None
 
 
+def test_long_labelled_texts_are_learnt_from(spark):
+    rng = random.Random(41)
+    rows = [(i, _speech(rng, a, 12_000), lang) for i, (lang, a) in enumerate(list(LETTERS.items()) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, "text", "lang", "doc_id", F.lit(True))
+    got = langid.predict_language(df, model).collect()
+    assert model.langs == sorted(LETTERS) and all(r.lang_pred == r.lang for r in got)
+
+
+def test_language_ties_and_repeated_rows(spark):
+    import numpy as np
+
+    model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2))
+    rows = langid.predict_language(spark.createDataFrame([(1, "xyz", "q"), (1, "xyz", "q"), (None, "abc", None)], "doc_id long, text string, rejected string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in rows] == [("aa", 0.5)] * 3
+
+
+def test_language_query(spark):
+    """Against the contract: who is held out, and held-out accuracy."""
+    import zlib
+
+    rows = langid.op8_language_id(spark, "/root/testdata/sf0.01").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    told = [(r.lang_pred, docs[r.doc_id].lang) for r in rows if r.held_out and docs[r.doc_id].lang and any(c.isalpha() for c in docs[r.doc_id].text or "")]
+    assert len(told) > 150 and sum(a == b for a, b in told) >= 0.98 * len(told)
+
+
 # Quality
 
 
