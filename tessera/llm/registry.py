@@ -1,4 +1,5 @@
-"""The corpus operators' queries, by name, and the DuckDB statements that say what they return."""
+"""The corpus operators' queries, by name, and the DuckDB statements that say what they return; the pipeline made of
+them is a script of its own."""
 
 from __future__ import annotations
 
@@ -6,8 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import oracles
 from .bpe import op6_byte_bpe
 from .html_extract import op1_html_extraction
@@ -25,7 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_html_extraction": op1_html_extraction,
         "op2_sharding": op2_sharding,
         "op3_minhash_neardup": op3_minhash_neardup,
