@@ -5,37 +5,51 @@ from __future__ import annotations
 import difflib
 import hashlib
 import html
-import math
+import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 384
-
-
-def hashed(features: list[tuple[str, float]], dimensions: int = DIMENSIONS) -> list[float]:
-    """Signed feature hashing: an 8-byte blake2b digest picks the place by its remainder and the sign by its lowest bit; unit length."""
-    out = [0.0] * dimensions
-    for name, weight in features:
-        code = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-        out[code % dimensions] += weight if code % 2 else -weight
-    length = math.sqrt(math.fsum(x * x for x in out))
-    return [x / length for x in out] if length else out
-
-
-def features(words: list[str]) -> list[tuple[str, float]]:
-    """Words (1.0), neighbouring pairs (0.45) and the trigrams (0.18) of words of six letters or more."""
-    out = [("w:" + w, 1.0) for w in words]
-    out += [("g:" + w[i : i + 3], 0.18) for w in words if len(w) >= 6 for i in range(len(w) - 2)]
-    return out + [(f"b:{a}:{b}", 0.45) for a, b in zip(words, words[1:], strict=False)]
+# Prefixes of features and their weights; a word's trigrams count from this many letters on.
+WORD, TRIGRAM, PAIR = ("w:", 1.0), ("g:", 0.18), ("b:", 0.45)
+TRIGRAMS_FROM = 6
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(words: pd.Series) -> pd.Series:
-    """Tokens to a unit vector."""
-    return words.map(lambda ws: hashed(features(list(ws))) if ws is not None else None)
+    """Stemmed tokens to a unit vector of signed feature hashes; no tokens give a zero vector, null gives null.
+
+    A batch is one matrix: each different word is taken apart once, each different feature digested once, and all
+    occurrences are added in one go.
+    """
+    rows = [[] if w is None else list(w) for w in words]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    different, at = np.unique(np.array([w for r in rows for w in r] or [""], object), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    at = at[: len(owner)]
+    names: dict[str, int] = {}
+    number = lambda name: names.setdefault(name, len(names))
+    # a word's own features, word by word
+    own = [[number(WORD[0] + w)] + [number(TRIGRAM[0] + w[i : i + 3]) for i in range(len(w) - 2) if len(w) >= TRIGRAMS_FROM] for w in different]
+    count = np.array(list(map(len, own)), np.int64)
+    flat, weight = np.concatenate(own), np.concatenate([[WORD[1]] + [TRIGRAM[1]] * (n - 1) for n in count])
+    start, n = np.cumsum(count) - count, count[at]
+    place = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    # neighbours of one text
+    near = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
+    pairs = np.array([number(f"{PAIR[0]}{different[a]}:{different[b]}") for a, b in zip(at[near], at[near + 1], strict=True)], np.int64)
+    code = np.array([int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little") for f in names], np.uint64)
+    where, sign = (code % np.uint64(DIMENSIONS)).astype(np.int64), np.where(code % np.uint64(2) == 1, 1.0, -1.0)
+    out = np.zeros((len(rows), DIMENSIONS))
+    feature = np.concatenate([flat[place], pairs])
+    np.add.at(out, (np.concatenate([np.repeat(owner, n), owner[near]]), where[feature]), sign[feature] * np.concatenate([weight[place], np.full(len(pairs), PAIR[1])]))
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    out /= np.where(length > 0, length, 1.0)
+    return pd.Series([None if w is None else v for w, v in zip(words, out, strict=True)], dtype=object)
 
 
 def ratio(a: str, b: str) -> float:
@@ -60,12 +74,43 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold() if x is not None else None)
 
 
-def merged(base, over, role: str = "role"):
-    """Deep merge: dictionaries by key, lists of role blocks by role, empty overrides ignored, anything else replaced."""
-    if isinstance(base, dict) and isinstance(over, dict):
-        return {k: merged(base[k], over[k], role) if k in base and k in over else base.get(k, over.get(k)) for k in [*base, *(k for k in over if k not in base)]}
-    blocks = lambda x: isinstance(x, list) and x and all(isinstance(v, dict) and role in v for v in x)
-    if blocks(base) and blocks(over):
-        by = {v[role]: v for v in over}
-        return [merged(v, by.pop(v[role]), role) if v[role] in by else v for v in base] + list(by.values())
-    return base if over is None or over == "" or over == [] or over == {} else over
+def merged(base, over, role: str = "role", blocks: str = "blocks"):
+    """Deep merge: dictionaries key by key; under the key ``blocks``, dictionaries of one role whatever its case; an override
+    that is null or empty changes nothing; anything else is replaced."""
+    if over is None or over in ("", [], {}):
+        return base
+    if not (isinstance(base, dict) and isinstance(over, dict)):
+        return over
+    out = dict(base)
+    for key, value in over.items():
+        old = base.get(key)
+        if key == blocks and isinstance(old, list) and isinstance(value, list):
+            out[key] = _by_role(old, value, role)
+        else:
+            out[key] = merged(old, value, role, blocks)
+    return out
+
+
+def _by_role(old: list, new: list, role: str) -> list:
+    name = lambda b: str(b.get(role, "")).casefold() if isinstance(b, dict) else ""
+    out, place = list(old), {name(b): i for i, b in enumerate(old) if name(b)}
+    for b in new:
+        if name(b) in place:
+            out[place[name(b)]] = merged(out[place[name(b)]], b, role)
+        else:
+            place[name(b) or id(b)] = len(out)
+            out.append(b)
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def merged_json(base: pd.Series, over: pd.Series) -> pd.Series:
+    """``merged`` of two JSON texts, keys sorted; null or broken JSON counts as empty."""
+
+    def read(x):
+        try:
+            return json.loads(x) if x is not None else None
+        except ValueError:
+            return None
+
+    return pd.Series([json.dumps(merged(read(b) or {}, read(o)), sort_keys=True, ensure_ascii=False) for b, o in zip(base, over, strict=True)], dtype=object)

@@ -51,11 +51,21 @@ def distinct_tokens(s: Column) -> Column:
 
 
 def content_tokens(s: Column) -> Column:
-    """Tokens that aren't stop words."""
-    return F.array_except(tokens(s), F.array(*map(F.lit, STOP_WORDS)))
+    """Tokens that aren't stop words, in order, with repeats."""
+    return F.filter(tokens(s), lambda w: ~w.isin(STOP_WORDS))
 
 
-def stem(word: Column, suffixes: tuple[str, ...], least: int = 4) -> Column:
+# Tokens of the hashed embedding, and Russian endings in the order in which they are tried.
+EMBEDDED_TOKEN = r"[0-9a-zа-яё][0-9a-zа-яё_-]*"
+ENDINGS = (
+    "иями", "ями", "ами", "ого", "ему", "ому", "ими", "ыми", "иях",
+    "ах", "ях", "ов", "ев", "ий", "ый", "ой", "ая", "яя", "ое", "ее", "ые", "ие",
+    "ить", "ать", "ять", "ение", "ания", "ения", "ию", "ия",
+    "ам", "ям", "ом", "ем", "ы", "и", "а", "я", "у", "ю", "е",
+)
+
+
+def stem(word: Column, suffixes: tuple[str, ...] = ENDINGS, least: int = 4) -> Column:
     """``word`` less the first suffix, in list order, that leaves ``least`` characters."""
     out = word
     for x in reversed(suffixes):
@@ -63,19 +73,10 @@ def stem(word: Column, suffixes: tuple[str, ...], least: int = 4) -> Column:
     return out
 
 
-def weighted_features(words: Column) -> Column:
-    """(feature, weight) of words (1.0), neighbouring pairs (0.45) and character trigrams (0.18)."""
-    one = F.transform(words, lambda w: F.struct(w.alias("feature"), F.lit(1.0).alias("weight")))
-    two = F.when(F.size(words) < 2, F.array().cast("array<struct<feature:string,weight:double>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.concat(F.get(words, i - 1), F.lit("_"), F.get(words, i)).alias("feature"), F.lit(0.45).alias("weight")))
-    )
-    three = F.flatten(
-        F.transform(
-            F.filter(words, lambda w: F.length(w) >= 3),
-            lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.struct(F.concat(F.lit("#"), F.substring(w, i, F.lit(3))).alias("feature"), F.lit(0.18).alias("weight"))),
-        )
-    )
-    return F.concat(one, two, three)
+def embedded_tokens(s: Column) -> Column:
+    """Stemmed tokens for the hashed embedding; words of under five letters stay whole."""
+    words = F.regexp_extract_all(F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit("ё"), F.lit("е")), F.lit(EMBEDDED_TOKEN), F.lit(0))
+    return F.transform(words, lambda w: F.when(F.length(w) < 5, w).otherwise(stem(w)))
 
 
 def count_of(s: Column, pattern: str) -> Column:

@@ -75,10 +75,21 @@ def identifier_issues(t: Tables) -> DataFrame:
     return rows.withColumn("valid", valid)
 
 
-@query("mixed_script_tokens", r"SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]{2,}')) AS t FROM documents) WHERE regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[А-Яа-яЁё]')")
+#: Every fifth text has its Latin o and c exchanged for the Cyrillic letters of the same look.
+_TWINS = ("oc", "ос")
+
+
+@query(
+    "mixed_script_tokens",
+    rf"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN translate(text, '{_TWINS[0]}', '{_TWINS[1]}') ELSE text END AS text FROM documents)
+SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]{{2,}}')) AS t FROM d) WHERE regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[А-Яа-яЁё]')
+""",
+)
 def mixed_script_tokens(t: Tables) -> DataFrame:
     """Tokens that mix alphabets."""
-    return t.documents.select("doc_id", F.explode(X.mixed_script_tokens(F.col("text"), None)).alias("token"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.translate("text", *_TWINS)).otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.explode(X.mixed_script_tokens(text, None)).alias("token"))
 
 
 @query(
@@ -111,14 +122,14 @@ def numbering_gaps(t: Tables) -> DataFrame:
 @query(
     "heading_level_jump",
     """
-WITH h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations),
+WITH h AS (SELECT conv_id, turn, length(text) % 4 AS level FROM conversations),
 j AS (SELECT *, lag(level) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM h)
-SELECT conv_id, turn, before, level FROM j WHERE level - before > 1
+SELECT conv_id, turn, before::INTEGER AS before, level::INTEGER AS level FROM j WHERE level - before > 1
 """,
 )
 def heading_level_jump(t: Tables) -> DataFrame:
     """A level that comes two or more below the one before."""
-    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    level = F.length("text") % 4
     before = F.lag("level").over(Window.partitionBy("conv_id").orderBy("turn"))
     return t.conversations.select("conv_id", "turn", level.alias("level")).withColumn("before", before).where("level - before > 1").select("conv_id", "turn", "before", "level")
 

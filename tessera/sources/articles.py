@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +53,14 @@ def split_keywords(s: Column) -> Column:
 
 
 def newest_copies(files: DataFrame, path: str = "path") -> DataFrame:
-    """Of each plan's files, the newest dated copy; undated ones only where no copy has a date."""
-    name = F.regexp_extract(path, r"([^/]+)\.[^.]+$", 1)
-    date = F.try_to_date(F.regexp_extract(name, r"(\d{2}\.\d{2}\.\d{4})", 1), "dd.MM.yyyy")
-    key = F.lower(F.trim(F.regexp_replace(name, r"[\s_(-]*\d{2}\.\d{2}\.\d{4}[\s)]*", " ")))
-    keyed = files.withColumns({"plan": key, "dated": date})
-    best = keyed.groupBy("plan").agg(F.max(F.struct(F.col("dated").isNotNull(), F.coalesce("dated", F.lit("1900-01-01").cast("date")), F.col(path).alias("p"))).alias("b"))
-    return keyed.join(best.select("plan", F.col("b.p").alias(path)), ["plan", path])
+    """Of each plan's files in a folder, the newest copy by the date that its name begins with; undated ones only where no
+    copy has a date; of equal ones the last path."""
+    name = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
+    stamp = F.regexp_extract(name, r"^\s*(\d{2}\.\d{2}\.\d{4})", 1)
+    plan = F.lower(F.trim(F.regexp_replace(name, r"^\s*\d{2}\.\d{2}\.\d{4}[\s_.-]*", "")))
+    keyed = files.withColumns({"folder": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "plan": plan, "dated": F.try_to_date(stamp, "dd.MM.yyyy")})
+    best = keyed.groupBy("folder", "plan").agg(F.max(F.struct(F.coalesce("dated", F.lit("0001-01-01").cast("date")), F.col(path).alias("p"))).alias("b"))
+    return keyed.join(best.select("folder", "plan", F.col("b.p").alias(path)), ["folder", "plan", path])
 
 
 def read_export(spark: SparkSession, path: str, columns: list[str], text_column: str, flag: str = "INSPECTOR_FLG", year: str = "YEAR", years: list[int] | None = None, most: int = 700) -> tuple[DataFrame, DataFrame]:
@@ -108,15 +112,16 @@ def staff_entries(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select(F.col("x.id").alias("external_id"), name.alias("name"), F.trim(position).alias("position"), unit.alias("unit"))
 
 
-def write_index(articles: DataFrame, path: str, text: str = "text", key: str = "doc_id", version: int = 2) -> None:
+def write_index(articles: DataFrame, path: str, text: str = "text", key: str = "doc_id", version: int = 2, backend: str = "hashed") -> None:
     """Articles, their chunks and one row of facts about the index, as Parquet; each build is a folder of its own, and
     ``meta`` is written last, so a reader that goes by it never sees a half-written build."""
-    build = f"{path}/build-{version}-{articles.sparkSession.sparkContext.applicationId}"
-    articles.write.mode("overwrite").parquet(f"{build}/articles")
-    sentence_chunks(articles, key, text).write.mode("overwrite").parquet(f"{build}/chunks")
+    build = f"{path}/build-{version}-{uuid.uuid4().hex}"
+    articles.write.parquet(f"{build}/articles")
+    sentence_chunks(articles, key, text).write.parquet(f"{build}/chunks")
     spark = articles.sparkSession
     counts = [spark.read.parquet(f"{build}/{t}").count() for t in ("articles", "chunks")]
-    spark.createDataFrame([(version, build, *counts)], "schema_version int, build string, articles long, chunks long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    row = (version, build, backend, datetime.now(UTC), *counts)
+    spark.createDataFrame([row], "schema_version int, build string, backend string, built timestamp, articles long, chunks long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

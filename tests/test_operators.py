@@ -1,5 +1,8 @@
 """Operators on rows that the tables don't hold: other scripts, citations, nulls, ties, boundaries."""
 
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +31,42 @@ def test_stemming_takes_the_first_suffix(spark):
     assert one(spark, "дами", lambda c: X.stem(c, ("ами", "и"))) == "дами"
 
 
-def test_features_count(spark):
-    got = one(spark, "abc defg", lambda c: X.weighted_features(X.tokens(c)))
-    assert [(f.feature, f.weight) for f in got] == [("abc", 1.0), ("defg", 1.0), ("abc_defg", 0.45), ("#abc", 0.18), ("#def", 0.18), ("#efg", 0.18)]
+def _embedding(words):
+    """The definition, feature by feature."""
+    out = [0.0] * 384
+    named = [("w:" + w, 1.0) for w in words] + [("g:" + w[i : i + 3], 0.18) for w in words if len(w) >= 6 for i in range(len(w) - 2)]
+    for name, weight in named + [(f"b:{a}:{b}", 0.45) for a, b in zip(words, words[1:], strict=False)]:
+        n = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+        out[n % 384] += weight if n & 1 else -weight
+    size = math.sqrt(sum(x * x for x in out))
+    return [x / size for x in out] if size else out
+
+
+def test_hashed_embedding_equals_its_definition(spark):
+    rows = [["models", "rivers", "rivers", "abc"], [], None, ["x"], ["модел", "потоков", "река"], ["abcdef"] * 5]
+    got = [r.e for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, w array<string>").coalesce(1).select("i", A.hash_embedding("w").alias("e")).orderBy("i").collect()]
+    for r, e in zip(rows, got, strict=True):
+        assert (e is None) == (r is None) and (r is None or e == pytest.approx(_embedding(r), abs=1e-12))
+
+
+def test_content_tokens_keep_repeats(spark):
+    assert one(spark, "The river and the river, delta", X.content_tokens) == ["river", "river", "delta"]
+    assert one(spark, "Реками и моделями, дом-2 abc", X.embedded_tokens) == ["рекам", "и", "модел", "дом-2", "abc"]
+
+
+def test_field_weights_count_repeats(spark):
+    from tessera.operators import retrieval as T
+
+    rows = spark.createDataFrame([(1, "river river", "delta"), (2, "delta", "stone")], "id long, title string, abstract string")
+    got = {(r.id, r.term): r.tf for r in T.weighted_counts(rows, {"title": 3.0, "abstract": 2.0}, "id").collect()}
+    assert got == {(1, "river"): 6.0, (1, "delta"): 2.0, (2, "delta"): 3.0, (2, "stone"): 2.0}
+    total = spark.createDataFrame([(2,)], "total long")
+    counts = T.weighted_counts(rows, {"title": 3.0, "abstract": 2.0}, "id")
+    idf = {"river": math.log(3 / 2) + 1, "delta": 1.0, "stone": math.log(3 / 2) + 1}
+    one_, two = {"river": 6 * idf["river"], "delta": 2.0}, {"delta": 3.0, "stone": 2 * idf["stone"]}
+    cosine = 2 * 3 / math.sqrt(sum(x * x for x in one_.values()) * sum(x * x for x in two.values()))
+    sims = {(r.q, r.id): (r.shared, r.cosine) for r in T.tfidf_similarity(counts.withColumnRenamed("id", "q"), counts, total, "id", "q").collect()}
+    assert sims[(1, 2)] == (1, pytest.approx(cosine, abs=1e-5)) and sims[(1, 1)] == (2, pytest.approx(1.0))
 
 
 def test_scripts(spark):
@@ -127,8 +163,11 @@ def test_deep_merge():
     base = {"a": {"x": 1, "y": 2}, "blocks": [{"role": "title", "size": 12}, {"role": "body", "size": 10}], "keep": "v"}
     over = {"a": {"x": 5}, "blocks": [{"role": "body", "size": 11}, {"role": "note", "size": 8}], "keep": "", "new": 1}
     assert A.merged(base, over) == {"a": {"x": 5, "y": 2}, "blocks": [{"role": "title", "size": 12}, {"role": "body", "size": 11}, {"role": "note", "size": 8}], "keep": "v", "new": 1}
+    blocks = {"blocks": [{"role": "Title", "a": 1}, {"x": 1}]}
+    assert A.merged(blocks, {"blocks": [{"role": "title", "b": 2}, {"y": 2}]}) == {"blocks": [{"role": "title", "a": 1, "b": 2}, {"x": 1}, {"y": 2}]}
+    assert A.merged({"a": [1]}, {"a": [{"role": "q"}]}) == {"a": [{"role": "q"}]}  # only under their key are blocks merged by role
 
 
-def test_hashed_embedding_is_of_unit_length():
-    v = A.hashed(A.features(["modelling", "rivers"]))
-    assert len(v) == 384 and sum(x * x for x in v) == pytest.approx(1) and A.hashed([]) == [0.0] * 384
+def test_merged_json(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}', '{"b": {"d": 3}, "a": null}'), (None, "{broken"), ('{"z": 1}', None)], "b string, o string")
+    assert [r.m for r in df.select(A.merged_json("b", "o").alias("m")).collect()] == ['{"a": 1, "b": {"c": 2, "d": 3}}', "{}", '{"z": 1}']

@@ -31,9 +31,9 @@ def test_export_with_shifted_row(spark, tmp_path):
 
 
 def test_newest_copies(spark):
-    names = ["d/Plan A.xlsx", "d/Plan A 01.02.2024.xlsx", "d/Plan A 03.02.2024.xlsx", "d/Plan B.xlsx"]
+    names = ["d/Plan A.xlsx", "d/01.02.2024 Plan A.xlsx", "d/03.02.2024 plan a.xlsx", "d/Plan B.xlsx", "e/Plan A.xlsx", "e/Plan of 05.05.2024.xlsx"]
     got = S.newest_copies(spark.createDataFrame([(n,) for n in names], "path string"))
-    assert sorted(r.path for r in got.collect()) == ["d/Plan A 03.02.2024.xlsx", "d/Plan B.xlsx"]
+    assert sorted(r.path for r in got.collect()) == ["d/03.02.2024 plan a.xlsx", "d/Plan B.xlsx", "e/Plan A.xlsx", "e/Plan of 05.05.2024.xlsx"]
 
 
 def test_journals_and_staff(spark, tmp_path):
