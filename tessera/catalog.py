@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalogue, checks, documents, events, registry, resolution, retrieval, structure, workflow  # noqa: F401
+from tessera.plans import catalogue, checks, documents, events, registry, resolution, retrieval, rules, structure, workflow  # noqa: F401
 from tessera.plans.query import ORACLES, QUERIES, Query
 
 
