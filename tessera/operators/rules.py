@@ -42,7 +42,7 @@ def required_parts(found: DataFrame, catalogue: DataFrame, key: str, role: str =
     """(key, role, required, present): every subject against a small catalogue (role, required)."""
     subjects = found.select(key).distinct()
     have = found.select(key, role).distinct().withColumn("present", F.lit(True))
-    return subjects.crossJoin(F.broadcast(catalogue)).join(have, [key, role], "left").withColumn("present", F.coalesce("present", F.lit(False)))  # a catalogue: few rows
+    return subjects.crossJoin(catalogue).join(have, [key, role], "left").withColumn("present", F.coalesce("present", F.lit(False)))  # a catalogue: few rows
 
 
 def file_issues(files: DataFrame, checks: list[tuple[str, Column]], key: str) -> DataFrame:

@@ -32,8 +32,8 @@ def visible(tasks: DataFrame, users: DataFrame) -> Column:
 
 
 def missing_pairs(left: DataFrame, right: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of every left row with every definition (few rows) that don't exist yet."""
-    return left.crossJoin(F.broadcast(right)).join(existing, keys, "left_anti")
+    """Pairs of every left row with every definition (few rows, broadcast by size) that don't exist yet."""
+    return left.crossJoin(right).join(existing, keys, "left_anti")
 
 
 def attempts(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
