@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.shared import checkpointed
 from tessera.ship import ship
 
 
@@ -112,11 +113,11 @@ def canonical(rows: DataFrame, key: str = "id", pointer: str = "merged_into") ->
     nowhere counts as none, and rows of a circle, or that lead into one, get its least member."""
     ids = rows.select(F.col(key).alias("i"))
     now = rows.select(F.col(key).alias("k"), F.col(pointer).alias("p")).join(ids, F.col("p") == F.col("i"), "left")
-    now = now.select("k", F.coalesce("i", "k").alias("t"), F.least("k", F.coalesce("i", "k")).alias("low")).checkpoint()
+    now = checkpointed(now.select("k", F.coalesce("i", "k").alias("t"), F.least("k", F.coalesce("i", "k")).alias("low")))
     far = lambda df: df.select(F.col("k").alias("a"), F.col("t").alias("b"), F.col("low").alias("l"))
     # after that many rounds every chain has ended, and ``low`` has been around every circle
     for _ in range(max(1, now.count().bit_length()) + 1):
-        step = now.join(far(now), F.col("t") == F.col("a")).select("k", F.col("b").alias("t"), F.least("low", "l").alias("low"), (F.col("b") != F.col("t")).alias("moved")).checkpoint()
+        step = checkpointed(now.join(far(now), F.col("t") == F.col("a")).select("k", F.col("b").alias("t"), F.least("low", "l").alias("low"), (F.col("b") != F.col("t")).alias("moved")))
         now = step.drop("moved")
         if step.where("moved").limit(1).count() == 0:
             break

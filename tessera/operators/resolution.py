@@ -38,6 +38,18 @@ def title_score(plan: Column, fact: Column) -> Column:
     return F.when(inside, 1.0).when((shared < 2) | (F.size(fw) == 0), 0.0).otherwise(0.72 * shared / F.size(fw) + 0.28 * shared / F.least(F.size(pw), F.size(fw)))
 
 
+def title_candidates(plans: DataFrame, facts: DataFrame, by: list[str], least: float = 0.52) -> DataFrame:
+    """Plans (by..., plan_title) and facts (by..., fact_title) of one group whose titles score ``least`` or more.
+
+    Only pairs that share a word are looked at: equal titles are counted as one on either side, and titles meet by words."""
+    words = lambda c: F.explode(F.array_distinct(X.content_tokens(F.col(c)))).alias("_w")
+    left = plans.select(*by, "plan_title").distinct().select(*by, "plan_title", words("plan_title"))
+    right = facts.select(*by, "fact_title").distinct().select(*by, "fact_title", words("fact_title"))
+    pairs = left.join(right, [*by, "_w"]).select(*by, "plan_title", "fact_title").distinct()
+    scored = pairs.withColumn("score", title_score(F.col("plan_title"), F.col("fact_title"))).where(F.col("score") >= least)
+    return scored.join(plans, [*by, "plan_title"]).join(facts, [*by, "fact_title"])
+
+
 def allocate(candidates: DataFrame, capacity: str = "capacity") -> DataFrame:
     """(owner, plan, fact, score): best scores first, each fact once, each plan up to its capacity.
 

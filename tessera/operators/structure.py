@@ -148,3 +148,47 @@ def surname(name: Column) -> Column:
     full = F.filter(words, lambda w: ~w.rlike(r"^(?:\p{Lu}\.)+$"))
     patronymic = F.element_at(words, -1).rlike(r"(?u)(?:вич|вна|ична|ovich|evich|ovna|evna)$") & (F.size(words) == 3)
     return F.when(F.size(capitals) > 0, F.element_at(capitals, 1)).when((F.size(initials) > 0) & (F.size(full) > 0), F.element_at(full, 1)).when(patronymic, F.element_at(words, 1)).otherwise(F.element_at(words, -1))
+
+
+def json_answer(s: Column, schema: str) -> Column:
+    """The fields of the JSON object that a text holds somewhere, between its first and last brace; null where there is none
+    or it is broken."""
+    return F.from_json(F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+def people_by_unit(rows: DataFrame, unit: str, name: str, source: str) -> DataFrame:
+    """(unit, person, sources): each unit's people by normalised name, with their sorted distinct sources."""
+    return rows.groupBy(unit, X.normalise(F.col(name)).alias("person")).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+
+
+# Characters that LaTeX reads as commands, and their escaped forms.
+ESCAPES = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex_escaped(s: Column) -> Column:
+    """A text with LaTeX's characters escaped, each looked at once."""
+    table = F.create_map(*[F.lit(x) for w in ESCAPES.items() for x in w])
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+def cell_spans(cells: DataFrame, by: list[str], row: str, column: str, value: str) -> DataFrame:
+    """(by..., row, column, span, value): neighbouring cells of a row with one value are one cell that spans them."""
+    order = Window.partitionBy(*by, row).orderBy(column)
+    new = ~F.col(value).eqNullSafe(F.lag(value).over(order)) | (F.lag(column).over(order) != F.col(column) - 1) | F.lag(column).over(order).isNull()
+    rows = cells.withColumn("_p", F.sum(F.when(new, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, row, "_p").agg(F.min(column).alias(column), F.count("*").alias("span"), F.first(value).alias(value)).drop("_p")
+
+
+def front_matter(blocks: DataFrame, key: str = "doc_id", window: int = 12) -> DataFrame:
+    """(key, emails, where, n_blocks): a document's e-mail addresses in its first blocks, else in all of them."""
+    found = blocks.where("text <> ''").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("place")))
+    found = found.withColumn("_e", F.regexp_extract_all(F.lower("text"), F.lit(X.EMAIL.replace("(\\.", "(?:\\.")), F.lit(0)))
+    both = found.groupBy(key).agg(F.flatten(F.collect_list(F.when(F.col("_k") <= window, F.col("_e")))).alias("_a"), F.flatten(F.collect_list("_e")).alias("_b"), F.count("*").alias("n_blocks"))
+    tidy = lambda c: F.array_sort(F.array_distinct(c))
+    return both.select(key, F.when(F.size("_a") > 0, tidy("_a")).otherwise(tidy("_b")).alias("emails"), F.when(F.size("_a") > 0, "front").when(F.size("_b") > 0, "anywhere").otherwise("none").alias("where"), "n_blocks")
+
+
+def label_tables(tables: Column, pattern: str = r"^\(\d+\)$") -> Column:
+    """(labels, data) of tables as arrays of cells: those whose last cell is an equation's number, and the others."""
+    labelled_ = lambda t: F.element_at(t, -1).rlike(pattern)
+    return F.struct(F.transform(F.filter(tables, labelled_), lambda t: F.element_at(t, -1)).alias("labels"), F.size(F.filter(tables, lambda t: ~labelled_(t))).alias("data"))

@@ -164,8 +164,6 @@ def merge_targets(t: Tables) -> DataFrame:
     """The rows at the ends of chains of merge pointers."""
     k = F.col("c_custkey")
     rows = t.customer.select(k.alias("id"), F.when(k % 4 > 0, k - 1).alias("merged_into"))
-    if t.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir"))
     return P.canonical(rows)
 
 

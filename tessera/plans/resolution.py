@@ -74,13 +74,47 @@ def rule_precedence(t: Tables) -> DataFrame:
     return R.rule_precedence(rules)
 
 
+_STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def _words(column: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '[0-9\\p{{L}}]{{3,}}'), lambda w: w NOT IN ({_STOPS})))"
+
+
+def _titled(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Plans are orders, titled by their first part; facts are line items, titled by theirs; kinds are the owners' segments."""
+    lines = t.lineitem.join(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), F.col("p_partkey") == F.col("l_partkey"))
+    lines = lines.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("kind")), F.col("o_orderkey") == F.col("l_orderkey"))
+    plans = lines.groupBy("owner", "kind", F.col("l_orderkey").alias("plan")).agg(F.min_by("title", F.struct("l_linenumber", "l_partkey")).alias("plan_title"))
+    return plans.withColumn("capacity", (1 + F.col("plan") % 3).cast("int")), lines.select("owner", "kind", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact"), F.col("title").alias("fact_title"))
+
+
+def _candidates(t: Tables) -> DataFrame:
+    return R.title_candidates(*_titled(t), ["owner", "kind"]).select("owner", "kind", "plan", "fact", "capacity", F.round("score", 6).alias("score"))
+
+
+@query(
+    "title_candidates",
+    f"""
+WITH l AS (SELECT o_custkey AS owner, o_orderstatus AS kind, l_orderkey, l_linenumber, l_partkey, p_name || ' ' || p_type AS title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+pl AS (SELECT owner, kind, l_orderkey AS plan, arg_min(title, (l_linenumber, l_partkey)) AS pt FROM l GROUP BY ALL),
+fa AS (SELECT owner, kind, l_orderkey * 8 + l_linenumber AS fact, title AS ft FROM l),
+c AS (SELECT owner, kind, plan, fact, trim(regexp_replace(lower(pt), '[^0-9\\p{{L}}]+', ' ', 'g')) AS p, trim(regexp_replace(lower(ft), '[^0-9\\p{{L}}]+', ' ', 'g')) AS f, {_words("pt")} AS pw, {_words("ft")} AS fw FROM pl JOIN fa USING (owner, kind)),
+s AS (SELECT *, len(list_intersect(pw, fw)) AS n FROM c),
+r AS (SELECT owner, kind, plan, fact, CASE WHEN least(length(p), length(f)) >= 15 AND (contains(p, f) OR contains(f, p)) THEN 1.0 WHEN n < 2 OR len(fw) = 0 THEN 0.0 ELSE 0.72 * n / len(fw) + 0.28 * n / least(len(pw), len(fw)) END::DOUBLE AS score FROM s)
+SELECT owner, kind, plan, fact, (1 + plan % 3)::INTEGER AS capacity, round(score, 6) AS score FROM r WHERE score >= 0.52
+""",
+)
+def title_candidates(t: Tables) -> DataFrame:
+    """Plans and facts of one owner and kind whose titles are alike enough."""
+    return _candidates(t)
+
+
 @query("greedy_allocation")
 def greedy_allocation(t: Tables) -> DataFrame:
-    """Facts to plans of one owner and kind by score, under the plans' capacities; order decides, so no statement."""
-    plans = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("plan"), F.col("o_orderpriority").alias("kind"), (1 + F.col("o_orderkey") % 3).cast("int").alias("capacity"))
-    facts = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("kind"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact"), "l_partkey")
-    score = (F.pmod(F.xxhash64("l_partkey", "plan"), F.lit(1000)) / 1000.0).alias("score")
-    return R.allocate(plans.join(facts, ["owner", "kind"]).select("owner", "plan", "fact", "capacity", score).where("score >= 0.52"))
+    """Facts to plans of one owner and kind by their titles' score, under the plans' capacities; order decides, so no
+    statement (``title_candidates`` has the scores' one)."""
+    return R.allocate(_candidates(t).groupBy("owner", "plan", "fact", "capacity").agg(F.max("score").alias("score")))
 
 
 @query(

@@ -204,3 +204,68 @@ def integrity_report(t: Tables) -> DataFrame:
             ("no_figure", "info", F.size(n) == 0),
         ],
     )
+
+
+@query(
+    "json_answers",
+    "WITH a AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'no answer' ELSE 'Answer: {\"kind\": \"' || event_type || '\", \"score\": ' || (event_id % 100)::VARCHAR || '} as asked' END AS s FROM events), j AS (SELECT event_id, nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS j FROM a) SELECT event_id, j ->> 'kind' AS kind, (j ->> 'score')::INTEGER AS score FROM j",
+)
+def json_answers(t: Tables) -> DataFrame:
+    """Fields of JSON objects inside of texts."""
+    k = F.col("event_id")
+    text = F.when(k % 7 == 0, None).when(k % 5 == 0, "no answer").otherwise(F.concat(F.lit('Answer: {"kind": "'), F.col("event_type"), F.lit('", "score": '), (k % 100).cast("string"), F.lit("} as asked")))
+    return t.events.select("event_id", S.json_answer(text, "kind string, score int").alias("j")).select("event_id", "j.kind", "j.score")
+
+
+@query("people_by_unit", "SELECT c_nationkey, lower(c_mktsegment) AS person, array_to_string(list(DISTINCT right(c_name, 1) ORDER BY right(c_name, 1)), ',') AS sources FROM customer GROUP BY ALL")
+def people_by_unit(t: Tables) -> DataFrame:
+    """People of a unit under one spelling, with where they come from."""
+    rows = t.customer.select("c_nationkey", F.col("c_mktsegment").alias("name"), F.right("c_name", F.lit(1)).alias("source"))
+    return S.people_by_unit(rows, "c_nationkey", "name", "source").withColumn("sources", F.array_join("sources", ","))
+
+
+@query("latex_escaped", "SELECT page_id, replace(replace(replace(replace(replace(url, '&', chr(92) || '&'), '%', chr(92) || '%'), '#', chr(92) || '#'), '_', chr(92) || '_'), '~', chr(92) || 'textasciitilde{}') AS url FROM pages")
+def latex_escaped(t: Tables) -> DataFrame:
+    """Addresses as LaTeX takes them."""
+    return t.pages.select("page_id", S.latex_escaped(F.col("url")).alias("url"))
+
+
+@query(
+    "cell_spans",
+    """
+WITH c AS (SELECT DISTINCT l_orderkey, l_linestatus, l_linenumber, min(l_returnflag) OVER (PARTITION BY l_orderkey, l_linestatus, l_linenumber) AS v FROM lineitem),
+n AS (SELECT *, (lag(l_linenumber) OVER w IS NULL OR v IS DISTINCT FROM lag(v) OVER w OR lag(l_linenumber) OVER w <> l_linenumber - 1)::INTEGER AS new FROM c WINDOW w AS (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS part FROM n)
+SELECT l_orderkey, l_linestatus, min(l_linenumber) AS l_linenumber, count(*) AS span, any_value(v) AS v FROM p GROUP BY l_orderkey, l_linestatus, part
+""",
+)
+def cell_spans(t: Tables) -> DataFrame:
+    """Neighbouring cells of one value as one."""
+    cells = t.lineitem.groupBy("l_orderkey", "l_linestatus", "l_linenumber").agg(F.min("l_returnflag").alias("v"))
+    return S.cell_spans(cells, ["l_orderkey"], "l_linestatus", "l_linenumber", "v")
+
+
+@query(
+    "front_matter",
+    rf"""
+WITH {_LINES}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k, regexp_extract_all(lower(text), '[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e FROM l WHERE text <> ''),
+f AS (SELECT doc_id, flatten(list(e) FILTER (k <= 12)) AS a, flatten(list(e)) AS b, count(*) AS n_blocks FROM k GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_sort(list_distinct(CASE WHEN len(a) > 0 THEN a ELSE b END)), ',') AS emails, CASE WHEN len(a) > 0 THEN 'front' WHEN len(b) > 0 THEN 'anywhere' ELSE 'none' END AS "where", n_blocks FROM f
+""",
+)
+def front_matter(t: Tables) -> DataFrame:
+    """Addresses of a document's front, else of all of it."""
+    return S.front_matter(_lines(t)).withColumn("emails", F.array_join("emails", ","))
+
+
+@query(
+    "label_tables",
+    "WITH l AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN '(' || l_linenumber::VARCHAR || ')' ELSE l_returnflag END AS last, l_linenumber, l_partkey FROM lineitem) SELECT l_orderkey, coalesce(string_agg(last, ',' ORDER BY l_linenumber, l_partkey) FILTER (regexp_matches(last, '^\\(\\d+\\)$')), '') AS labels, (count(*) FILTER (NOT regexp_matches(last, '^\\(\\d+\\)$')))::INTEGER AS data FROM l GROUP BY l_orderkey",
+)
+def label_tables(t: Tables) -> DataFrame:
+    """Tables that only hold an equation and its number, apart from those of data."""
+    last = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("("), F.col("l_linenumber").cast("string"), F.lit(")"))).otherwise(F.col("l_returnflag"))
+    cells = F.array(F.lit("x"), last)
+    tables = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c")))), lambda r: r["c"])
+    got = t.lineitem.groupBy("l_orderkey").agg(tables.alias("t")).select("l_orderkey", S.label_tables(F.col("t")).alias("s"))
+    return got.select("l_orderkey", F.array_join("s.labels", ",").alias("labels"), F.col("s.data").alias("data"))

@@ -7,7 +7,6 @@ from tessera.operators import structure as S
 
 
 def test_merge_pointers_end_everywhere(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     pointers = {1: None, 2: 1, 3: 2, 4: 3, 5: 99, 6: 7, 7: 8, 8: 6, 9: 7, 10: 10, 11: 4, 0: 9}
     got = P.canonical(spark.createDataFrame(list(pointers.items()), "id long, merged_into long")).collect()
     assert {r.id: r.target for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 6, 9: 6, 10: 10, 11: 1, 0: 6}
