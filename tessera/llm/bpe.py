@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE, ROWS_A_QUERY = 64, 400_000, 40_000, 1 << 20
+LONG, REMEMBERED, AT_ONCE, ROWS_A_QUERY = 64, 400_000, 40_000, 1 << 17
 
 #: Fixed value: the public pattern whose pieces never cross a space before a word.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,9 +88,10 @@ WITH RECURSIVE state(g, w, tok, live) AS (
 SELECT w, tok FROM state WHERE NOT live ORDER BY g
 """
 
+#: Bytes are kept as the characters of their numbers, so that they can be joined as text.
 DECODE = """
-SELECT f.w, unhex(string_agg(t.hex, '' ORDER BY f.g)) AS bytes
-FROM fresh f JOIN tokens t ON t.id = f.tok GROUP BY f.w ORDER BY f.w
+SELECT w, array_to_string(list(chars ORDER BY g), '') AS chars
+FROM (SELECT f.w, f.g, t.chars FROM fresh f JOIN tokens t ON t.id = f.tok) GROUP BY w ORDER BY w
 """
 
 
@@ -120,7 +121,7 @@ class Codec:
         for name, columns in (
             ("merges", {"k": (l.astype(np.int64) << 32) + r, "t": t}),
             ("plain", {"t": np.array(sorted(set(t.tolist()) - odd), np.int32)}),
-            ("tokens", {"id": np.array(list(ranks.values()), np.int32), "hex": np.array([k.hex() for k in ranks], object)}),
+            ("tokens", {"id": np.array(list(ranks.values()), np.int32), "chars": np.array([k.decode("latin-1") for k in ranks], object)}),
         ):
             self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -181,8 +182,8 @@ class Codec:
         while start < len(slices):
             end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + ROWS_A_QUERY, "right")))
             got = self._run(DECODE, sizes[start:end], np.frombuffer(b"".join(slices[start:end]), "<u4"))
-            for i, raw in zip(of[start:end], got["bytes"].to_pylist(), strict=True):
-                out[i].append(raw)
+            for i, chars in zip(of[start:end], got["chars"].to_pylist(), strict=True):
+                out[i].append(chars.encode("latin-1"))
             start = end
         return [b"".join(x) for x in out]
 
@@ -255,7 +256,7 @@ def codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
 
 
 RESULT = T.StructType([T.StructField(c, T.BinaryType() if c in ("ids", "decoded") else T.LongType() if c == "n_tokens" else T.StringType()) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")])
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests_only: bool = False) -> DataFrame:
