@@ -21,10 +21,12 @@ SPACES = rf"[{SPACE_CLASS}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only a session that names none (tests, a single machine) gets a local one.
+    Only a session on a single machine that names none (as in tests) gets a local one; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         named = os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}", "shared")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
