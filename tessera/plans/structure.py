@@ -49,13 +49,13 @@ def reference_entries(t: Tables) -> DataFrame:
 
 
 @query(
-    "open_parts",
+    "parts_open",
     f"""
 WITH {_LINES}, m AS (SELECT doc_id, place, CASE WHEN text LIKE 'A%' THEN 'abstract' WHEN text LIKE 'T%' THEN 'section' WHEN text LIKE 'R%' THEN 'references' END AS marker FROM l)
 SELECT doc_id, place, marker, last_value(marker IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM m
 """,
 )
-def open_parts(t: Tables) -> DataFrame:
+def parts_open(t: Tables) -> DataFrame:
     """The part that is open at each block."""
     begins = lambda c: F.col("text").startswith(c)
     return S.open_part(_lines(t), F.when(begins("A"), "abstract").when(begins("T"), "section").when(begins("R"), "references")).select("doc_id", "place", "marker", "open")
