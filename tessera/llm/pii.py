@@ -84,7 +84,7 @@ PATTERN = regex.compile(
 )
 _NAMED = re.compile(rf"(?:{_TITLE})\.? [^\W\d_]")
 _SIGNS = re.compile(r"[0-9@]")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_CAPITALISED = re.compile(r"[A-ZА-ЯЁ][a-zа-яё]+")
 _LETTERS_ONLY = re.compile(r"(?:passw|pwd|token|secret|api[_-]?key)", re.I)
 #: The titles that hold no other title.
 _STEMS = tuple(t for t in TITLES if not any(o != t and o in t for o in TITLES))
@@ -98,7 +98,7 @@ def _may_hold(text: str) -> bool:
 
 
 def _titled(text: str) -> bool:
-    return any(t in text for t in _STEMS) and bool(_NAMED.search(text)) or not GENDER.keys().isdisjoint(_LETTERS.findall(text))
+    return any(t in text for t in _STEMS) and bool(_NAMED.search(text)) or not GENDER.keys().isdisjoint(_CAPITALISED.findall(text))
 
 
 def _random(key: bytes, *parts: object) -> int:
