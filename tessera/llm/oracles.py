@@ -27,3 +27,32 @@ nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS},
 counts AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN counts c ON c.id = e.vec_id
 """
+
+OP13 = r"""
+WITH
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+classes AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1:step - 1] AS applied FROM orders, range(1, 6) AS r(step)),
+counted AS (SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT contains(fails, f) AND translate(fails, applied, '') = fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, applied, '') = fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, applied, '') <> fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, applied, '') = fails AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, applied, '') = fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM classes, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .bpe import op6_byte_bpe
+from .filteraudit import op13_filter_audit
 from .html_extract import op1_html_extraction
 from .langid import op8_language_id
 from .mixing import op7_mixing
@@ -34,9 +35,10 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are learnt, keyed or recursive beyond what one statement can say; the tests hold them against brute force."""
-    return {"op3_minhash_neardup": oracles.OP3, "op5_embedding_neardup": oracles.OP5}
+    return {"op3_minhash_neardup": oracles.OP3, "op5_embedding_neardup": oracles.OP5, "op13_filter_audit": oracles.OP13}
