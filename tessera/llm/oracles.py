@@ -56,3 +56,25 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM counted
 """
+
+OP11 = r"""
+WITH
+d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(n, 0) AS total, coalesce(v, 0) AS v FROM groups LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN vs USING (lang)),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1)::HUGEINT // (total + v)::HUGEINT)::BIGINT AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+whole AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 1)::HUGEINT // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))::HUGEINT)::BIGINT AS p FROM c GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT x.lang, x.source, 'term' AS part, x.term AS item, ((x.p - q.p) * (x.p - q.p) // q.p)::BIGINT AS value
+  FROM dense x JOIN whole q ON q.lang = x.lang AND q.term = x.term WHERE x.n > 0 AND x.p > q.p)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (FROM pairs UNION ALL FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
