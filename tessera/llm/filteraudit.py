@@ -24,7 +24,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import let, words
@@ -59,10 +58,11 @@ def mark_classes(docs: DataFrame, labels: DataFrame, part: str = "source", key:
     summed = rows.groupBy("digest", "part", "marks", "good", "toxic").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("without_id"),
-        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("least"),
+        F.min("id").alias("least"),
+        F.min_by("n", "id").alias("least_n"),
     )
-    first = F.min("least.id").over(Window.partitionBy("digest"))
-    firsts = F.col("without_id") + F.when(F.col("least.id") == F.col("first"), F.col("least.n")).otherwise(0)
+    first = F.min("least").over(Window.partitionBy("digest"))
+    firsts = F.col("without_id") + F.when(F.col("least") == F.col("first"), F.col("least_n")).otherwise(0)
     split = F.array(F.struct(F.col("marks").alias("marks"), firsts.alias("n")), F.struct((F.col("marks") + DUPLICATE).alias("marks"), (F.col("n") - firsts).alias("n")))
     return summed.withColumn("first", first).select("part", "good", "toxic", F.explode(split).alias("c")).where("c.n > 0").groupBy("part", "c.marks", "good", "toxic").agg(F.sum("c.n").alias("n"))
 
@@ -92,9 +92,9 @@ def lattice_steps(spark) -> DataFrame:
     for order in itertools.permutations(range(len(FILTERS))):
         applied = 0
         for step, f in enumerate(order, 1):
-            rows.append(("".join(FILTERS[x] for x in order), step, applied, f))
+            rows.append(f"('{''.join(FILTERS[x] for x in order)}', {step}, {applied}, {f})")
             applied |= 1 << f
-    return spark.createDataFrame(rows, T.StructType([T.StructField("filter_order", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("step", "applied", "filter")]]))
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(filter_order, step, applied, filter)")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
