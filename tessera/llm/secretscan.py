@@ -79,14 +79,14 @@ class Scanner:
         return 2 * sum(map(str.isalnum, own)) > len(own) and not known_value(s) and self.ratio(own) < MAX_RATIO and self.ratio(own.lower()) < MAX_RATIO
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, place of the kind, end) of the base spans."""
-        return [(m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(self.patterns) for m in p.finditer(text) if m.end(group) - m.start(group) >= least]
+        """(start, place of the kind, end) of the base spans, in order."""
+        return sorted((m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(self.patterns) for m in p.finditer(text) if m.end(group) - m.start(group) >= least)
 
     def spans(self, text: str, judged: dict[str, bool]) -> list[dict]:
         """All spans in order; ``judged`` remembers runs."""
         found = self.base(text)
         # base spans by start, with the furthest end so far: a run lies in one if it does in the furthest that starts before it
-        covers, reach, at = sorted(found), -1, 0
+        covers, reach, at = list(found), -1, 0
         for m in _RUN.finditer(text):
             while at < len(covers) and covers[at][0] <= m.start():
                 reach, at = max(reach, covers[at][2]), at + 1
