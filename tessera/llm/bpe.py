@@ -7,15 +7,19 @@ rows to ``merges`` and contracts each piece's leftmost minimum-rank pair, until
 token itself needs no contracting, and is looked up.  Decoding works on whole documents: their ids in order are
 joined to ``tokens`` and concatenated by ordered aggregation, at most ``ROWS_A_QUERY`` ids in a query.
 
-Pieces recur, so a worker remembers what it has encoded (``REMEMBERED`` entries; then it starts over):
+Pieces recur, so a worker remembers what it has encoded (``REMEMBERED`` bytes; then it starts over):
 the recursive query runs over pieces that are new to the worker.  With the pattern ``SPACED``, a text splits at
 every space that has no white space after it, which that pattern never crosses, so each batch goes through the
 pattern once for each different chunk; with another pattern, whole texts go through it.
 
 Pieces of over ``LONG`` bytes are first cut between bytes that no token holds side by side, where no
-merge can reach across; in what stays long, all places of a minimum-rank pair are contracted at once
-when the merged token begins or ends no token of lower rank (else one at a time), so that a run of one
-letter takes a few rounds.
+merge can reach across.  What stays long is encoded in windows of ``LONG`` bytes, whose joints are verified: a row of
+tokens is the encoding of its bytes if and only if each two neighbours are that of theirs, since the first merge that
+reached across a joint would do so in the two neighbours alone as well.  Around a joint that doesn't hold, a window
+between the middles of its neighbours is encoded, then wider ones, until all joints hold.  So time grows with a piece's
+length.  Where a joint doesn't hold within ``WIDEST`` bytes (a remainder that every window hands on to the next), the
+segment is read from left to right by the same rule: of each prefix, the last token is the one that fits the token
+before it.
 
 Defined results: a null text encodes as an empty one (0 tokens); special tokens' strings are ordinary
 text; repeated rows give equal results; texts are encoded whole; columns named as the results are
@@ -26,7 +30,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import threading
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +45,9 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 
-LONG, REMEMBERED, AT_ONCE, ROWS_A_QUERY = 64, 400_000, 40_000, 1 << 17
+LONG, WIDEST, REMEMBERED, ROWS_A_QUERY = 64, 1 << 10, 64 << 20, 1 << 17
+#: Bytes of an entry besides its own.
+ENTRY = 120
 
 #: Fixed value: the public pattern whose pieces never cross a space before a word.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,31 +72,6 @@ WITH RECURSIVE state(g, w, tok, live) AS (
 SELECT w, tok FROM state WHERE NOT live ORDER BY g
 """
 
-#: As above, with every place of the pair at once where ``plain`` allows it; of overlapping places, every other.
-ENCODE_LONG = """
-WITH RECURSIVE state(g, w, tok, live) AS (
-  SELECT g, w, tok, true FROM fresh
-  UNION ALL
-  SELECT * FROM (
-    WITH pairs AS (
-      SELECT g, w, tok, CASE WHEN lead(w) OVER place = w THEN lead(tok) OVER place END AS ntok, row_number() OVER place AS i
-      FROM state WHERE live WINDOW place AS (ORDER BY g)),
-    ranked AS (
-      SELECT g, w, tok, i, m.t
-      FROM pairs LEFT JOIN merges m ON m.k = (pairs.tok::BIGINT << 32) | pairs.ntok),
-    best AS (SELECT w, min(t) AS t, arg_min(i, (t, i)) FILTER (t IS NOT NULL) AS bi FROM ranked GROUP BY w),
-    places AS (
-      SELECT r.w, r.i, r.i - row_number() OVER (PARTITION BY r.w ORDER BY r.i) AS run
-      FROM ranked r JOIN best b ON r.w = b.w AND r.t = b.t LEFT JOIN plain ON plain.t = b.t
-      WHERE plain.t IS NOT NULL OR r.i = b.bi),
-    chosen AS (SELECT i FROM (SELECT i, row_number() OVER (PARTITION BY w, run ORDER BY i) AS k FROM places) WHERE k % 2 = 1)
-    SELECT r.g, r.w, CASE WHEN c.i IS NULL THEN r.tok ELSE b.t END AS tok, b.t IS NOT NULL AS live
-    FROM ranked r JOIN best b ON r.w = b.w
-    LEFT JOIN chosen c ON c.i = r.i
-    WHERE NOT EXISTS (SELECT 1 FROM chosen d WHERE d.i + 1 = r.i)))
-SELECT w, tok FROM state WHERE NOT live ORDER BY g
-"""
-
 #: Bytes are kept as the characters of their numbers, so that they can be joined as text.
 DECODE = """
 SELECT w, array_to_string(list(chars ORDER BY g), '') AS chars
@@ -111,7 +95,9 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, t = (np.array(x, np.int32) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 3
-        odd = set(l[t < l].tolist()) | set(r[t < r].tolist())
+        self.tokens = {r: t for t, r in ranks.items()}
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.size[list(ranks.values())] = list(map(len, ranks))
         self.beside = np.zeros((256, 256), bool)
         for token in ranks:
             if len(token) > 1:
@@ -120,17 +106,20 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         for name, columns in (
             ("merges", {"k": (l.astype(np.int64) << 32) + r, "t": t}),
-            ("plain", {"t": np.array(sorted(set(t.tolist()) - odd), np.int32)}),
             ("tokens", {"id": np.array(list(ranks.values()), np.int32), "chars": np.array([k.decode("latin-1") for k in ranks], object)}),
         ):
             self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        #: what tokens end in; made at its first use
+        self.ends: set[bytes] = set()
         self.forget()
 
     def forget(self) -> None:
-        #: ids of each piece
+        #: ids of each piece; whether two tokens beside each other stay as they are; about the bytes of both
         self.pieces: dict[bytes, bytes] = {}
+        self.fits: dict[tuple[int | None, int], bool] = {}
+        self.held = 0
 
     def _run(self, sql: str, sizes: np.ndarray, tok: np.ndarray) -> pa.Table:
         """``sql`` over token-position rows: ``sizes[w]`` rows of each piece w, in order."""
@@ -141,17 +130,26 @@ class Codec:
         finally:
             self.db.unregister("fresh")
 
-    def contract(self, pieces: list[bytes], sql: str = ENCODE) -> list[bytes]:
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for s in range(0, len(pieces), AT_ONCE):
-            part = pieces[s : s + AT_ONCE]
-            got = self._run(sql, np.array([len(x) for x in part]), self.byte[np.frombuffer(b"".join(part), np.uint8)])
+        for part in self._batches(pieces):
+            got = self._run(ENCODE, np.array([len(x) for x in part]), self.byte[np.frombuffer(b"".join(part), np.uint8)])
             raw = got["tok"].to_numpy().astype("<u4").tobytes()
             at = 4 * np.searchsorted(got["w"].to_numpy(), np.arange(len(part) + 1))
             out += [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return out
 
+    @staticmethod
+    def _batches(pieces: list[bytes]) -> Iterator[list[bytes]]:
+        """``pieces`` in batches of about ``ROWS_A_QUERY`` bytes."""
+        start = size = 0
+        for end, x in enumerate(pieces, 1):
+            size += len(x)
+            if size >= ROWS_A_QUERY or end == len(pieces):
+                yield pieces[start:end]
+                start, size = end, 0
+
     def _learn_pieces(self, pieces: set[bytes]) -> None:
         fresh = list(pieces - self.pieces.keys())
         known = {x: self.ranks[x].to_bytes(4, "little") for x in fresh if x in self.ranks}
@@ -159,17 +157,104 @@ class Codec:
         known.update(zip(short, self.contract(short), strict=True))
         if long := [x for x in fresh if x not in known]:
             cut = [self._segments(x) for x in long]
-            own = {s for segments in cut for s in segments}
+            own = list({s for segments in cut for s in segments})
             small, large = [s for s in own if len(s) <= LONG], [s for s in own if len(s) > LONG]
-            parts = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self.contract(large, ENCODE_LONG), strict=True))
+            parts = dict(zip(small, self.contract(small), strict=True)) | dict(zip(large, self._settled(large), strict=True))
             known.update({x: b"".join(map(parts.__getitem__, segments)) for x, segments in zip(long, cut, strict=True)})
         self.pieces.update(known)
+        self.held += sum(len(x) + len(ids) + ENTRY for x, ids in known.items())
 
     def _segments(self, piece: bytes) -> list[bytes]:
         b = np.frombuffer(piece, np.uint8)
         at = [0, *(np.flatnonzero(~self.beside[b[:-1], b[1:]]) + 1).tolist(), len(piece)]
         return [piece[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
+    def _settled(self, segments: list[bytes]) -> list[bytes]:
+        """The ids of long segments: windows, then wider ones around the joints that don't hold."""
+        if not segments:
+            return []
+        data, borders = b"".join(segments), np.cumsum([0, *map(len, segments)])
+
+        def encoded(edges: list[tuple[int, int]]) -> list[np.ndarray]:
+            of = [data[a:b] for a, b in edges]
+            different = list(dict.fromkeys(of))
+            ids = dict(zip(different, self.contract(different), strict=True))
+            return [np.frombuffer(ids[x], "<u4") for x in of]
+
+        cuts = np.unique(np.concatenate([borders, *[np.arange(a, b, LONG) for a, b in itertools.pairwise(borders.tolist())]]))
+        ids = np.concatenate(encoded(list(itertools.pairwise(cuts.tolist()))))
+        suspects, reach = np.setdiff1d(cuts, borders), LONG // 2
+        while True:
+            marks = np.concatenate(([0], np.cumsum(self.size[ids])))
+            at = np.searchsorted(marks, suspects)
+            bad = np.flatnonzero(~self._fit(ids[at - 1], ids[at]))
+            if not len(bad):
+                break
+            joint, at = suspects[bad], at[bad]
+            of = np.searchsorted(borders, joint, "right")
+            # from a token's start within reach to a token's end within reach, one token each at least
+            a = np.minimum(marks[np.searchsorted(marks, np.maximum(joint - reach, borders[of - 1]))], marks[at - 1])
+            b = np.maximum(marks[np.searchsorted(marks, np.minimum(joint + reach, borders[of]), "right") - 1], marks[at + 1])
+            edges: list[list[int]] = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if edges and x < edges[-1][1]:
+                    edges[-1][1] = max(edges[-1][1], y)
+                else:
+                    edges.append([x, y])
+            for i in sorted({int(np.searchsorted(borders, x, "right")) for x, y in edges if y - x > WIDEST}):
+                whole = borders[i - 1 : i + 1].tolist()
+                edges = sorted([*[e for e in edges if not whole[0] <= e[0] < whole[1]], whole])
+            new = encoded([e for e in edges if e[1] - e[0] <= WIDEST])
+            place, parts, k = 0, [], 0
+            for x, y in edges:
+                i, j = np.searchsorted(marks, [x, y])
+                parts.append(ids[place:i])
+                if y - x <= WIDEST:
+                    parts.append(new[k])
+                    k += 1
+                else:
+                    parts.append(self._read(data[x:y]))
+                place = j
+            ids = np.concatenate([*parts, ids[place:]])
+            suspects, reach = np.setdiff1d(np.array(edges).ravel(), borders), 2 * reach
+        return [ids[i:j].astype("<u4").tobytes() for i, j in itertools.pairwise(np.searchsorted(marks, borders).tolist())]
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each two tokens are the encoding of their bytes."""
+        both = list(zip(left.tolist(), right.tolist(), strict=True))
+        fresh = [p for p in dict.fromkeys(both) if p not in self.fits]
+        self.fits.update({p: ids == np.array(p, "<u4").tobytes() for p, ids in zip(fresh, self.contract([self.tokens[a] + self.tokens[b] for a, b in fresh]), strict=True)})
+        self.held += ENTRY * len(fresh)
+        return np.array([self.fits[p] for p in both], bool)
+
+    def _read(self, segment: bytes) -> np.ndarray:
+        """The ids of a segment, from the last tokens of its prefixes."""
+        if not self.ends:
+            self.ends = {t[i:] for t in self.ranks for i in range(len(t))}
+        last = np.full(len(segment) + 1, -1, np.int64)
+        for i in range(1, len(segment) + 1):
+            n = 1
+            while n <= i and (x := segment[i - n : i]) in self.ends:
+                if (t := self.ranks.get(x)) is not None and self._stays(int(last[i - n]) if n < i else None, t):
+                    last[i] = t
+                    break
+                n += 1
+        out, i = [], len(segment)
+        while i:
+            out.append(int(last[i]))
+            i -= self.size[out[-1]]
+        return np.array(out[::-1], "<u4")
+
+    def _stays(self, before: int | None, token: int) -> bool:
+        """As ``_fit``, for two tokens or a single one, contracted here."""
+        if (known := self.fits.get((before, token))) is None:
+            parts = [bytes([x]) for x in self.tokens.get(before, b"") + self.tokens[token]]
+            while (best := min(((self.ranks[x + y], i) for i, (x, y) in enumerate(itertools.pairwise(parts)) if x + y in self.ranks), default=None)) is not None:
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            known = self.fits[before, token] = [self.ranks[x] for x in parts] == [x for x in (before, token) if x is not None]
+            self.held += ENTRY
+        return known
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids stands for; a long sequence is decoded in slices."""
         of, slices, out = [], [], [[] for _ in ids]
@@ -203,7 +288,7 @@ class Codec:
         """Of each text, the ids (little-endian, 32 bits each)."""
         if not texts:
             return []
-        if len(self.pieces) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         if not self.spaced:
             return self._chunks(texts, "")

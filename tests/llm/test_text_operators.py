@@ -7,6 +7,7 @@ import struct
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,45 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(df.limit(0), ranks, P.PATTERN).count() == 0
 
 
+def test_long_pieces_equal_the_library():
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng, read = bpe.Codec(ranks, P.PATTERN), random.Random(4), []
+    by_reading = codec._read
+    codec._read = lambda segment: read.append(len(segment)) or by_reading(segment)
+    same = lambda t: codec.encode_texts([t])[0] == (np.array(lib.encode_ordinary(t), "<u4").tobytes(), t.encode())
+    for letters in ("ab", "ACGT", "aA", "етао", "日本語", "-=", "0123456789", "etaoinshrdlu", " \n", "éèê", "lL1I"):
+        for n in (65, 129, 700, 6001):
+            assert same("".join(rng.choice(letters) for _ in range(n)))
+            assert same((letters * n)[:n])
+    words = [t.decode() for t in ranks if t.isascii() and t.decode().isalpha()]
+    assert same("".join(rng.choice(words) for _ in range(5000)))
+    assert not read
+    assert same(" \xa0" * 10_000) and read  # every window hands a remainder on: read from left to right
+    codec._settled = lambda segments: [by_reading(s).tobytes() for s in segments]
+    codec.forget()
+    for letters in ("ab", "ACGT", "日本語", "etaoinshrdlu"):
+        assert same("".join(rng.choice(letters) for _ in range(3000)))
+
+
+def test_pieces_of_millions_of_letters(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = {1: "abcd" * 1_000_000, 2: "".join(rng.choice("ACGT") for _ in range(1_000_000))}
+    got = bpe.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ranks, P.PATTERN, digests_only=True).collect()
+    for r in got:
+        ids = np.array(lib.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
+        assert r["n_tokens"] == len(ids) // 4 and r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 # Personal data
 
 
