@@ -4,11 +4,14 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import arrow as A
 from tessera.functions import text as X
 from tessera.operators import retrieval as R
+from tessera.operators import vectorindex
+from tessera.operators.vectorindex import VectorIndex
 from tests.test_operators import _embedding
 
 
@@ -42,9 +45,13 @@ def _brute(queries, docs, lexical, most, same_space):
     return out
 
 
-def test_hybrid_with_vectors(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUERIES_A_TASK", 3)
-    monkeypatch.setattr(R, "CHUNKS_A_TASK", 20)
+def _chunk_index(spark, d, path, embed):
+    return VectorIndex(spark, path, ["doc_id", "part"]).append(R.chunks(d).select("doc_id", "part", embed(F.col("text")).alias("vector")))
+
+
+def test_hybrid_with_vectors(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectorindex, "QUERIES", 3)
+    monkeypatch.setattr(vectorindex, "SHARD", 20)
     monkeypatch.setattr(R, "CANDIDATES", 4)
     rng = random.Random(51)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(60)]
@@ -54,9 +61,55 @@ def test_hybrid_with_vectors(spark, monkeypatch):
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
     ranked = R.top(R.bm25(R.chunks(d), R.query_terms(q), ["doc_id", "part"]), ["item_id"], [F.desc("rank"), F.asc("doc_id"), F.asc("part")], 4).collect()
     lexical = {(r.item_id, r.doc_id, r.part): 1 / (1 + abs(r["rank"])) for r in ranked}
+    embed = lambda c: A.hash_embedding(X.embedded_tokens(c))
+    index = _chunk_index(spark, d, f"{tmp_path}/v", embed)
     for same in (True, False):
-        got = R.hybrid_semantic_topk(q, d, lambda c: A.hash_embedding(X.embedded_tokens(c)), 5, same).collect()
+        got = R.hybrid_semantic_topk(q, d, embed, index, 5, same, nearest=80, probe=None).collect()
         want = _brute(queries, docs, lexical, 5, same)
         assert len(got) == len(want)
         for a, b in zip(sorted((r.item_id, r.place, r.doc_id, r.part, r.score) for r in got), sorted((i, p, doc, part, s) for i, doc, part, s, p in want), strict=True):
             assert a[:2] == b[:2] and math.isclose(a[4], b[4], abs_tol=2e-4)
+
+
+def test_probed_lists_give_nearly_all_top_fives(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    d, q = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    embed = lambda c: A.hash_embedding(X.embedded_tokens(c))
+    index = _chunk_index(spark, d, f"{tmp_path}/v", embed)
+    by_item = lambda rows: {i: tuple((r.doc_id, r.score) for r in sorted((r for r in rows if r.item_id == i), key=lambda r: r.place)) for i in {r.item_id for r in rows}}
+    got = by_item(R.hybrid_semantic_topk(q, d, embed, index).collect())
+    want = by_item(R.hybrid_semantic_topk(q, d, embed, index, nearest=100_000, probe=None).collect())  # every chunk is scored
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else list(map(float, v))) for i, v in rows], "vec_id long, vector array<double>")
+
+
+def test_vector_index_against_all_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectorindex, "SAMPLE", 200)
+    monkeypatch.setattr(vectorindex, "SHARD", 40)
+    monkeypatch.setattr(vectorindex, "QUERIES", 7)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 24))
+    made = np.concatenate([centres[rng.integers(0, 12, 500)] + 0.4 * rng.normal(size=(500, 24)), centres[:1] + 0.05 * rng.normal(size=(300, 24))])  # one crowded place
+    index = VectorIndex(spark, f"{tmp_path}/v", ["vec_id"])
+    index.append(_vectors(spark, enumerate(made[:600])))
+    index.append(_vectors(spark, [*enumerate(made[600:], 600), (9000, None), (9001, [0] * 24), (9002, [float("nan")] * 24), (9003, [float("inf")] * 24)]))
+    assert index.status() == {"ready": True, "version": 2, "segments": 2, "vectors": 800, "lists": 24}
+    asked = made[rng.integers(0, 800, 20)] + 0.1 * rng.normal(size=(20, 24))
+    q = _vectors(spark, enumerate(asked)).withColumnRenamed("vec_id", "item_id")
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    near = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ unit.T
+    want = {(i, int(j)) for i in range(20) for j in np.argsort(-near[i], kind="stable")[:10]}
+    got = index.exhaustive(q, 10).collect()
+    assert {(r.item_id, r.vec_id) for r in got} == want and all(math.isclose(r.cosine, near[r.item_id, r.vec_id], abs_tol=1e-9) for r in got)
+    probed = {(r.item_id, r.vec_id) for r in index.search(q, 10, probe=6).collect()}
+    assert len(probed & want) >= 0.9 * len(want) and abs(index.recall(q, 10, probe=6) - len(probed & want) / len(want)) < 1e-9
+    again = VectorIndex(spark, f"{tmp_path}/v")
+    assert again.key == ["vec_id"] and again.search(q, 10, probe=6).count() == 200
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    index = VectorIndex(spark, f"{tmp_path}/v", ["vec_id"]).append(_vectors(spark, [(1, None)]))
+    assert index.status()["vectors"] == 0 and index.search(_vectors(spark, [(1, [1.0])]).withColumnRenamed("vec_id", "item_id"), 3).count() == 0
