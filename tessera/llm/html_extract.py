@@ -2,10 +2,12 @@
 
 Paragraphs earn points for their length and commas; a paragraph's points go to its parent whole, to the next
 ancestor by half, and on by a third a level; a container's points are discounted by its link density.  The best
-container and those of its siblings that score well are kept, and their blocks are the text.  Points are handed up
+container and those of its siblings that score well, are headings or hold unmarked prose are kept, and their blocks are
+the text; lists of links are menus but inside a container that is marked as the article.  Points are handed up
 in one pass, so a page takes time and memory in proportion to its own length.
 
-Elements that are never the article (menus, headers, footers, forms, scripts) are left out.  Words in class, id and
+Elements that are never the article (menus, headers, footers, forms, scripts; also ``math``, ``object`` and ``template``,
+whose content isn't read text) are left out.  Words in class, id and
 role that speak against a container weigh against how much of the page's unlinked text it holds: such a container is
 left out unless it also has a word that speaks for it and holds ``SOME`` of that text (not so for readers' comments),
 or it holds ``MOST`` of it and no other container that is marked as the article holds ``RIVAL``.
@@ -18,6 +20,7 @@ existing output column is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from html import unescape
@@ -177,7 +180,12 @@ def _without_marked(top: Node) -> list[Node]:
         up = places[id(order[i].parent)]
         last[up] = max(last[up], last[i])
     marked = lambda node: node.marks and node.tag not in ("article", "main", "body", "html") and NOT_ARTICLE.search(node.marks)
-    rivals = [i for i, node in enumerate(order) if _is_article(node) and not marked(node) and free(node) >= RIVAL * total]
+    rival = [int(_is_article(node) and not marked(node) and free(node) >= RIVAL * total) for node in order]
+    before = [0, *itertools.accumulate(rival)]  # rivals in front of a place
+    above = [0] * len(order)  # rivals that a node lies in
+    for i in range(1, len(order)):
+        up = places[id(order[i].parent)]
+        above[i] = above[up] + rival[up]
     cut = set()
     for i, node in enumerate(order):
         if not marked(node):
@@ -185,7 +193,7 @@ def _without_marked(top: Node) -> list[Node]:
         share = free(node) / total
         if share >= SOME and _is_article(node) and not COMMENTS.search(node.marks):
             continue
-        outside = any(not (r <= i <= last[r]) and not (i <= r <= last[i]) for r in rivals) if share > MOST else True
+        outside = before[-1] - (before[last[i] + 1] - before[i]) - above[i] > 0 if share > MOST else True
         if outside:
             cut.add(id(node))
     if cut:
@@ -221,8 +229,12 @@ def _score(top: Node) -> list[Node]:
     return order
 
 
-def _blocks(roots: list[Node]) -> list[str]:
-    """The text of each block under ``roots``, in page order."""
+END = Node("", None)
+
+
+def _blocks(roots: list[Node], article: Node | None = None) -> list[str]:
+    """The text of each block under ``roots``, in page order.  Lists of links are menus, but for those of ``article``: its
+    references and glossaries are part of it."""
     found: list[str] = []
     text: list[str] = []
 
@@ -234,18 +246,27 @@ def _blocks(roots: list[Node]) -> list[str]:
                 found.append(s)
 
     stack: list[Node | str | None] = list(reversed(roots))
+    inside = False
     while stack:
         k = stack.pop()
         if k is None:
             flush()
+        elif k is END:
+            flush()
+            inside = False
         elif isinstance(k, str):
             text.append(k)
+        elif k is article:
+            flush()
+            inside = True
+            stack.append(END)
+            stack.extend(reversed(k.kids))
         elif k.tag == "br":
             text.append(" ")
         elif k.tag in INLINE:
             # an inline element left open around blocks has none of its own
             stack.extend(reversed(k.kids))
-        elif k.tag in ("ul", "ol", "dl") and k.size and k.links / k.size > 0.5:
+        elif k.tag in ("ul", "ol", "dl") and k.size and k.links / k.size > 0.5 and not inside:
             flush()
         else:
             flush()
@@ -255,6 +276,15 @@ def _blocks(roots: list[Node]) -> list[str]:
     return found
 
 
+#: Elements beside the best container that may belong to the article.
+HEADINGS, SECTIONS = ("h1", "h2", "h3"), ("p", "div", "section", "blockquote", "pre", "table", "figure")
+
+
+def _has_prose(node: Node) -> bool:
+    """Whether a sibling has a paragraph's text, few links and no marks."""
+    return not node.marks and node.size >= LEAST_POINTS and node.links < 0.25 * node.size
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line."""
     if not html:
@@ -266,11 +296,9 @@ def main_text(html: str | None) -> str:
     roots = [best]
     if best.parent is not None:
         least = 0.2 * best.points
-        roots = []
-        for k in best.parent.kids:
-            if k is best or not isinstance(k, str) and (k.points >= least or k.tag == "p" and k.size > 80 and k.links < 0.25 * k.size):
-                roots.append(k)
-    return "\n".join(_blocks(roots))
+        # beside the best: what has points, headings, and sections with prose of their own that nothing marks
+        roots = [k for k in best.parent.kids if k is best or not isinstance(k, str) and (k.points >= least or k.tag in HEADINGS or k.tag in SECTIONS and _has_prose(k))]
+    return "\n".join(_blocks(roots, best if _is_article(best) else None))
 
 
 @F.pandas_udf(T.StringType())

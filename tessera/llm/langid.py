@@ -2,8 +2,8 @@
 
 A text's vector is the mean of the embeddings of its byte n-grams (hashed into buckets); a linear
 softmax turns it into language probabilities.  Both layers are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows, of any length; the probabilities are tempered on rows kept out of the
-training, and the rejection level is the one that keeps ``KEPT_SHARE`` of them.
+in numpy on a bounded sample of labelled rows, whose n-grams the executors count over the whole texts; the probabilities
+are tempered on rows kept out of the training, and the rejection level is the one that keeps ``KEPT_SHARE`` of them.
 
 As both layers are linear, the trained model folds into one (buckets x languages) matrix, so predicting
 costs one gather for each n-gram, whatever the embedding's size.
@@ -16,6 +16,7 @@ the output's names are replaced, others pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ SLICE = 1 << 20
 PAD = b" " * 4
 LETTER = regex.compile(r"\p{L}")
 
-#: The fit's bounds: labelled rows, and the characters taken from each, from the middle of a longer text.
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 2000, 1 << 14
+#: The fit's bound: labelled rows.
+MAX_TRAIN_ROWS = 2000
 
 
 def _hashes(a: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
@@ -120,26 +121,31 @@ class Model:
                 out[full, c] += got[::2]
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
-    """Train on whole texts and on random snippets of them, so that short texts are known too."""
+def counted(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-gram shares of a whole text, and of random snippets of it, so that short texts are known too."""
+    b = _bytes(text)
+    rng = np.random.default_rng(zlib.crc32(b))
+    out = [shares(b)]
+    for _ in range(SNIPPETS):
+        n = int(rng.integers(15, 200))
+        s = int(rng.integers(0, max(1, len(b) - n)))
+        out.append(shares(b[s : s + n]))
+    return out
+
+
+def fit(samples: list[list[tuple[np.ndarray, np.ndarray]]], langs: list[str], seed: int = 7) -> Model | None:
+    """Train on counted texts and their snippets."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    held = rng.random(len(texts)) < 0.2
-    if held.all() or not held.any() or len(texts) < 20:
+    held = rng.random(len(samples)) < 0.2
+    if held.all() or not held.any() or len(samples) < 20:
         held[:] = False
-    rows, y, kept, kept_y = [], [], [], []
-    for t, lang, out in zip(texts, langs, held, strict=True):
-        b, k = _bytes(t), names.index(lang)
-        pieces = [b]
-        for _ in range(SNIPPETS):
-            n = int(rng.integers(15, 200))
-            s = int(rng.integers(0, max(1, len(b) - n)))
-            pieces.append(b[s : s + n])
-        (kept if out else rows).extend(pieces)
-        (kept_y if out else y).extend([k] * len(pieces))
-    x = [shares(p) for p in rows]
+    x, y, kept, kept_y = [], [], [], []
+    for pieces, lang, out in zip(samples, langs, held, strict=True):
+        (kept if out else x).extend(pieces)
+        (kept_y if out else y).extend([names.index(lang)] * len(pieces))
     y = np.array(y)
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32)
@@ -160,7 +166,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             e -= rate * 20 * xb.T @ back
     model = Model(names, e @ w, bias.astype(float))
     if kept:
-        z = model.logits(kept)
+        z = np.concatenate([_dense(kept[i : i + BATCH]) @ model.matrix for i in range(0, len(kept), BATCH)]) + model.bias
         truth = np.array(kept_y)
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean()
         model.heat = float(min(np.geomspace(0.05, 20, 60), key=loss))
@@ -168,16 +174,33 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     return model
 
 
+PIECES = T.ArrayType(T.StructType([T.StructField("found", T.BinaryType()), T.StructField("share", T.BinaryType())]))
+
+
+@F.pandas_udf(PIECES)
+def _counted(texts: pd.Series) -> pd.Series:
+    return pd.Series([[{"found": f.astype("<u2").tobytes(), "share": s.astype("<f4").tobytes()} for f, s in counted(t)] for t in texts], dtype=object)
+
+
 def train(df: DataFrame, text: str, lang: str, key: str, learn: Column, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """Fit on the ``max_rows`` labelled rows whose keys hash lowest, an even sample of all that ``learn`` admits, whatever
-    their length; of a text of over ``MAX_TRAIN_CHARS`` characters the middle ones are taken."""
-    usable = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    last = usable.select(F.xxhash64(key).alias("_h"), key).orderBy("_h", key).limit(max_rows).agg(F.max("_h")).collect()[0][0]
+    their length; repeated rows count once.  The driver gets what the executors have counted: at most ``BUCKETS`` shares a row,
+    besides its snippets'."""
+    usable = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"), F.col(lang).cast("string").alias("_l"), F.col(text).alias("_t"))
+    last = usable.select("_h").orderBy("_h").limit(max_rows).agg(F.max("_h")).first()[0]
     if last is None:
         return None
-    middle = F.substring(text, F.greatest(F.lit(1), ((F.length(text) - MAX_TRAIN_CHARS) / 2).cast("int") + 1), F.lit(MAX_TRAIN_CHARS))
-    got = usable.where(F.xxhash64(key) <= last).select(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"), middle.alias("_t"), F.col(lang).cast("string").alias("_l")).orderBy("_h", "_k", "_t", "_l").limit(max_rows).collect()
-    return fit([r["_t"] for r in got], [r["_l"] for r in got])
+    ship(df.sparkSession)
+    few = usable.where(F.col("_h") <= last).withColumn("_d", F.xxhash64("_t"))
+    own = ["_h", "_k", "_l", "_d"]
+    chosen = few.select(own).distinct().orderBy(own).limit(max_rows)
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    rows = few.alias("a").join(F.broadcast(chosen).alias("b"), same, "left_semi").dropDuplicates(own).select("_h", "_k", "_d", "_l", _counted("_t").alias("pieces"))  # max_rows rows
+    got = sorted(rows.collect(), key=lambda r: (r["_h"], str(r["_k"]), r["_l"], r["_d"]))
+    decoded = [[(np.frombuffer(p["found"], "<u2"), np.frombuffer(p["share"], "<f4")) for p in r["pieces"]] for r in got]
+    return fit(decoded, [r["_l"] for r in got])
 
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -19,6 +19,27 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # HTML
 
 
+PARAGRAPH = "<p>" + "A long paragraph, with commas, and words, that tells the story. " * 4 + "</p>"
+
+
+def test_lists_headings_and_short_sections_of_the_article():
+    page = f"<body><nav><a href=x>Home</a></nav><article>{PARAGRAPH * 3}<h2>References</h2><ol><li><a href=1>First reference, of a book</a><li><a href=2>Second reference</a></ol><dl><dt><a href=g>Term</a><dd><a href=h>Meaning</a></dl></article><ul><li><a href=q>More</a></ul></body>"
+    assert html_extract.main_text(page).split("\n")[3:] == ["References", "First reference, of a book", "Second reference", "Term", "Meaning"]
+    page = f"<body><div><h1>The title</h1><div>{PARAGRAPH * 3}</div><div>A short closing section, without a mark of its own.</div><div class=related>Read this, too, as it is related to the page.</div><ul><li><a href=q>More</a></ul></div></body>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[0] == "The title" and got[-1] == "A short closing section, without a mark of its own." and len(got) == 5
+
+
+def test_marked_containers_take_linear_time():
+    took = []
+    for n in (2000, 8000):
+        page = "<body>" + "<div class=content>" * n + PARAGRAPH + "<div class=widget>" * n + PARAGRAPH + "</body>"
+        start = time.process_time()
+        html_extract.main_text(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_article_without_surroundings():
     html = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header>Site head</header>
     <nav><ul><li><a href=/a>Home</a></ul></nav><div class="cookie-notice">We use cookies, really, very many cookies, on this site.</div>
@@ -114,7 +135,7 @@ LETTERS = {"aa": "abcdeef", "bb": "hijklmo", "cc": "pqrstuv"}
 def test_held_out_languages():
     rng = random.Random(3)
     rows = [(_speech(rng, a, rng.randint(5, 60)), lang) for lang, a in LETTERS.items() for _ in range(60)]
-    model = langid.fit([r[0] for r in rows], [r[1] for r in rows])
+    model = langid.fit([langid.counted(r[0]) for r in rows], [r[1] for r in rows])
     fresh = [(_speech(rng, a, 20), lang) for lang, a in LETTERS.items() for _ in range(30)]
     z = model.logits([t.encode() for t, _ in fresh])
     assert sum(model.langs[i] == lang for i, (_, lang) in zip(z.argmax(axis=1), fresh, strict=True)) >= 88
