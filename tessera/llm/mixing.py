@@ -17,10 +17,12 @@ in proportion to the weights: documents of a domain that is over its share get r
 that is under it rates above 1, however much it has to grow.  Asked and reached totals are returned with the rates;
 weights that no rates reach are missed by what the two show.
 
-The classifier is multinomial naive Bayes on hashed words, each domain's word distribution drawn towards the
-pooled one by ``PRIOR_TOKENS`` words, so that a domain of few labels decides little; log-odds are divided by a
-heat, as words of a text depend on each other and undivided odds would make every posterior 0 or 1.  The heat is the
-one of ``HEATS`` with the least log loss on every ``HOLDOUT``th labelled document, which are kept out of the training.
+The classifier is a softmax regression on telling features.  A text's features are its different words (letters alone) and
+its different runs of marks; of those that ``LEAST_DOCS`` training documents have, the ``MOST_FEATURES`` whose presence depends
+most on the domain, by the likelihood ratio and from ``LEAST_RATIO`` on, are told by (so a rare rude word counts, and
+ordinary words don't).  It is fitted on the driver, on the telling features of at most ``max_rows`` labelled documents.
+The log-odds are divided by a heat, the one of ``HEATS`` with the least log loss on every ``HOLDOUT``th labelled document,
+which are kept out of the training; an optimum at either end of ``HEATS`` is logged as a warning.
 
 Defined results: a null or empty text has 0 tokens, the prior as posterior, and rate 1; with no labelled
 row the posterior is uniform; of heats of equal loss the greatest is taken; a target for a domain that nothing
@@ -31,10 +33,12 @@ replaced.
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +50,9 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.88, 0.08, 0.04)
 #: The pipeline's, after quality rules have taken the poor documents.
 PIPELINE_WEIGHTS = (0.89, 0.03, 0.08)
-BUCKETS, PRIOR_TOKENS = 1 << 11, 20_000
-HEATS, HOLDOUT = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0), 5
+MOST_FEATURES, LEAST_DOCS, LEAST_RATIO = 512, 5, 25.0
+STEPS, PENALTY = 400, 1.0
+HEATS, HOLDOUT = (0.125, 0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.4, 1.7, 2.0, 2.8, 4.0, 8.0, 16.0, 32.0), 5
 #: The fit's bound: labelled documents, those whose ids hash lowest.
 MAX_TRAIN_ROWS = 4000
 ROUNDS, TOLERANCE, RIDGE = 60, 1e-4, 1e-5
@@ -58,66 +63,101 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).when(quality == 1, 0)
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+def features(text: Column) -> Column:
+    """The different words of a text, lower-case letters alone, and its different runs of what is neither letter, digit nor
+    space."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_remove(F.array_union(F.split(lower, r"[^\p{L}]+"), F.split(lower, r"[\p{L}\p{N}\x20\x09-\x0D]+")), "")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log priors and log word-bucket probabilities of the domains; the heat, and its log loss on the holdout (null
-    without one)."""
+    """Log-odds of the domains without any telling feature; what each telling feature adds to them; the heat, and its log loss
+    on the holdout (null without one)."""
 
     prior: list[float]
-    table: list[list[float]]
-    heat: float = HEATS[-1]
+    odds: dict[str, list[float]]
+    heat: float = 1.0
     loss: float | None = None
 
 
-def _odds(model: Model, buckets: Column) -> Column:
-    """Each domain's undivided log-odds against the first by the words' buckets, priors left out."""
-    width = len(DOMAINS)
-    table = F.array(*[F.lit(model.table[d][b] - model.table[0][b]) for d in range(1, width) for b in range(BUCKETS)])
-    of = lambda d: F.aggregate(buckets, F.lit(0.0), lambda a, x: a + F.get(table, x + d * BUCKETS))
-    return F.array(F.lit(0.0), *[of(d) for d in range(width - 1)])
+def _odds(model: Model, found: Column) -> Column:
+    """Each domain's undivided log-odds by the telling features among ``found``."""
+    zero = F.array(*[F.lit(0.0)] * len(DOMAINS))
+    if not model.odds:
+        return zero
+    table = F.from_json(F.lit(json.dumps(model.odds)), "map<string, array<double>>")  # a constant of MOST_FEATURES entries
+    telling = F.array_intersect(F.array_sort(F.map_keys(table)), found)  # in the keys' order: sums are alike for every order of words
+    return F.aggregate(telling, zero, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
 
 
 def _softmax(model: Model, odds: Column, heat: float) -> Column:
     prior = F.array(*map(F.lit, model.prior))
-    logits = F.zip_with(prior, odds, lambda p, o: p + o / heat)
+    logits = F.zip_with(prior, odds, lambda p, o: (p + o) / heat)
     return let(logits, lambda z: let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))
 
 
+def fit_softmax(rows: list[list[int]], y: list[int], width: int, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bias, weights) of a softmax regression on ``rows``, the places of each one's features, by accelerated gradient
+    descent; the weights' squares are held down by ``PENALTY``."""
+    x = np.zeros((len(rows), width + 1))
+    x[:, 0] = 1
+    for i, found in enumerate(rows):
+        x[i, [f + 1 for f in found]] = 1
+    truth = np.eye(domains)[y]
+    keep = np.full((width + 1, 1), PENALTY / len(rows))
+    keep[0] = 1e-6
+    v = np.ones(width + 1)
+    for _ in range(30):  # the greatest curvature
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    step = 1 / (0.5 * np.linalg.norm(x @ v) ** 2 / len(rows) + keep.max())
+    w = ahead = np.zeros((width + 1, domains))
+    for i in range(STEPS):
+        z = x @ ahead
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = ahead - step * (x.T @ (p - truth) / len(rows) + keep * ahead)
+        w, ahead = new, new + i / (i + 3) * (new - w)
+    return w[0], w[1:]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """The classifier, from at most ``max_rows`` labelled documents."""
     known = labels.select(F.col(key), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where(F.col(key).isNotNull() & F.col("domain").isNotNull())
     known = known.groupBy(key).agg(F.max("domain").alias("domain")).orderBy(F.xxhash64(key), key).limit(max_rows)
     sample = docs.select(key, text).join(F.broadcast(known), key)  # max_rows rows
-    sample = stored(sample.select("domain", F.transform(words(F.col(text)), _bucket).alias("w"), (F.pmod(F.xxhash64(key, F.lit(2)), F.lit(HOLDOUT)) == 0).alias("held")), "labelled")
-    counts = sample.where("not held").select("domain", F.explode(F.array_append("w", F.lit(-1))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()  # domains x (buckets + 1)
-    rows, seen = [[0.0] * BUCKETS for _ in DOMAINS], [1.0] * len(DOMAINS)
-    for r in counts:
-        if r["bucket"] < 0:
-            seen[r["domain"]] += r["n"]
-        else:
-            rows[r["domain"]][r["bucket"]] += r["n"]
-    pooled = [1.0 + sum(col) for col in zip(*rows, strict=True)]
-    whole = sum(pooled)
-    prior = [math.log(s / sum(seen)) for s in seen]
-    model = Model(prior, [[math.log((x + PRIOR_TOKENS * p / whole) / (sum(row) + PRIOR_TOKENS)) for x, p in zip(row, pooled, strict=True)] for row in rows])
-    odds = sample.where("held").select("domain", _odds(model, F.col("w")).alias("odds"))
+    sample = stored(sample.select("domain", features(F.col(text)).alias("f"), (F.pmod(F.xxhash64(key, F.lit(2)), F.lit(HOLDOUT)) == 0).alias("held")), "labelled")
+    learnt, width = sample.where("not held"), range(len(DOMAINS))
+    seen = [0] * len(DOMAINS)
+    for r in learnt.groupBy("domain").count().collect():  # domains
+        seen[r["domain"]] = r["count"]
+    prior = [math.log((n + 1) / (sum(seen) + len(DOMAINS))) for n in seen]
+    counts = learnt.select("domain", F.explode("f").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{d}") for d in width])
+    whole, every = sum((F.col(f"n{d}") for d in width), F.lit(0)), float(max(1, sum(seen)))
+    part = lambda n, of, all_: F.when(n > 0, n * F.log(n / F.lit(float(max(1, of))) / (all_ / F.lit(every)))).otherwise(0.0)
+    ratio = 2 * sum((part(F.col(f"n{d}"), seen[d], whole) + part(F.lit(seen[d]) - F.col(f"n{d}"), seen[d], F.lit(every) - whole) for d in width), F.lit(0.0))
+    telling = counts.where(whole >= LEAST_DOCS).withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(MOST_FEATURES).collect()
+    model = Model(prior, {})
+    if telling:
+        names = sorted(r["word"] for r in telling)
+        keys = F.from_json(F.lit(json.dumps(names)), "array<string>")  # a constant
+        rows = learnt.select("domain", F.array_sort(F.transform(F.array_intersect(keys, "f"), lambda w: F.array_position(keys, w).cast("int") - 1)).alias("at")).orderBy("at", "domain").collect()  # max_rows
+        bias, weights = fit_softmax([r["at"] for r in rows], [r["domain"] for r in rows], len(names), len(DOMAINS))
+        model = Model(bias.tolist(), dict(zip(names, weights.tolist(), strict=True)))
+    odds = sample.where("held").select("domain", _odds(model, F.col("f")).alias("odds"))
     losses = odds.agg(*[F.avg(-F.log(F.greatest(F.get(_softmax(model, F.col("odds"), h), F.col("domain")), F.lit(1e-12)))) for h in HEATS]).first()
     if losses[0] is None:
         return model
     loss, heat = min((x, -h) for x, h in zip(losses, HEATS, strict=True))
-    logging.getLogger(__name__).info("log loss %.4f on held-out documents at heat %g", loss, -heat)
+    log = logging.getLogger(__name__)
+    (log.warning if -heat in HEATS[:: len(HEATS) - 1] and model.odds else log.info)("log loss %.4f on held-out documents at heat %g of %g to %g", loss, -heat, HEATS[0], HEATS[-1])
     return replace(model, heat=-heat, loss=loss)
 
 
 def posteriors(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``tokens`` (words) and ``posterior`` (array over DOMAINS)."""
-    score = lambda w: F.struct(F.size(w).cast("long").alias("tokens"), _softmax(model, _odds(model, w), model.heat).alias("posterior"))
-    got = df.withColumn("_mix", let(F.transform(words(F.col(text)), _bucket), score))
-    return got.withColumns({"tokens": F.col("_mix.tokens"), "posterior": F.col("_mix.posterior")}).drop("_mix")
+    return df.withColumns({"tokens": F.size(words(F.col(text))).cast("long"), "posterior": _softmax(model, _odds(model, features(F.col(text))), model.heat)})
 
 
 def targets_of_total(totals: list[float], weights=WEIGHTS) -> list[float]:
@@ -204,5 +244,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     model = train(docs, labels)
     scored = stored(posteriors(docs, model).drop("text"), "posteriors")
     rated, asked, reached = fit_rates(scored)
+    mass = rated.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("rate")), F.sum(F.col("tokens") * F.col("rate") * F.col("rate"))).first()
+    effective = float(mass[1]) ** 2 / float(mass[0] * mass[2]) if mass[0] and mass[2] else 1.0
     report = [F.array(*map(F.lit, x)).alias(n) for x, n in ((asked, "asked_tokens"), (reached, "reached_tokens"))]
-    return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), *report)
+    return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), *report, F.lit(effective).alias("effective_share"))

@@ -1,6 +1,7 @@
 """Sharding, near-duplicates, vectors and mixing against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -368,6 +369,27 @@ def test_heat_has_the_least_held_out_loss(spark):
     assert all(model.loss <= loss(h) + 1e-9 for h in mixing.HEATS[::4])
 
 
+def test_posteriors_equal_the_regression(spark):
+    """Features, sums and softmax by hand, for texts with nulls, ties of case, marks and repeated words."""
+    docs, labels = _mixed_corpus(random.Random(12))
+    docs += [(-1, None), (-2, ""), (-3, "### " + " ".join(w.upper() for w in docs[0][1].split()) + " !!"), (-4, docs[0][1] * 50)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = mixing.train(df, known)
+    assert model.odds
+    for r in mixing.posteriors(df, model).collect():
+        low = (r.text or "").lower()
+        found = set(re.split(r"[\W\d_]+", low)) | set(re.split(r"[^\W_]+|[ \t\n\x0b\f\r]+", low))
+        z = np.array(model.prior) + sum((np.array(model.odds[f]) for f in found if f in model.odds), np.zeros(3))
+        p = np.exp(z / model.heat - (z / model.heat).max())
+        assert r.posterior == pytest.approx((p / p.sum()).tolist(), abs=1e-9) and r.tokens == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+
+
+def test_mixing_leaves_out_no_more_than_asked(spark):
+    rows = mixing.op7_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert rows[0].reached_tokens == pytest.approx(rows[0].asked_tokens, rel=2e-2) and rows[0].effective_share > 0.8
+    assert sum(r.copies == 0 for r in rows) < 0.15 * len(rows)
+
+
 def test_mixing_replaces_columns_of_its_results(spark):
     docs, labels = _mixed_corpus(random.Random(10))
     df = spark.createDataFrame([(*d, -1, "x", "y") for d in docs[:50] + docs[:2]], "doc_id long, text string, tokens int, posterior string, rate string")
