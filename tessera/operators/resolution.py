@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.ship import ship
+from tessera.shared import checkpointed
 
 
 def unique_match(left: DataFrame, variants: Column, right: DataFrame, key: str, name: str, target: str) -> DataFrame:
@@ -51,23 +50,41 @@ def title_candidates(plans: DataFrame, facts: DataFrame, by: list[str], least: f
 
 
 def allocate(candidates: DataFrame, capacity: str = "capacity") -> DataFrame:
-    """(owner, plan, fact, score): best scores first, each fact once, each plan up to its capacity.
+    """(owner, plan, fact, score) of candidates (owner, plan, fact, score, capacity): best scores first, then by fact and plan,
+    each fact once, each plan up to its capacity.
 
-    The order decides, so an owner's candidates are taken in one task; they are bounded by the owner's plans and facts.
+    Taken in rounds: a candidate is taken when it is its fact's best that is left and among as many of its plan's best that
+    are left as the plan has room for.  Nothing that comes before it in the order can change that, so the rounds give what
+    the order gives.  A round sorts candidates by fact and by plan, and no owner has to fit a task; the best of all that
+    are left is taken in each, so the rounds end.  Each is a table in the shared folder.
     """
-    ship(candidates.sparkSession)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken, rows = {}, set(), []
-        for r in pdf.sort_values(["score", "fact", "plan"], ascending=[False, True, True]).itertuples():
-            room = left.setdefault(r.plan, getattr(r, capacity))
-            if r.fact not in taken and room > 0:
-                left[r.plan] = room - 1
-                taken.add(r.fact)
-                rows.append((r.owner, r.plan, r.fact, r.score))
-        return pd.DataFrame(rows, columns=["owner", "plan", "fact", "score"])
-
-    return candidates.groupBy("owner").applyInPandas(greedy, "owner long, plan long, fact long, score double")
+    left = candidates.select("owner", "plan", "fact", "score", F.col(capacity).cast("long").alias("room")).where("room > 0")
+    taken = None
+    while True:
+        by_fact, by_plan = Window.partitionBy("owner", "fact"), Window.partitionBy("owner", "plan")
+        ranked = left.withColumn("first", F.row_number().over(by_fact.orderBy(F.desc("score"), "plan")) == 1)
+        ranked = ranked.withColumn("take", F.col("first") & (F.row_number().over(by_plan.orderBy(F.desc("score"), "fact")) <= F.col("room")))
+        ranked = ranked.withColumn("used", F.sum(F.col("take").cast("long")).over(by_plan)).withColumn("gone", F.max("take").over(by_fact))
+        step = checkpointed(ranked.where("take OR (NOT gone AND room > used)").select("owner", "plan", "fact", "score", (F.col("room") - F.col("used")).alias("room"), "take"))
+        got = step.where("take").select("owner", "plan", "fact", "score")
+        taken = got if taken is None else taken.unionByName(got)
+        left = step.where("NOT take").drop("take")
+        if left.limit(1).count() == 0:
+            return taken
+
+
+def fill_capacity(plans: DataFrame, facts: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., plan, fact): facts that no plan has taken, in the order of their ids, to the room that plans (by..., plan, capacity,
+    generic) of their group have left: generic plans first, then by id.
+
+    Places are numbered: a plan's by the sums of the room before it, a fact's by its rank, and meet by number."""
+    used = taken.groupBy("plan").agg(F.count("*").alias("used"))
+    room = plans.join(used, "plan", "left").withColumn("room", F.col("capacity") - F.coalesce("used", F.lit(0))).where("room > 0")
+    order = Window.partitionBy(*by).orderBy(~F.col("generic"), "plan")
+    last = F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    places = room.withColumn("last", last).select(*by, "plan", F.explode(F.sequence(F.col("last") - F.col("room") + 1, F.col("last"))).alias("place"))
+    free = facts.join(taken.select("fact"), "fact", "left_anti").select(*by, "fact", F.row_number().over(Window.partitionBy(*by).orderBy("fact")).cast("long").alias("place"))
+    return places.join(free, [*by, "place"]).select(*by, "plan", "fact")
 
 
 def rule_precedence(rules: DataFrame, path: str = "path", priority: str = "priority") -> DataFrame:

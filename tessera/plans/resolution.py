@@ -93,15 +93,18 @@ def _candidates(t: Tables) -> DataFrame:
     return R.title_candidates(*_titled(t), ["owner", "kind"]).select("owner", "kind", "plan", "fact", "capacity", F.round("score", 6).alias("score"))
 
 
-@query(
-    "title_candidates",
-    f"""
-WITH l AS (SELECT o_custkey AS owner, o_orderstatus AS kind, l_orderkey, l_linenumber, l_partkey, p_name || ' ' || p_type AS title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+_CANDIDATES = f"""l AS (SELECT o_custkey AS owner, o_orderstatus AS kind, l_orderkey, l_linenumber, l_partkey, p_name || ' ' || p_type AS title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 pl AS (SELECT owner, kind, l_orderkey AS plan, arg_min(title, (l_linenumber, l_partkey)) AS pt FROM l GROUP BY ALL),
 fa AS (SELECT owner, kind, l_orderkey * 8 + l_linenumber AS fact, title AS ft FROM l),
 c AS (SELECT owner, kind, plan, fact, trim(regexp_replace(lower(pt), '[^0-9\\p{{L}}]+', ' ', 'g')) AS p, trim(regexp_replace(lower(ft), '[^0-9\\p{{L}}]+', ' ', 'g')) AS f, {_words("pt")} AS pw, {_words("ft")} AS fw FROM pl JOIN fa USING (owner, kind)),
 s AS (SELECT *, len(list_intersect(pw, fw)) AS n FROM c),
-r AS (SELECT owner, kind, plan, fact, CASE WHEN least(length(p), length(f)) >= 15 AND (contains(p, f) OR contains(f, p)) THEN 1.0 WHEN n < 2 OR len(fw) = 0 THEN 0.0 ELSE 0.72 * n / len(fw) + 0.28 * n / least(len(pw), len(fw)) END::DOUBLE AS score FROM s)
+r AS (SELECT owner, kind, plan, fact, CASE WHEN least(length(p), length(f)) >= 15 AND (contains(p, f) OR contains(f, p)) THEN 1.0 WHEN n < 2 OR len(fw) = 0 THEN 0.0 ELSE 0.72 * n / len(fw) + 0.28 * n / least(len(pw), len(fw)) END::DOUBLE AS score FROM s)"""
+
+
+@query(
+    "title_candidates",
+    f"""
+WITH {_CANDIDATES}
 SELECT owner, kind, plan, fact, (1 + plan % 3)::INTEGER AS capacity, round(score, 6) AS score FROM r WHERE score >= 0.52
 """,
 )
@@ -110,13 +113,47 @@ def title_candidates(t: Tables) -> DataFrame:
     return _candidates(t)
 
 
-@query("greedy_allocation")
-def greedy_allocation(t: Tables) -> DataFrame:
-    """Facts to plans of one owner and kind by their titles' score, under the plans' capacities; order decides, so no
-    statement (``title_candidates`` has the scores' one)."""
+#: The rounds as a recursion: of a step's rows, those taken are done, the others go on.
+_ROUNDS = f"""
+{_CANDIDATES},
+state(owner, plan, fact, score, room, done) AS (
+  SELECT owner, plan, fact, max(round(score, 6)), any_value(1 + plan % 3), false FROM r WHERE score >= 0.52 GROUP BY owner, plan, fact
+  UNION ALL
+  SELECT owner, plan, fact, score, room - used, take FROM (
+    SELECT *, bool_or(take) OVER (PARTITION BY owner, fact) AS gone, sum(take::INT) OVER (PARTITION BY owner, plan) AS used FROM (
+      SELECT owner, plan, fact, score, room, row_number() OVER (PARTITION BY owner, fact ORDER BY score DESC, plan) = 1
+        AND row_number() OVER (PARTITION BY owner, plan ORDER BY score DESC, fact) <= room AS take FROM state WHERE NOT done))
+  WHERE take OR (NOT gone AND room > used)),
+taken AS (SELECT owner, plan, fact, score FROM state WHERE done)"""
+
+
+def _allocated(t: Tables) -> DataFrame:
     return R.allocate(_candidates(t).groupBy("owner", "plan", "fact", "capacity").agg(F.max("score").alias("score")))
 
 
+@query("greedy_allocation", f"WITH RECURSIVE {_ROUNDS} SELECT owner, plan, fact, score FROM taken")
+def greedy_allocation(t: Tables) -> DataFrame:
+    """Facts to plans of one owner and kind by their titles' score, best first, under the plans' capacities; the tests hold it
+    against the order taken one by one."""
+    return _allocated(t)
+
+
+@query(
+    "capacity_fill",
+    f"""
+WITH RECURSIVE {_ROUNDS},
+room AS (SELECT owner, kind, pl.plan, contains(pt, 'STANDARD') AS generic, 1 + pl.plan % 3 - coalesce(used, 0) AS room FROM pl LEFT JOIN (SELECT plan, count(*) AS used FROM taken GROUP BY plan) u ON u.plan = pl.plan),
+ends AS (SELECT *, sum(room) OVER (PARTITION BY owner, kind ORDER BY NOT generic, plan ROWS UNBOUNDED PRECEDING) AS last FROM room WHERE room > 0),
+free AS (SELECT owner, kind, fact, row_number() OVER (PARTITION BY owner, kind ORDER BY fact) AS place FROM fa WHERE fact NOT IN (SELECT fact FROM taken))
+SELECT e.owner, e.kind, plan, fact FROM ends e JOIN free f ON e.owner = f.owner AND e.kind = f.kind AND place BETWEEN last - room + 1 AND last
+""",
+)
+def capacity_fill(t: Tables) -> DataFrame:
+    """Facts that matched no title fill what room plans of their owner and kind have left, standard ones first."""
+    plans, facts = _titled(t)
+    return R.fill_capacity(plans.withColumn("generic", F.contains("plan_title", F.lit("STANDARD"))), facts, _allocated(t), ["owner", "kind"])
+
+
 @query(
     "fingerprint_diff",
     "WITH a AS (SELECT p_partkey, p_brand AS d FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_brand END AS d FROM part WHERE p_partkey % 7 <> 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (p_partkey) WHERE a.d IS DISTINCT FROM b.d",

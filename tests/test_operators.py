@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,46 @@ def test_deep_merge():
 def test_merged_json(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}', '{"b": {"d": 3}, "a": null}'), (None, "{broken"), ('{"z": 1}', None)], "b string, o string")
     assert [r.m for r in df.select(A.merged_json("b", "o").alias("m")).collect()] == ['{"a": 1, "b": {"c": 2, "d": 3}}', "{}", '{"z": 1}']
+
+
+def _in_order(edges, room):
+    """The order taken one by one."""
+    left, taken, out = dict(room), set(), set()
+    for owner, plan, fact, score in sorted(edges, key=lambda e: (-e[3], e[2], e[1])):
+        if fact not in taken and left[plan] > 0:
+            left[plan] -= 1
+            taken.add(fact)
+            out.add((owner, plan, fact, score))
+    return out, left, taken
+
+
+def test_allocation_in_rounds_equals_the_order(spark):
+    rng = random.Random(31)
+    room = {p: rng.randint(0, 4) for p in range(40)}
+    edges = list({(p % 3, p, f): (p % 3, p, f, rng.choice([0.5, 0.6, 0.7, 0.8])) for p in range(40) for f in range(p % 3, 90, 3) if rng.random() < 0.4}.values())
+    # a chain in which every choice hangs on the one before it
+    edges += [(7, 100 + i, 1000 + i + d, 0.99 - 0.01 * (2 * i + d)) for i in range(12) for d in (0, 1)]
+    room |= {100 + i: 1 for i in range(12)}
+    df = spark.createDataFrame([(*e, room[e[1]]) for e in edges], "owner long, plan long, fact long, score double, capacity int")
+    got = Z.allocate(df)
+    want, left, taken = _in_order(edges, room)
+    assert {tuple(r) for r in got.collect()} == want
+    # what is left goes to generic plans first, then by id
+    plans = [(p % 3, p, room[p], p % 5 == 0) for p in range(40)]
+    facts = [(f % 3, f) for f in range(90)] + [(2, 500 + i) for i in range(60)]
+    more = set()
+    for owner, plan, _, _ in sorted(plans, key=lambda x: (not x[3], x[1])):
+        for own, fact in sorted(facts, key=lambda x: x[1]):
+            if left[plan] > 0 and own == owner and fact not in taken:
+                left[plan] -= 1
+                taken.add(fact)
+                more.add((owner, plan, fact))
+    filled = Z.fill_capacity(spark.createDataFrame(plans, "owner long, plan long, capacity int, generic boolean"), spark.createDataFrame(facts, "owner long, fact long"), got, ["owner"])
+    assert {tuple(r) for r in filled.collect()} == more and more
+
+
+def test_allocation_of_nothing(spark):
+    none = spark.createDataFrame([], "owner long, plan long, fact long, score double, capacity int")
+    assert Z.allocate(none).count() == 0
+    full = spark.createDataFrame([(1, 1, 1, 0.9, 0)], "owner long, plan long, fact long, score double, capacity int")
+    assert Z.allocate(full).count() == 0
