@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import automata
 from tessera.operators import structure as S
 
 from .query import Tables, query
@@ -269,3 +270,23 @@ def label_tables(t: Tables) -> DataFrame:
     tables = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c")))), lambda r: r["c"])
     got = t.lineitem.groupBy("l_orderkey").agg(tables.alias("t")).select("l_orderkey", S.label_tables(F.col("t")).alias("s"))
     return got.select("l_orderkey", F.array_join("s.labels", ",").alias("labels"), F.col("s.data").alias("data"))
+
+
+@query(
+    "open_parts_scan",
+    r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS place FROM documents),
+b AS (SELECT doc_id, place, CASE WHEN length(trim(t)) >= 60 THEN 'paragraph' WHEN regexp_matches(t, '^[A-E]') THEN 'abstract_heading' WHEN regexp_matches(t, '^[R-S]') THEN 'references_heading' WHEN contains(t, ',') THEN 'keywords' ELSE 'section' END AS role FROM l),
+f AS (SELECT *,
+  coalesce(last_value(CASE WHEN role = 'abstract_heading' THEN true WHEN role <> 'paragraph' THEN false END IGNORE NULLS) OVER w, false) AS abstract_open,
+  coalesce(last_value(CASE WHEN role = 'references_heading' THEN true WHEN role = 'section' THEN false END IGNORE NULLS) OVER w, false) AS references_open
+  FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT *, CASE WHEN role = 'paragraph' AND references_open THEN 'reference' WHEN role = 'paragraph' AND abstract_open THEN 'abstract' ELSE role END AS part FROM f
+""",
+)
+def open_parts_scan(t: Tables) -> DataFrame:
+    """Lines as blocks: short ones are headings of an abstract, of references, keywords or sections, and each line's part follows
+    from those before it, by an automaton whose moves are composed in chunks."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "t"))
+    role = F.when(F.length(F.trim("t")) >= 60, "paragraph").when(F.col("t").rlike("^[A-E]"), "abstract_heading").when(F.col("t").rlike("^[R-S]"), "references_heading").when(F.contains("t", F.lit(",")), "keywords").otherwise("section")
+    return automata.open_parts(lines.select("doc_id", "place", role.alias("role")))
