@@ -1,7 +1,9 @@
 """Personal data replaced by keyed surrogates.
 
 Detected entities are e-mail addresses, telephone numbers, payment card numbers, network addresses,
-identity and account numbers, credentials, and personal names after a title or with a known given name.  An
+identity and account numbers, credentials, and personal names after a title or with a known given name; a later
+mention of the family name alone is one of the person, unless the name is a word too (``WORDS_TOO``, or in small letters in
+the text).  An
 entity's surrogate is a keyed function of its type and canonical form, so that an entity gets one surrogate
 wherever it occurs (coreference, over the whole corpus and without a join), and keeps type, gender, script and
 format: digits stay digits and letters stay letters of their script and case, separators stay, card and account
@@ -17,17 +19,19 @@ originals.  One name is one original whatever its case and after titles of sever
 collide; up to ``MAX_BROADCAST_VARIANTS`` they are broadcast, beyond that they are joined to the texts' names.
 
 Defined results: a null text stays null and an empty one empty; a text without entities is unchanged,
-character by character; overlapping candidates are resolved from the left, the longer first; an entity of one character that has no other value of its format stays;
+character by character; overlapping candidates are resolved from the left, the longer first; characters that have no other of their script and category stay;
 repeated rows get equal replacements; texts are read whole; columns of the results' names are replaced; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 
 import pandas as pd
 import regex
@@ -72,10 +76,11 @@ PATTERN = regex.compile(
   | (?P<credential>(?:(?<![\p{{L}}\p{{N}}])AKIA[A-Z0-9]{{16}}(?![\p{{L}}\p{{N}}])
       | (?i:(?<![\p{{L}}\p{{N}}])(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]*[=:][ \t]*["']?)\K[\p{{L}}\p{{N}}_/+.~-]{{8,}}))
   | (?P<ip>(?<![\p{{N}}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?\p{{N}})
-      | (?<![\p{{L}}\p{{N}}:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\p{{L}}\p{{N}}:]))
+      | (?<![\p{{L}}\p{{N}}:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\p{{L}}\p{{N}}:])
+      | (?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}}(?![\p{{L}}\p{{N}}:]))
   | (?P<iban>(?<![\p{{L}}\p{{N}}])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))
   | (?P<card>(?<![\p{{L}}\p{{N}}])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\p{{L}}\p{{N}}]))
-  | (?P<phone>(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|0\d{{2,4}}[ /]\d{{5,8}})(?![\p{{L}}\p{{N}}]))
+  | (?P<phone>(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|[2-9]\d{{2}}[2-9]\d{{6}}|0\d{{2,4}}[ /]\d{{5,8}})(?![\p{{L}}\p{{N}}]))
   | (?P<identity>(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-]))
   | (?P<name>(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ]\K{_WORD}(?:[ ]{_WORD}){{0,2}})
   | (?P<given>(?<![\p{{L}}\p{{N}}])(?:{_GIVEN})(?:[ ]\p{{Lu}}\.?)?[ ]{_WORD})
@@ -105,26 +110,48 @@ def _random(key: bytes, *parts: object) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
 
 
-#: Alphabets within which a character is exchanged; others stay.
+#: Alphabets within which a character is exchanged.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 
 
+@functools.cache
+def _place(c: str) -> tuple[str, int] | None:
+    """A character's alphabet and its place in it; None for what stays.  Letters and digits of other scripts are exchanged within
+    the 128 code points around them that are of one category, where a change of case leads back."""
+    if c in _PLACE:
+        return _PLACE[c]
+    if not (c.isalpha() or c.isdecimal()):
+        return None
+    start = ord(c) // 128 * 128
+    back = lambda x: len(x.upper()) == len(x.lower()) == 1 and (x.upper().lower() == x.lower()) and x not in _PLACE
+    alphabet = "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == unicodedata.category(c) and back(x))
+    return (alphabet, alphabet.index(c)) if c in alphabet else None
+
+
+def _places(text: str, hexadecimal: bool):
+    """What gives a character of ``text`` its place."""
+    if not hexadecimal:
+        return _place
+    alphabet = _HEX[1] if any(c in "ABCDEF" for c in text) else _HEX[0]
+    return {c: (alphabet, i) for i, c in enumerate(alphabet)}.get
+
+
 def permuted(text: str, key: bytes, label: str, hexadecimal: bool = False, rounds: int = 8) -> str:
     """A keyed permutation of all strings of ``text``'s format: each letter or digit stays in its alphabet.
 
     A Feistel network on the mixed-radix number of the characters' places, split in two halves.
     """
-    places = _PLACE
-    if hexadecimal:
-        alphabet = _HEX[1] if any(c in "ABCDEF" for c in text) else _HEX[0]
-        places = {c: (alphabet, i) for i, c in enumerate(alphabet)}
-    free = [i for i, c in enumerate(text) if c in places]
+    if hexadecimal and any(c in "ABCDEF" for c in text):
+        text = text.upper()  # one case, so that the alphabet is one
+    at = _places(text, hexadecimal)
+    held = {i: found for i, c in enumerate(text) if (found := at(c)) is not None}
+    free = list(held)
     if not free:
         return text
-    bases = [len(places[text[i]][0]) for i in free]
-    value = [places[text[i]][1] for i in free]
+    bases = [len(held[i][0]) for i in free]
+    value = [held[i][1] for i in free]
     half = len(free) // 2
     sizes = [1, 1]
     numbers = [0, 0]
@@ -132,7 +159,7 @@ def permuted(text: str, key: bytes, label: str, hexadecimal: bool = False, round
         s = 0 if j < half else 1
         sizes[s] *= b
         numbers[s] = numbers[s] * b + v
-    form = "".join(chr(b) for b in bases) + "|" + "".join("\0" if i in set(free) else c for i, c in enumerate(text))
+    form = "".join(chr(b) for b in bases) + "|" + "".join("\0" if i in held else c for i, c in enumerate(text))
     for r in range(rounds):
         to = r % 2
         numbers[to] = (numbers[to] + _random(key, label, form, r, numbers[1 - to])) % sizes[to]
@@ -141,7 +168,7 @@ def permuted(text: str, key: bytes, label: str, hexadecimal: bool = False, round
         n = numbers[s]
         for j in span:
             n, v = divmod(n, bases[j])
-            out[free[j]] = places[text[free[j]]][0][v]
+            out[free[j]] = held[free[j]][0][v]
     return "".join(out)
 
 
@@ -153,31 +180,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _next(text: str, by: int) -> str:
+def _next(text: str, by: int, hexadecimal: bool = False) -> str:
     """The next (or, by -1, the last) string of ``text``'s format."""
-    out = list(text)
+    out, places = list(text), _places(text, hexadecimal)
     for i in reversed(range(len(out))):
-        if out[i] in _PLACE:
-            alphabet, at = _PLACE[out[i]]
+        if (found := places(out[i])) is not None:
+            alphabet, at = found
             out[i] = alphabet[(at + by) % len(alphabet)]
             if 0 <= at + by < len(alphabet):
                 break
     return "".join(out)
 
 
-def deranged(text: str, key: bytes, label: str) -> str:
+def deranged(text: str, key: bytes, label: str, hexadecimal: bool = False) -> str:
     """``permuted`` without fixed points: a run of neighbours that are fixed is passed around among them and the next one."""
-    new, after = permuted(text, key, label), _next(text, 1)
+    if hexadecimal and any(c in "ABCDEF" for c in text):
+        text = text.upper()
+    upper = hexadecimal and text == text.upper() and text != text.lower()
+    move = lambda t: permuted(t, key, label, hexadecimal)
+    step = lambda t, by: _next(t, by, hexadecimal)
+    if upper:  # the digits alone don't say that letters are in capitals
+        return deranged(text.lower(), key, label, True).upper()
+    new, after = move(text), step(text, 1)
     if after == text:
         return text  # nothing to exchange
     if new == text:
-        new = permuted(after, key, label)
-        if new == after and len([c for c in text if c in _PLACE]) == 1:
+        new = move(after)
+        if new == after and sum(_places(text, hexadecimal)(c) is not None for c in text) == 1:
             return after  # one character, and all of them fixed
         return new
-    first, before = None, _next(text, -1)
-    while permuted(before, key, label) == before:
-        first, before = before, _next(before, -1)
+    first, before = None, step(text, -1)
+    while move(before) == before:
+        first, before = before, step(before, -1)
     return first or new
 
 
@@ -205,7 +239,7 @@ def _iban(bare: str, key: bytes) -> str:
 
 def _ip(text: str, key: bytes) -> str:
     if ":" in text:
-        return permuted(text, key, "ip", hexadecimal=True)
+        return deranged(text, key, "ip", hexadecimal=True)
     address = int(ipaddress.IPv4Address(".".join(str(int(x)) for x in text.split("."))))
     halves = [address >> 16, address & 0xFFFF]
     while True:
@@ -278,9 +312,9 @@ def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY, gender: str = "n",
     if kind == "name":
         return _name(text, gender, key, variant)
     if kind == "credential" and text.startswith("AKIA"):
-        return "AKIA" + permuted(text[4:], key, "AKIA")
+        return "AKIA" + deranged(text[4:], key, "AKIA")
     if kind == "credential" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        return permuted(text, key, "hexadecimal", hexadecimal=True)
+        return deranged(text, key, "hexadecimal", hexadecimal=True)
     return deranged(text, key, kind)
 
 
@@ -320,6 +354,15 @@ def _find(text: str, at: int) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
+# Months, days and common words that are family names too; alone they are taken for the word.
+WORDS_TOO = frozenset("April May June August Will Can Power Grace Hope Rose Price Long Short Young Old Day Week Summer Winter King Bishop Park Hill Street Church Bank Rich Wise Good Best White Black Brown Green Марта Май Август".split())
+
+
+def _a_word(name: str, text: str) -> bool:
+    """Whether a family name is also a word: one of ``WORDS_TOO``, or in small letters in the text itself."""
+    return name in WORDS_TOO or name != name.lower() and regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(name.lower())}(?![\p{{L}}\p{{N}}])", text) is not None
+
+
 def replace(text: str, key: bytes = DEFAULT_KEY, variants: dict[tuple[str, str, str], int] | None = None) -> tuple[str, list[tuple[str, str, str, str]]]:
     """The text with surrogates, and (type, gender, original, surrogate) of each entity in order."""
     if not _may_hold(text):
@@ -334,8 +377,9 @@ def replace(text: str, key: bytes = DEFAULT_KEY, variants: dict[tuple[str, str,
         found.append((kind, gender, own, new))
         at = end
     out.append(text[at:])
+    # later mentions of a person by the family name alone, but for a name that the text also uses as a word
+    families = {n: f for n, f in families.items() if not _a_word(n, text)}
     if families:
-        # later mentions of a person by the family name alone
         again = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(map(regex.escape, families), key=len, reverse=True)) + r")(?![\p{L}\p{N}])")
         out = [again.sub(lambda m: families[m.group(0)], x) if i % 2 == 0 else x for i, x in enumerate(out)]
     return "".join(out), found

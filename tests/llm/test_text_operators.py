@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -381,6 +382,39 @@ def test_pieces_of_millions_of_letters(spark):
 # Personal data
 
 
+def test_every_script_is_replaced():
+    for own in ("δημήτρης@παράδειγμα.gr", "山田@例え.jp", "Émilie@exämple.fr", "يوسف@مثال.com", "борис@почта.рф"):
+        new, found = pii.replace(f"write to {own}, please")
+        assert len(found) == 1 and new.startswith("write to ") and new.endswith(", please")
+        local, new_local = own.split("@")[0], found[0][3].split("@")[0]
+        assert len(local) == len(new_local) and all(a != b for a, b in [(local, new_local), (own.split("@")[1], found[0][3].split("@")[1])])
+        assert [unicodedata.category(c) for c in local] == [unicodedata.category(c) for c in new_local]
+        assert pii.replace(f"write to {own.upper()}, please")[1][0][3].lower() == found[0][3].lower()
+
+
+def test_short_network_addresses_and_bare_telephone_numbers():
+    new, found = pii.replace("at 2001:db8::1, FE80::1FF:FE23, call 2125550101; not std::vector, a::b, 10:20 or 1600000000")
+    assert [f[0] for f in found] == ["ip", "ip", "phone"] and new.endswith("not std::vector, a::b, 10:20 or 1600000000")
+    assert all(f[2] != f[3] and len(f[2]) == len(f[3]) for f in found)
+    assert pii.surrogate("ip", "2001:DB8::1").lower() == pii.surrogate("ip", "2001:db8::1")
+
+
+def test_words_that_are_names_too_stay():
+    assert pii.replace("Ms May arrived. In May it rained. May we go?")[0].endswith(" arrived. In May it rained. May we go?")
+    assert pii.replace("Dr Will Power spoke. He had the Power to act.")[0].endswith(" spoke. He had the Power to act.")
+    assert pii.replace("Mr Miller grinds. The Miller is a miller.")[0].endswith(" grinds. The Miller is a miller.")
+    again = pii.replace("Mr Smith came. Then Smith left.")[0]
+    assert "Smith" not in again and again.split()[1] == again.split()[4]
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "0123456789ABCDEF"])
+def test_hexadecimal_surrogates_have_no_fixed_points(alphabet):
+    every = [a + b for a in alphabet for b in alphabet]
+    for key in range(40):
+        new = [pii.deranged(x, b"k%d" % key, "h", hexadecimal=True) for x in every]
+        assert all(a != b for a, b in zip(every, new, strict=True)) and len(set(new)) == len(every)
+
+
 def test_surrogates_keep_format_and_distinctness():
     rng = random.Random(9)
     make = {
