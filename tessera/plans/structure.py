@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import automata
+from tessera.operators import automata, trees
 from tessera.operators import structure as S
 
 from .query import Tables, query
@@ -290,3 +290,20 @@ def open_parts_scan(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "t"))
     role = F.when(F.length(F.trim("t")) >= 60, "paragraph").when(F.col("t").rlike("^[A-E]"), "abstract_heading").when(F.col("t").rlike("^[R-S]"), "references_heading").when(F.contains("t", F.lit(",")), "keywords").otherwise("section")
     return automata.open_parts(lines.select("doc_id", "place", role.alias("role")))
+
+
+@query(
+    "syntax_trees",
+    r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM conversations),
+w AS (SELECT conv_id, turn, place, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS k FROM l)
+SELECT conv_id, (1 + count(DISTINCT turn) + count(DISTINCT (turn, place)) + count(*))::BIGINT AS nodes, 3 AS depth, 0::BIGINT AS links, md5(string_agg(word, ' ' ORDER BY turn, place, k)) AS digest FROM w GROUP BY conv_id
+""",
+)
+def syntax_trees(t: Tables) -> DataFrame:
+    """Conversations as syntax trees in JSON (turns, lines, words), walked to their leaves."""
+    word = lambda w: F.struct(F.lit("Str").alias("t"), w.alias("c"))
+    line = lambda x: F.struct(F.lit("Para").alias("t"), F.transform(F.split(x, " "), word).alias("c"))
+    turn = F.struct(F.col("turn").alias("n"), F.lit("Div").alias("t"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line).alias("c"))
+    given = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.lit("Doc").alias("t"), F.array_sort(F.collect_list(turn)).alias("c"))).alias("ast"))
+    return trees.outline(trees.walk(given, "conv_id", "ast"), "conv_id")
