@@ -273,7 +273,7 @@ def label_tables(t: Tables) -> DataFrame:
 
 
 @query(
-    "open_parts_scan",
+    "scanned_parts",
     r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS place FROM documents),
 b AS (SELECT doc_id, place, CASE WHEN length(trim(t)) >= 60 THEN 'paragraph' WHEN regexp_matches(t, '^[A-E]') THEN 'abstract_heading' WHEN regexp_matches(t, '^[R-S]') THEN 'references_heading' WHEN contains(t, ',') THEN 'keywords' ELSE 'section' END AS role FROM l),
@@ -284,7 +284,7 @@ f AS (SELECT *,
 SELECT *, CASE WHEN role = 'paragraph' AND references_open THEN 'reference' WHEN role = 'paragraph' AND abstract_open THEN 'abstract' ELSE role END AS part FROM f
 """,
 )
-def open_parts_scan(t: Tables) -> DataFrame:
+def scanned_parts(t: Tables) -> DataFrame:
     """Lines as blocks: short ones are headings of an abstract, of references, keywords or sections, and each line's part follows
     from those before it, by an automaton whose moves are composed in chunks."""
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "t"))
