@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         named = os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}", "shared")
         spark.conf.set("spark.checkpoint.dir", named)
