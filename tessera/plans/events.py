@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.ship import ship
 from tessera.streaming import liveness as L
+from tessera.streaming import watchdog as W
 
 from .query import Tables, query
 
@@ -68,6 +69,40 @@ def run_state_machine(t: Tables) -> DataFrame:
     return L.run_states_batch(e)
 
 
+_WATCHED = {"signup": "create", "error": "submit", "click": "claim", "view": "beat", "purchase": "completed"}
+_LIMITS = {"idle": 6 * 3600, "pending": 8 * 3600, "processing": 12 * 3600}
+
+
+@query(
+    "watchdog_log",
+    """
+WITH RECURSIVE e AS (SELECT user_id AS run_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'submit' WHEN 'click' THEN 'claim' WHEN 'view' THEN 'beat' ELSE 'completed' END AS kind,
+  (event_id % 2)::VARCHAR AS given, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+u AS (SELECT max(us) AS until FROM e),
+w AS (SELECT DISTINCT run_id, 0 AS k, 'none' AS status, NULL::VARCHAR AS token, 0 AS attempt, 0::BIGINT AS progress, NULL::VARCHAR AS cause, 0 AS n FROM e
+UNION ALL SELECT run_id, k, status, token, attempt, progress, CASE WHEN status <> before THEN cause WHEN cause = 'stalled' THEN cause END AS cause, n FROM (
+  SELECT run_id, status AS before, n + 1 AS n,
+    CASE WHEN fires THEN k ELSE k + 1 END AS k,
+    CASE WHEN fires THEN 'stalled' ELSE kind END AS cause,
+    CASE WHEN fires THEN CASE WHEN attempt + 1 > 3 THEN 'expired' ELSE 'pending' END WHEN creates THEN 'idle' WHEN submits THEN 'pending' WHEN claims THEN 'processing' WHEN held AND kind = 'completed' THEN 'completed' ELSE status END AS status,
+    CASE WHEN fires OR creates THEN NULL WHEN claims THEN given ELSE token END AS token,
+    CASE WHEN fires THEN attempt + 1 WHEN creates THEN 0 ELSE attempt END AS attempt,
+    CASE WHEN fires THEN due WHEN creates OR submits OR claims OR held AND kind IN ('beat', 'completed') THEN us ELSE progress END AS progress
+  FROM (SELECT *, coalesce(due < coalesce(us, until + 1), false) AS fires, coalesce(kind = 'create' AND status IN ('none', 'completed', 'expired'), false) AS creates, coalesce(kind = 'submit' AND status = 'idle', false) AS submits,
+      coalesce(kind = 'claim' AND status = 'pending', false) AS claims, coalesce(status = 'processing' AND given = token, false) AS held
+    FROM (SELECT w.*, e.us, e.kind, e.given, until, w.progress + CASE w.status WHEN 'idle' THEN 21600000000 WHEN 'pending' THEN 28800000000 WHEN 'processing' THEN 43200000000 END AS due
+      FROM w LEFT JOIN e ON e.run_id = w.run_id AND e.k = w.k + 1 CROSS JOIN u)
+    WHERE us IS NOT NULL OR due <= until)))
+SELECT run_id, make_timestamp(progress) AS at, status, token, attempt, cause FROM w WHERE cause IS NOT NULL
+""",
+)
+def watchdog_log(t: Tables) -> DataFrame:
+    """All changes of all runs: created, submitted, claimed, done, and given back where they stalled."""
+    kind = F.create_map(*[F.lit(x) for kv in _WATCHED.items() for x in kv])[F.col("event_type")]
+    e = t.events.select(F.col("user_id").alias("run_id"), "event_id", "ts", kind.alias("kind"), (F.col("event_id") % 2).cast("string").alias("token"))
+    return W.watched(e, _LIMITS).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query(
     "barrier_open",
     """
