@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.ship import ship
 from tessera.streaming import liveness as L
 from tessera.streaming import watchdog as W
+from tessera.streaming.folds import folded
 
 from .query import Tables, query
 
@@ -140,16 +139,12 @@ def json_props(t: Tables) -> DataFrame:
 
 
 def chain(events: DataFrame, by: str, order: list[str], payload: str) -> DataFrame:
-    """(by, last row's order, head, length): each row's digest covers the one before; a chain is one fold, in one task."""
-    ship(events.sparkSession)
+    """(by, head, length): each row's digest covers the one before; a chain is one fold, in one task."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        head = ""
-        for p in pdf.sort_values(order)[payload]:
-            head = hashlib.sha256((head + ("" if p is None else p)).encode()).hexdigest()
-        return pd.DataFrame({by: [key[0]], "head": [head], "length": [len(pdf)]})
+    def link(state: tuple[str, int], p: str | None) -> tuple[str, int]:
+        return hashlib.sha256((state[0] + ("" if p is None else p)).encode()).hexdigest(), state[1] + 1
 
-    return events.groupBy(by).applyInPandas(fold, f"{by} long, head string, length long")
+    return folded(events, by, order, [payload], ("", 0), link, lambda state: state, f"{by} long, head string, length long")
 
 
 @query(

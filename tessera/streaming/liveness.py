@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.ship import ship
 
+from .folds import folded
+
 #: Seconds without progress after which a run counts as stalled, by state.
 STALL_SECONDS = {"idle": 90, "pending": 300, "processing": 600}
 TERMINAL = ("completed", "failed", "cancelled")
@@ -83,17 +85,12 @@ def run_states(events: DataFrame) -> DataFrame:
 
 
 def run_states_batch(events: DataFrame) -> DataFrame:
-    """The same fold over a table; a run's events are few, and are folded in one task."""
-    ship(events.sparkSession)
+    """The same fold over a table."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        status, token, beats = "pending", None, 0
-        pdf = pdf.sort_values(["ts", "event_id"])
-        for e in pdf.itertuples():
-            status, token, beats = step(status, token, beats, e.kind, e.token)
-        return pd.DataFrame([{"run_id": key[0], "status": status, "token": token, "beats": beats, "updated": pdf["ts"].iloc[-1]}])
+    def fold(state: tuple, ts: pd.Timestamp, kind: str, token: str | None) -> tuple:
+        return *step(*state[:3], kind, token), ts
 
-    return events.groupBy("run_id").applyInPandas(fold, _OUT)
+    return folded(events, "run_id", ["ts", "event_id"], ["ts", "kind", "token"], ("pending", None, 0, None), fold, lambda state: state, _OUT)
 
 
 def barrier(runs: DataFrame, subject: str, status: str = "status") -> DataFrame:
