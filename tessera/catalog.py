@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalogue, checks, documents, events, planning, registry, resolution, retrieval, routes, rules, strings, structure, workflow  # noqa: F401
+from tessera.plans import catalogue, checks, documents, edits, events, planning, registry, resolution, retrieval, routes, rules, strings, structure, workflow  # noqa: F401
 from tessera.plans.query import ORACLES, QUERIES, Query
 
 
