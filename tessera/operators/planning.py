@@ -113,16 +113,15 @@ def canonical(rows: DataFrame, key: str = "id", pointer: str = "merged_into") ->
     nowhere counts as none, and rows of a circle, or that lead into one, get its least member."""
     ids = rows.select(F.col(key).alias("i"))
     now = rows.select(F.col(key).alias("k"), F.col(pointer).alias("p")).join(ids, F.col("p") == F.col("i"), "left")
-    now = checkpointed(now.select("k", F.coalesce("i", "k").alias("t"), F.least("k", F.coalesce("i", "k")).alias("low")))
-    far = lambda df: df.select(F.col("k").alias("a"), F.col("t").alias("b"), F.col("low").alias("l"))
+    now = checkpointed(now.select("k", F.coalesce("i", "k").alias("t"), F.least("k", F.coalesce("i", "k")).alias("low"), F.coalesce(F.col("i") == F.col("k"), F.lit(True)).alias("end")))
+    far = lambda df: df.select(F.col("k").alias("a"), F.col("t").alias("b"), F.col("low").alias("l"), F.col("end").alias("e"))
     # after that many rounds every chain has ended, and ``low`` has been around every circle
     for _ in range(max(1, now.count().bit_length()) + 1):
-        step = checkpointed(now.join(far(now), F.col("t") == F.col("a")).select("k", F.col("b").alias("t"), F.least("low", "l").alias("low"), (F.col("b") != F.col("t")).alias("moved")))
+        step = checkpointed(now.join(far(now), F.col("t") == F.col("a")).select("k", F.col("b").alias("t"), F.least("low", "l").alias("low"), "end", (F.col("b") != F.col("t")).alias("moved")))
         now = step.drop("moved")
         if step.where("moved").limit(1).count() == 0:
             break
-    ended = F.col("b") == F.col("t")
-    return now.join(far(now), F.col("t") == F.col("a")).select(F.col("k").alias(key), F.when(ended & (F.col("l") == F.col("t")) | ended & (F.col("a") == F.col("b")), F.col("t")).otherwise(F.col("l")).alias("target"))
+    return now.join(far(now), F.col("t") == F.col("a")).select(F.col("k").alias(key), F.when(F.col("e"), F.col("t")).otherwise(F.col("l")).alias("target"))
 
 
 def match_authors(authors: DataFrame, users: DataFrame) -> DataFrame:
