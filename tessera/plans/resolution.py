@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import merges as M
 from tessera.operators import resolution as R
 
 from .query import Tables, query
@@ -170,3 +171,23 @@ def fingerprint_diff(t: Tables) -> DataFrame:
 def key_normaliser(t: Tables) -> DataFrame:
     """Catalogue keys."""
     return t.part.select("p_partkey", X.key_of(F.col("p_name")).alias("key"))
+
+
+@query(
+    "merged_references",
+    """
+WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (1, 4) THEN c_custkey - 1 WHEN c_custkey % 25 = 2 THEN c_custkey - 2 ELSE c_custkey END AS root FROM customer),
+o AS (SELECT o_orderkey AS ref, o_custkey AS entity, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS version FROM orders),
+x AS (SELECT o.*, coalesce(root, entity) AS root, coalesce(root, entity) = entity AS own FROM o LEFT JOIN r ON id = entity)
+SELECT ref, root AS entity, kind, CASE WHEN own THEN version ELSE coalesce(max(version) FILTER (own) OVER (PARTITION BY root, kind), 0) + row_number() OVER (PARTITION BY root, kind, own ORDER BY entity, version, ref) END AS version FROM x
+""",
+)
+def merged_references(t: Tables) -> DataFrame:
+    """Orders of customers that are merged, some of them into each other: the root's own keep their versions, the others number on."""
+    k = F.col("c_custkey")
+    entities = t.customer.select(k.alias("id"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active"), F.lit(None).cast("long").alias("merged_into"), F.lit(0).cast("long").alias("last_used"))
+    target = F.when(k % 5 == 1, k - 1).when(k % 5 == 3, k + 1).when(k % 5 == 4, k - 1).when(k % 25 == 2, k - 2)
+    pairs = t.customer.select(k.alias("source"), target.alias("target")).where("target IS NOT NULL")
+    version = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")).cast("long")
+    references = t.orders.select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("kind"), version.alias("version"))
+    return M.merged(entities, references, pairs)[1]
