@@ -8,7 +8,8 @@ token itself needs no contracting, and is looked up.  Decoding works on whole do
 joined to ``tokens`` and concatenated by ordered aggregation, at most ``ROWS_A_QUERY`` ids in a query.
 
 Pieces recur, so a worker remembers what it has encoded (``REMEMBERED`` bytes; then it starts over):
-the recursive query runs over pieces that are new to the worker.  With the pattern ``SPACED``, a text splits at
+the recursive query runs over pieces that are new to the worker.  At the end of a task it drops them and closes its
+DuckDB, so that a worker that waits for the next task, of whatever query, holds little.  With the pattern ``SPACED``, a text splits at
 every space that has no white space after it, which that pattern never crosses, so each batch goes through the
 pattern once for each different chunk; with another pattern, whole texts go through it.
 
@@ -89,8 +90,6 @@ class Codec:
     """A vocabulary in DuckDB, with what this process has encoded so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import duckdb
-
         self.ranks, self.split, self.spaced = ranks, regex.compile(pattern), pattern == SPACED
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -103,14 +102,11 @@ class Codec:
             if len(token) > 1:
                 b = np.frombuffer(token, np.uint8)
                 self.beside[b[:-1], b[1:]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
-        for name, columns in (
-            ("merges", {"k": (l.astype(np.int64) << 32) + r, "t": t}),
-            ("tokens", {"id": np.array(list(ranks.values()), np.int32), "chars": np.array([k.decode("latin-1") for k in ranks], object)}),
-        ):
-            self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-            self.db.unregister("given")
+        self.tables = {
+            "merges": pa.table({"k": (l.astype(np.int64) << 32) + r, "t": t}),
+            "tokens": pa.table({"id": np.array(list(ranks.values()), np.int32), "chars": pa.array([k.decode("latin-1") for k in ranks], pa.string())}),
+        }
+        self.db = None
         #: what tokens end in; made at its first use
         self.ends: set[bytes] = set()
         self.forget()
@@ -121,8 +117,27 @@ class Codec:
         self.fits: dict[tuple[int | None, int], bool] = {}
         self.held = 0
 
+    def rest(self) -> None:
+        """Give back what only encoding needs; the next text makes it anew."""
+        self.forget()
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+        pa.default_memory_pool().release_unused()
+
+    def _open(self) -> None:
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        for name, rows in self.tables.items():
+            self.db.register("given", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.db.unregister("given")
+
     def _run(self, sql: str, sizes: np.ndarray, tok: np.ndarray) -> pa.Table:
         """``sql`` over token-position rows: ``sizes[w]`` rows of each piece w, in order."""
+        if self.db is None:
+            self._open()
         w = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.db.register("fresh", pa.table({"g": np.arange(len(w), dtype=np.int64), "w": w, "tok": tok.astype(np.int32)}))
         try:
@@ -353,17 +368,22 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     names = RESULT.fieldNames()[: 3 if digests_only else 5]
 
     @F.pandas_udf(T.StructType([f for f in RESULT.fields if f.name in names]))
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(*shared.value)
-        given, rows = [t if isinstance(t, str) else "" for t in texts], []
-        start = size = 0
-        for end, t in enumerate(given, 1):
-            size += len(t)
-            if size >= BYTES_AT_ONCE or end == len(given):
-                for ids, decoded in c.encode_texts(given[start:end]):
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded)[: len(names)])
-                start, size = end, 0
-        return pd.DataFrame(rows, columns=names)
+        try:
+            for texts in batches:
+                given, rows = [t if isinstance(t, str) else "" for t in texts], []
+                start = size = 0
+                for end, t in enumerate(given, 1):
+                    size += len(t)
+                    if size >= BYTES_AT_ONCE or end == len(given):
+                        for ids, decoded in c.encode_texts(given[start:end]):
+                            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids, decoded)[: len(names)])
+                        start, size = end, 0
+                        pa.default_memory_pool().release_unused()
+                yield pd.DataFrame(rows, columns=names)
+        finally:
+            c.rest()
 
     got = df.withColumn("_bpe", of(F.col(text)))
     return got.withColumns({n: F.col(f"_bpe.{n}") for n in names}).drop("_bpe")

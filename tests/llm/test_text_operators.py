@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,6 +341,25 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(df.limit(0), ranks, P.PATTERN).count() == 0
 
 
+def test_workers_that_wait_hold_no_pieces(spark):
+    """What a worker remembers ends with its task: workers are kept, and other queries' memory comes on top."""
+    import public_tokenizers as P
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    df = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat('piece', id, ' of some words') AS text")
+    tokens = [sorted(map(tuple, bpe.encode(df, ranks, P.PATTERN, digests_only=True).drop("text").collect())) for _ in range(2)]
+    assert tokens[0] == tokens[1] and len(tokens[0]) == 400
+
+    def held(batches):
+        for _ in batches:
+            pass
+        for c in bpe._local.__dict__.get("codecs", {}).values():
+            yield pd.DataFrame({"held": [len(c.pieces) + len(c.fits) + c.held], "open": [c.db is not None]})
+
+    rows = df.mapInPandas(held, "held long, open boolean").collect()
+    assert rows and not any(r.held or r.open for r in rows)
+
+
 def test_long_pieces_equal_the_library():
     import public_tokenizers as P
     import tiktoken
