@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import let, stored
+from .common import stored
 
 #: What is no letter, of the first 128 characters; the scale of p.
 NOT_TERM, SCALE = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", 1_000_000_000
@@ -47,9 +47,11 @@ BLOCK, BLOCKS, PIECE, LANES, HELD = 8, 16, 1 << 17, 32, 1 << 22
 
 
 def terms_of(text: Column) -> Column:
-    """A text's terms in order, only A to Z lower-cased."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, NOT_TERM), lambda t: t != "")
+    """A text's terms in order, only A to Z lower-cased; an empty string may stand at either end."""
+    t = F.coalesce(text, F.lit(""))
+    ascii_only = F.length(t) == F.octet_length(t)  # lower() then changes A to Z alone
+    lower = F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.split(lower, NOT_TERM)
 
 
 def _share(count: str, total: str) -> Column:
@@ -59,10 +61,10 @@ def _share(count: str, total: str) -> Column:
 
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     """(lang, source, term, n, lang_n): kept terms with their occurrences in the group and in the language."""
-    # of a term's places in a sorted text, the first stands for the document
-    marked = let(F.array_sort(terms_of(F.col(text))), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), (F.coalesce(F.get(t, i - 1) != x, F.lit(True))).alias("first"))))
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(marked).alias("t"))
-    counts = rows.groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum(F.col("t.first").cast("long")).alias("docs"))
+    # of a term's places in a sorted text, the first stands for the document; no lambdas, which Spark interprets term by term
+    sets = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.sort_array(terms_of(F.col(text))).alias("term"))
+    rows = sets.select("lang", "source", F.explode(F.arrays_zip("term", F.concat(F.array(F.lit("")), "term").alias("before"))).alias("t")).where("t.term <> ''")
+    counts = rows.groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum((F.col("t.term") != F.col("t.before")).cast("long")).alias("docs"))
     own = Window.partitionBy("lang", "term")
     return counts.withColumns({"lang_docs": F.sum("docs").over(own), "lang_n": F.sum("n").over(own), "once": F.min("source").over(own) == F.col("source")}).where(F.col("lang_docs") >= MIN_DOCS).drop("docs", "lang_docs")
 
