@@ -314,15 +314,17 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, key: str = "
     texts = stored(texts.dropDuplicates(["id", "text"]) if repeated else texts, "texts")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("least"))).alias("best")).select((-F.col("best.least")).alias("a"), "b")
-    links = _confirm(best, texts, k, threshold)
+    # links are stored before they go on, so that no task holds two Python workers: the executor keeps as many as ever ran at once
+    links = stored(_confirm(best, texts, k, threshold), "links")
     if repeated:
         links = links.union(rows.join(several.where("least <> most").select("id", "least"), "id").select("least", "rep"))
     first = components(links)
     label = lambda c: first.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb")).where("la <> lb")
-    rest = _confirm(rest.join(best, ["a", "b"], "left_anti").select("a", "b"), texts, k, threshold)
+    rest = stored(_confirm(rest.join(best, ["a", "b"], "left_anti").select("a", "b"), texts, k, threshold), "links")
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
-    whole = components(first.union(rest).union(across_components(dense, first, sizes, texts, k, threshold)), "node", "label")
+    across = stored(across_components(dense, first, sizes, texts, k, threshold), "links")
+    whole = components(first.union(rest).union(across), "node", "label")
     moved = whole.where("node <> label")
     member = rows.join(moved, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
     alone = base.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))

@@ -76,6 +76,40 @@ def test_near_duplicates_of_nothing(spark):
     assert [r.kept for r in neardup.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [True]
 
 
+def _python_nodes(plan: str) -> int:
+    """The most Python nodes of a plan that one task runs, and so the workers that it holds."""
+    most, path = 0, []
+    for line in plan.splitlines():
+        if (node := re.search(r"[A-Za-z]", line)) is None:
+            continue
+        while path and path[-1][0] >= node.start():
+            path.pop()
+        below = path[-1][1] if path else 0
+        kind = line[node.start() :]
+        n = 0 if re.match(r"\w*(Exchange|QueryStage)", kind) else below + bool(re.match(r"\w*(Python|InPandas|Pandas)\b", re.sub(r"^\*?\(\d+\) ", "", kind)))
+        path.append((node.start(), n))
+        most = max(most, n)
+    return most
+
+
+def test_a_task_of_near_duplicates_holds_one_python_worker(spark, monkeypatch):
+    """An executor keeps as many workers as ever ran at once, beside the next queries' memory."""
+    plans = []
+
+    def planned(df, label, write=neardup.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(neardup, "stored", planned)
+    monkeypatch.setattr(graph, "stored", planned)
+    rows = [(i, " ".join(f"w{i // 4}x{j}" for j in range(60)) + f" end{i}") for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.where("kept").collect()} == set(range(0, 40, 4))
+    counts = [_python_nodes(p) for p in plans]
+    assert max(counts) == 1 and sum(counts) >= 5
+
+
+
 def test_partition_edges_lose_no_neighbour(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ROWS_A_PARTITION", 400)
     rng = random.Random(5)

@@ -360,6 +360,20 @@ def test_workers_that_wait_hold_no_pieces(spark):
     assert rows and not any(r.held or r.open for r in rows)
 
 
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    from tessera.ship import ship
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)], "size": [int(pdf["text"].str.len().sum())]})
+
+    ship(spark)
+    rows = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('long text ', 10000) AS text").mapInPandas(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 200 and sum(r["size"] for r in rows) == 200 * 100_000
+    assert max(r["size"] for r in rows) <= (4 << 20) + 2 * 100_000
+
+
+
 def test_long_pieces_equal_the_library():
     import public_tokenizers as P
     import tiktoken
