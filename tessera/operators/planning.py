@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,28 +126,82 @@ def canonical(rows: DataFrame, key: str = "id", pointer: str = "merged_into") ->
     return now.join(far(now), F.col("t") == F.col("a")).select(F.col("k").alias(key), F.when(F.col("e"), F.col("t")).otherwise(F.col("l")).alias("target"))
 
 
+#: The authors of one surname go to so many tasks, by document.
+SHARES = 16
+
+
 def match_authors(authors: DataFrame, users: DataFrame) -> DataFrame:
     """(doc, author, user_id, score): a document's authors (doc, place, author, surname, initials) to users (user_id, surname,
     initials), each user once, in the authors' order.
 
     A pair shares the surname, and no compared initial (two at most) differs; it scores 5 and 2 for each compared one, the best
-    is taken, of equal ones the least user.  Pairs come from a join on surnames; an author's choice depends on those before,
-    so a document's pairs are gone through in one task: as many as its authors have namesakes.
+    is taken, of equal ones the least user.  Rows of one place are one author; a user has one surname, so authors of different
+    ones are no rivals.  No pairs are made: a surname's users lie in lists by their initials, least first, and its authors
+    pass by them in order, a document after the other; only the users of one surname are held.
     """
     ship(authors.sparkSession)
-    compared = F.least(F.length("initials"), F.length("_i"), F.lit(2))
-    same = F.substring("initials", F.lit(1), compared) == F.substring("_i", F.lit(1), compared)
-    pairs = authors.join(users.select("user_id", F.col("surname").alias("_s"), F.col("initials").alias("_i")), F.col("surname") == F.col("_s")).where(same)
-    pairs = pairs.select("doc", "place", "author", "user_id", (5 + 2 * compared).alias("score"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "score", "user_id"], ascending=[True, False, True])
-        used, out = set(), []
-        for _, own in pdf.groupby("place", sort=True):
-            free = own[~own["user_id"].isin(used)]
-            if len(free):
-                used.add(free["user_id"].iloc[0])
-                out.append(free.iloc[:1])
-        return pd.concat(out)[["doc", "author", "user_id", "score"]] if out else pdf.head(0)[["doc", "author", "user_id", "score"]]
-
-    return pairs.groupBy("doc").applyInPandas(greedy, "doc long, author string, user_id long, score int")
+    share = F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int")
+    initials = F.substring("initials", 1, 2).alias("initials")
+    known = "surname IS NOT NULL AND initials IS NOT NULL"
+    asked = authors.where(f"{known} AND place IS NOT NULL").select("surname", share.alias("share"), F.lit(None).cast("long").alias("user_id"), "doc", "place", "author", initials)
+    held = users.where(f"{known} AND user_id IS NOT NULL").select("surname", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), F.col("user_id").cast("long").alias("user_id"), initials)
+    rows = held.unionByName(asked, allowMissingColumns=True).withColumn("asked", F.col("user_id").isNull())
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = person = None
+        lists: dict[str, list[int]] = {}
+        tiers: dict[str, list[tuple[int, list[str]]]] = {}
+        at: dict[str, int] = {}
+        used: set[int] = set()
+        best, out = None, []
+
+        def settle() -> None:
+            if best is not None:
+                used.add(best[1])
+                out.append((person[0], best[2], best[1], -best[0]))
+
+        for batch in batches:
+            for surname, share, user, doc, place, author, own, is_author in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (surname, share):
+                    settle()
+                    key, person, best, lists, tiers = (surname, share), None, None, {}, {}
+                if not is_author:
+                    lists.setdefault(own, []).append(user)
+                    continue
+                if person != (doc, place):
+                    settle()
+                    best = None
+                    if person is None or person[0] != doc:
+                        at, used = dict.fromkeys(lists, 0), set()
+                    person = (doc, place)
+                if own not in tiers:
+                    found: dict[int, list[str]] = {}
+                    for theirs in lists:
+                        n = min(len(own), len(theirs))
+                        if own[:n] == theirs[:n]:
+                            found.setdefault(5 + 2 * n, []).append(theirs)
+                    tiers[own] = sorted(found.items(), reverse=True)
+                for score, kinds in tiers[own]:
+                    least = None
+                    for kind in kinds:
+                        ids, i = lists[kind], at[kind]
+                        while i < len(ids) and ids[i] in used:
+                            i += 1
+                        at[kind] = i
+                        if i < len(ids) and (least is None or ids[i] < least):
+                            least = ids[i]
+                    if least is not None:
+                        if best is None or (-score, least) < best[:2]:
+                            best = (-score, least, author)
+                        break
+            yield packed(out)
+            out = []
+        settle()
+        yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["doc", "author", "user_id", "score"])
+
+    rows = rows.select("surname", "share", "user_id", "doc", "place", "author", "initials", "asked").repartition("surname", "share")
+    return rows.sortWithinPartitions("surname", "share", "asked", "user_id", "doc", "place", "author").mapInArrow(greedy, "doc long, author string, user_id long, score int")

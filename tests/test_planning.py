@@ -1,5 +1,7 @@
 """Planning operators on rows that the tables don't hold."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.operators import planning as P
@@ -35,6 +37,17 @@ def test_authors_are_matched_in_order(spark):
     assert sorted(map(tuple, got.collect())) == _brute(authors, users)
 
 
+def test_namesakes_are_not_paired(spark):
+    rng = random.Random(5)
+    kinds = ["", "A", "B", "AB", "AC", "ABX", "BB"]
+    users = [(i, f"s{rng.randint(0, 4)}", rng.choice(kinds)) for i in range(150)] + [(200, None, "A"), (201, "s1", None)]
+    authors = [(rng.randint(0, 9), i, f"a{i}", f"s{rng.randint(0, 6)}", rng.choice(kinds)) for i in range(1500)]
+    asked = spark.createDataFrame([*authors, (1, 5000, "n", None, "A"), (1, 5001, "n", "s1", None)], "doc long, place long, author string, surname string, initials string")
+    got = P.match_authors(asked, spark.createDataFrame(users, "user_id long, surname string, initials string"))
+    assert "Join" not in got._jdf.queryExecution().toString()  # as many rows as authors, not as pairs
+    assert sorted(map(tuple, got.collect())) == _brute(authors, users[:150])
+
+
 def test_quantities(spark):
     rows = [("5 papers and two papers", 7), ("99 papers", 1), ("no number", 1), ("Papers: a; b; ; c", 3), (None, 1), ("0 papers", 1)]
     df = spark.createDataFrame(rows, "s string, want int").select("want", P.quantity(F.col("s"), "papers", {"two": 2}, listed="^papers:").alias("n"))
