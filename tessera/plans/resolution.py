@@ -83,11 +83,14 @@ def _words(column: str) -> str:
 
 
 def _titled(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Plans are orders, titled by their first part; facts are line items, titled by theirs; kinds are the owners' segments."""
-    lines = t.lineitem.join(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), F.col("p_partkey") == F.col("l_partkey"))
+    """Plans are orders, titled by their first part; facts are line items, titled by theirs; kinds are the owners' segments.
+
+    Both read the same columns of the lines, a line's place as one value, so that these are shuffled once for both."""
+    lines = t.lineitem.select("l_orderkey", "l_partkey", F.array(F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long")).alias("line"))
+    lines = lines.join(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "line", "title")
     lines = lines.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("kind")), F.col("o_orderkey") == F.col("l_orderkey"))
-    plans = lines.groupBy("owner", "kind", F.col("l_orderkey").alias("plan")).agg(F.min_by("title", F.struct("l_linenumber", "l_partkey")).alias("plan_title"))
-    return plans.withColumn("capacity", (1 + F.col("plan") % 3).cast("int")), lines.select("owner", "kind", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact"), F.col("title").alias("fact_title"))
+    plans = lines.groupBy("owner", "kind", F.col("l_orderkey").alias("plan")).agg(F.min_by("title", "line").alias("plan_title"))
+    return plans.withColumn("capacity", (1 + F.col("plan") % 3).cast("int")), lines.select("owner", "kind", (F.col("l_orderkey") * 8 + F.col("line")[0]).alias("fact"), F.col("title").alias("fact_title"))
 
 
 def _candidates(t: Tables) -> DataFrame:

@@ -148,6 +148,15 @@ def test_allocation_keeps_capacities(spark):
     assert sorted((r.plan, r.fact) for r in got.collect()) == [(10, 101), (10, 102), (11, 100)]
 
 
+def test_titles_meet_without_a_word_and_without_copies(spark):
+    plans = spark.createDataFrame([(1, 10, "ab cd ef gh ij kl"), (1, 11, "blue large bolt"), (None, 12, "blue large bolt")], "owner long, plan long, plan_title string")
+    facts = spark.createDataFrame([(1, 20, "AB-CD EF GH IJ KL mn"), (1, 21, "large blue ring"), (1, 22, None), (2, 23, "blue large bolt")], "owner long, fact long, fact_title string")
+    got = Z.title_candidates(plans, facts, ["owner"])
+    assert sorted((r.owner, r.plan, r.fact, round(r.score, 6)) for r in got.collect()) == [(1, 10, 20, 1.0), (1, 11, 21, round(0.72 * 2 / 3 + 0.28 * 2 / 3, 6))]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1  # no row a word, and no way back from titles to rows
+
+
 def test_title_scores(spark):
     df = spark.createDataFrame([("A study of river deltas", "A study of river deltas in winter"), ("river deltas study", "winter river ecology deltas"), ("one thing", "another")], "p string, f string")
     got = [r.s for r in df.select(Z.title_score(F.col("p"), F.col("f")).alias("s")).collect()]
