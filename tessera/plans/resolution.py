@@ -132,7 +132,8 @@ taken AS (SELECT owner, plan, fact, score FROM state WHERE done)"""
 
 
 def _allocated(t: Tables) -> DataFrame:
-    return R.allocate(_candidates(t).groupBy("owner", "plan", "fact", "capacity").agg(F.max("score").alias("score")))
+    # by plan already here, as the first round wants them
+    return R.allocate(_candidates(t).repartition("owner", "plan").groupBy("owner", "plan", "fact", "capacity").agg(F.max("score").alias("score")))
 
 
 @query("greedy_allocation", f"WITH RECURSIVE {_ROUNDS} SELECT owner, plan, fact, score FROM taken")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 
 import pytest
@@ -219,6 +220,16 @@ def test_allocation_in_rounds_equals_the_order(spark):
     assert {tuple(r) for r in filled.collect()} == more and more
 
 
+def test_rounds_leave_only_what_is_taken(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("allocated-*"))
+    edges = [(7, 100 + i, 1000 + i + d, 0.99 - 0.01 * (2 * i + d), 1) for i in range(12) for d in (0, 1)]
+    got = Z.allocate(spark.createDataFrame(edges, "owner long, plan long, fact long, score double, capacity int"))
+    (made,) = set(shared.glob("allocated-*")) - before
+    assert {p.name for p in made.glob("round=*/take=*")} == {"take=true"} and len(list(made.glob("round=*"))) > 2
+    assert sorted(r.fact for r in got.collect()) == [1000 + i for i in range(12)]
+
+
 def test_allocation_of_nothing(spark):
     none = spark.createDataFrame([], "owner long, plan long, fact long, score double, capacity int")
     assert Z.allocate(none).count() == 0
