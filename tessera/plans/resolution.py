@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -82,13 +82,21 @@ def _words(column: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '[0-9\\p{{L}}]{{3,}}'), lambda w: w NOT IN ({_STOPS})))"
 
 
-def _titled(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Plans are orders, titled by their first part; facts are line items, titled by theirs; kinds are the owners' segments.
-
-    Both read the same columns of the lines, a line's place as one value, so that these are shuffled once for both."""
+def _lines(t: Tables, *of_part: Column) -> DataFrame:
+    """Line items with an order and a part: (l_orderkey, owner, kind, line, more of the part); ``line`` is a line's place and
+    part, and what is asked ``of_part`` as a number, as one value: plans and facts both read it, so that lines are shuffled
+    once for both."""
     lines = t.lineitem.select("l_orderkey", "l_partkey", F.array(F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long")).alias("line"))
-    lines = lines.join(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "line", "title")
-    lines = lines.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("kind")), F.col("o_orderkey") == F.col("l_orderkey"))
+    title = F.concat_ws(" ", "p_name", "p_type").alias("title")
+    parts = t.part.select("p_partkey", title).select("p_partkey", *(c.cast("long").alias("more") for c in of_part) if of_part else ["title"])
+    lines = lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).drop("l_partkey", "p_partkey")
+    lines = lines.withColumn("line", F.array_append("line", F.col("more"))).drop("more") if of_part else lines
+    return lines.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("kind")), F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+def _titled(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Plans are orders, titled by their first part; facts are line items, titled by theirs; kinds are the owners' segments."""
+    lines = _lines(t)
     plans = lines.groupBy("owner", "kind", F.col("l_orderkey").alias("plan")).agg(F.min_by("title", "line").alias("plan_title"))
     return plans.withColumn("capacity", (1 + F.col("plan") % 3).cast("int")), lines.select("owner", "kind", (F.col("l_orderkey") * 8 + F.col("line")[0]).alias("fact"), F.col("title").alias("fact_title"))
 
@@ -155,8 +163,10 @@ SELECT e.owner, e.kind, plan, fact FROM ends e JOIN free f ON e.owner = f.owner
 )
 def capacity_fill(t: Tables) -> DataFrame:
     """Facts that matched no title fill what room plans of their owner and kind have left, standard ones first."""
-    plans, facts = _titled(t)
-    return R.fill_capacity(plans.withColumn("generic", F.contains("plan_title", F.lit("STANDARD"))), facts, _allocated(t), ["owner", "kind"])
+    lines = _lines(t, F.contains("title", F.lit("STANDARD")))
+    plans = lines.groupBy("owner", "kind", F.col("l_orderkey").alias("plan")).agg(F.min("line").alias("first"))
+    plans = plans.select("owner", "kind", "plan", (1 + F.col("plan") % 3).cast("int").alias("capacity"), (F.col("first")[2] == 1).alias("generic"))
+    return R.fill_capacity(plans, lines.select("owner", "kind", (F.col("l_orderkey") * 8 + F.col("line")[0]).alias("fact")), _allocated(t), ["owner", "kind"])
 
 
 @query(

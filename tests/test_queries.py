@@ -43,6 +43,12 @@ def test_has_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_filling_capacity_reads_no_titles(spark):
+    df = catalog.queries()["capacity_fill"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "title" not in plan.replace("concat_ws( , p_name", "") and df.count() > 0  # standard or not is settled beside the part
+
+
 def test_entry(spark):
     import __spark_entry__
 
